@@ -22,7 +22,7 @@ import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm.shared import chunks, fresh_name, map_batches, shared_dir, stored  # noqa: F401
+from quirefold.llm.shared import chunks, map_batches
 
 HEAD_WORDS = 100_000
 HEAD_WORD_BYTES = 64

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from quirefold.llm import bpe
+from quirefold.llm import bpe, tokenfile
 
-QUERIES = {"op4_bpe": bpe.op4_bpe}
+QUERIES = {
+    "op3_tokens": tokenfile.op3_tokens,
+    "op4_bpe": bpe.op4_bpe,
+}
 SQL: dict[str, str] = {}
