@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quirefold.llm import bpe, tokenfile
+from quirefold.llm import bpe, fingerprint, tokenfile
 
 QUERIES = {
     "op3_tokens": tokenfile.op3_tokens,
     "op4_bpe": bpe.op4_bpe,
+    "op8_fingerprints": fingerprint.op8_fingerprints,
 }
 SQL: dict[str, str] = {}
