@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quirefold.llm import bpe, fingerprint, tokenfile
+from quirefold.llm import bpe, fingerprint, langid, tokenfile
 
 QUERIES = {
+    "op2_langid": langid.op2_langid,
     "op3_tokens": tokenfile.op3_tokens,
     "op4_bpe": bpe.op4_bpe,
     "op8_fingerprints": fingerprint.op8_fingerprints,
