@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quirefold.llm import bpe, fingerprint, langid, tokenfile
+from quirefold.llm import bpe, fingerprint, langid, mixing, tokenfile
 
 QUERIES = {
     "op2_langid": langid.op2_langid,
     "op3_tokens": tokenfile.op3_tokens,
     "op4_bpe": bpe.op4_bpe,
     "op8_fingerprints": fingerprint.op8_fingerprints,
+    "op9_mixing": mixing.op9_mixing,
 }
 SQL: dict[str, str] = {}
