@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quirefold.llm import bpe, fingerprint, langid, mixing, tokenfile
+from quirefold.llm import bpe, fingerprint, langid, mixing, sharding, tokenfile
 
 QUERIES = {
     "op2_langid": langid.op2_langid,
@@ -10,5 +10,6 @@ QUERIES = {
     "op4_bpe": bpe.op4_bpe,
     "op8_fingerprints": fingerprint.op8_fingerprints,
     "op9_mixing": mixing.op9_mixing,
+    "op10_sharding": sharding.op10_sharding,
 }
 SQL: dict[str, str] = {}
