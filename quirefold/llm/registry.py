@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quirefold.llm import bpe, fingerprint, langid, mixing, sharding, tokenfile
+from quirefold.llm import bpe, credentials, fingerprint, langid, mixing, sharding, tokenfile
 
 QUERIES = {
+    "op1_secrets": credentials.op1_secrets,
     "op2_langid": langid.op2_langid,
     "op3_tokens": tokenfile.op3_tokens,
     "op4_bpe": bpe.op4_bpe,
