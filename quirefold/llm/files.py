@@ -20,13 +20,13 @@ def attempt_name(suffix: str) -> str:
 
 def write_bytes(path: str, data: bytes) -> None:
     where, name = at(path)
-    with where.open_output_stream(name) as out:
+    with where.open_output_stream(name, compression=None) as out:
         out.write(data)
 
 
 def read_bytes(path: str) -> bytes:
     where, name = at(path)
-    with where.open_input_stream(name) as src:
+    with where.open_input_stream(name, compression=None) as src:
         return src.read()
 
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from quirefold.llm import bpe, credentials, fingerprint, langid, mixing, sharding, tokenfile
+from quirefold.llm import bpe, credentials, fingerprint, langid, mixing, sharding, tokenfile, warc
 
 QUERIES = {
     "op1_secrets": credentials.op1_secrets,
     "op2_langid": langid.op2_langid,
     "op3_tokens": tokenfile.op3_tokens,
     "op4_bpe": bpe.op4_bpe,
+    "op5_warc": warc.op5_warc,
     "op8_fingerprints": fingerprint.op8_fingerprints,
     "op9_mixing": mixing.op9_mixing,
     "op10_sharding": sharding.op10_sharding,
 }
-SQL: dict[str, str] = {}
+SQL = {"op5_warc": warc.SQL_OP5}
