@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quirefold.llm import bpe, credentials, fingerprint, langid, mixing, sharding, tokenfile, warc
+from quirefold.llm import bpe, credentials, fingerprint, forest, langid, mixing, sharding, tokenfile, warc
 
 QUERIES = {
     "op1_secrets": credentials.op1_secrets,
@@ -10,8 +10,9 @@ QUERIES = {
     "op3_tokens": tokenfile.op3_tokens,
     "op4_bpe": bpe.op4_bpe,
     "op5_warc": warc.op5_warc,
+    "op7_embeddings": forest.op7_embeddings,
     "op8_fingerprints": fingerprint.op8_fingerprints,
     "op9_mixing": mixing.op9_mixing,
     "op10_sharding": sharding.op10_sharding,
 }
-SQL = {"op5_warc": warc.SQL_OP5}
+SQL = {"op5_warc": warc.SQL_OP5, "op7_embeddings": forest.SQL_OP7}
