@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quirefold.llm import bpe, credentials, fingerprint, forest, langid, mixing, sharding, tokenfile, warc
+from quirefold.llm import bpe, credentials, fingerprint, forest, langid, mixing, omh, sharding, tokenfile, warc
 
 QUERIES = {
     "op1_secrets": credentials.op1_secrets,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_tokens": tokenfile.op3_tokens,
     "op4_bpe": bpe.op4_bpe,
     "op5_warc": warc.op5_warc,
+    "op6_near_dedup": omh.op6_near_dedup,
     "op7_embeddings": forest.op7_embeddings,
     "op8_fingerprints": fingerprint.op8_fingerprints,
     "op9_mixing": mixing.op9_mixing,
