@@ -145,7 +145,7 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", block: int =
     """
     spark = df.sparkSession
     key = fresh_name(df, "_key")
-    plain = df.select(*[c for c in df.columns if c not in (text, "size", "s", "start", "source_size")], n_words(text).alias("size"), hashed(*[F.col(c).cast("string") for c in df.columns]).alias(key))
+    plain = df.select(*[c for c in df.columns if c not in (text, "size", "s", "start", "source_size")], n_words(text).alias("size"), hashed(*[F.to_json(c) if t.startswith("struct") else F.col(c).cast("string") for c, t in df.dtypes]).alias(key))
     plain = stored(plain if source == "source" else plain.withColumnRenamed(source, "source"), "mix-docs")
     sources = stored(draws(targets(weighed(plain), epochs), block), "mix-sources")
     docs = plain.join(sources.select(F.col("source").alias("_source"), "s", "n_blocks"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
@@ -165,6 +165,29 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", block: int =
     return docs, sources, pieces.where("hi > lo").select("shard", "s", "k", "block", "epoch", "start", "lo", "hi")
 
 
+def mixed(df: DataFrame, text: str = "text", source: str = "source", block: int = BLOCK, epochs: int = EPOCHS) -> DataFrame:
+    """The rows of df as often as the mix takes them.
+
+    An epoch that takes all of a document's words gives it unchanged; one that takes some of them gives each run of
+    taken words as a row of its own, the words joined by blanks. Integer column ``n_chars``, if there, is set anew.
+    """
+    key = fresh_name(df, "_row")
+    known = df.select(F.struct(*df.columns).alias(key), F.col(text).alias("text"), F.col(source).alias("source"))
+    docs, _, pieces = mix(known, block=block, epochs=epochs)
+    runs = Window.partitionBy("s", "start", "epoch").orderBy("lo")
+    pieces = pieces.select("s", "start", "epoch", "lo", "hi").withColumn("_new", (F.col("lo") != F.coalesce(F.lag("hi").over(runs), F.lit(-1))).cast("int"))
+    pieces = pieces.withColumn("_run", F.sum("_new").over(runs)).groupBy("s", "start", "epoch", "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    pieces = pieces.select(F.col("s").alias("_s"), F.col("start").alias("_start"), "lo", "hi")
+    taken = docs.where("size > 0").join(pieces, (F.col("s") == F.col("_s")) & (F.col("start") == F.col("_start")))
+    whole = F.col(key)[text]
+    part = F.array_join(F.slice(F.regexp_extract_all(whole, F.lit(f"({WORD})")), (F.col("lo") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")), " ")
+    out = taken.withColumn("_text", F.when(F.col("hi") - F.col("lo") == F.col("size"), whole).otherwise(part))
+    made = {text: F.col("_text")}
+    if "n_chars" in df.columns:
+        made["n_chars"] = F.char_length("_text").cast(df.schema["n_chars"].dataType)
+    return out.select(*[made.get(c, F.col(key)[c]).alias(c) for c in df.columns])
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes of every document."""
     docs, sources, pieces = mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
