@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import base64
 import heapq
+import uuid
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterable
 
@@ -22,11 +24,11 @@ import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm.shared import chunks, map_batches
+from quirefold.llm.shared import Recent, chunks, kept_in_worker, map_batches
 
-HEAD_WORDS = 100_000
+HEAD_WORDS = 200_000
 HEAD_WORD_BYTES = 64
-#: Entries of a task's caches.
+#: Entries of a task's counter; entries that a worker remembers, at least.
 CACHE = 300_000
 
 
@@ -48,85 +50,94 @@ def merge_alone(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class MergeReplay:
-    """Replays all merges over many words at once."""
+    """Replays all merges over many words at once. Words are UTF-8, in which the byte 255 doesn't occur."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.single = [ranks.get(bytes([b]), -1) for b in range(256)]
+        self.single = np.array([ranks.get(bytes([b]), -1) if b < 255 else -1 for b in range(256)], np.int64)
+        self.bytes_join = np.full(1 << 16, -1, np.int64)
+        for token, rank in ranks.items():
+            if len(token) == 2 and 255 not in token:
+                self.bytes_join[token[0] << 8 | token[1]] = rank
         self.pairs: dict[int, int] = {}
 
-    def joined(self, a: int, b: int) -> int:
-        """The token that a and b form, or -1."""
-        key = a << 32 | b
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            found = self.pairs[key] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
+    def joined(self, key: int) -> int:
+        """The token that a pair (a << 32 | b) forms, or -1."""
+        if len(self.pairs) > 1_000_000:
+            self.pairs.clear()
+        found = self.pairs[key] = self.ranks.get(self.tokens[key >> 32] + self.tokens[key & 0xFFFFFFFF], -1)
         return found
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
-        ranks, joined, single = self.ranks, self.joined, self.single
-        out: list[list[int] | None] = [None] * len(words)
-        symbol: list[int] = []
-        owner: list[int] = []
-        starts: list[int] = []
-        for i, word in enumerate(words):
-            starts.append(len(symbol))
-            if word in ranks:
-                out[i] = [ranks[word]]
-                continue
-            symbol += [single[b] for b in word]
-            owner += [i] * len(word)
-            symbol.append(-1)
-            owner.append(i)
-        n = len(symbol)
+        ranks, known, joined = self.ranks, self.pairs.get, self.joined
+        out: list[list[int] | None] = [None if (whole := ranks.get(w)) is None else [whole] for w in words]
+        open_ = [i for i, x in enumerate(out) if x is None]
+        raw = np.frombuffer(b"\xff" + b"".join([words[i] + b"\xff" for i in open_]), np.uint8)
+        n = len(raw)
+        symbol = self.single[raw].tolist()
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        index: dict[int, list[int]] = {}
-        for at in range(n - 1):
-            if symbol[at] >= 0 and symbol[at + 1] >= 0 and (rank := joined(symbol[at], symbol[at + 1])) >= 0:
-                index.setdefault(rank, []).append(at)
-        todo = list(index)
-        heapq.heapify(todo)
+        # the inverted index: where each token could be formed
+        pair = self.bytes_join[raw[:-1].astype(np.int64) << 8 | raw[1:]]
+        at_all = np.flatnonzero(pair >= 0)
+        at_all = at_all[np.argsort(pair[at_all], kind="stable")]
+        present, cut = np.unique(pair[at_all], return_index=True)
+        places = at_all.tolist()
+        ends = [*cut.tolist()[1:], len(places)]
+        index = {rank: places[a:b] for rank, a, b in zip(present.tolist(), cut.tolist(), ends)}
+        todo = list(index)  # ascending, so a heap
         odd: set[int] = set()
+        push, pop = heapq.heappush, heapq.heappop
         while todo:
-            rank = heapq.heappop(todo)
-            for at in sorted(index.pop(rank)):
+            rank = pop(todo)
+            positions = index.pop(rank)
+            positions.sort()
+            for at in positions:
+                a = symbol[at]
+                if a < 0:
+                    continue
                 then = after[at]
-                if symbol[at] < 0 or then >= n or symbol[then] < 0 or joined(symbol[at], symbol[then]) != rank:
+                b = symbol[then]
+                if b < 0:
+                    continue
+                key = a << 32 | b
+                found = known(key)
+                if (joined(key) if found is None else found) != rank:
                     continue
                 symbol[at], symbol[then] = rank, -2
                 after[at] = far = after[then]
-                if far < n:
-                    before[far] = at
-                    if symbol[far] >= 0 and (new := joined(rank, symbol[far])) >= 0:
-                        self._note(index, todo, new, at, rank, odd, owner)
+                before[far] = at
                 near = before[at]
-                if near >= 0 and symbol[near] >= 0 and (new := joined(symbol[near], rank)) >= 0:
-                    self._note(index, todo, new, near, rank, odd, owner)
-        for i, word in enumerate(words):
-            if out[i] is None:
-                at = starts[i]
-                out[i] = [s for s in symbol[at : at + len(word)] if s >= 0] if i not in odd else merge_alone(word, ranks)
+                for left, key in ((at, rank << 32 | symbol[far] if symbol[far] >= 0 else -1), (near, symbol[near] << 32 | rank if symbol[near] >= 0 else -1)):
+                    if key < 0:
+                        continue
+                    new = known(key)
+                    if new is None:
+                        new = joined(key)
+                    if new < 0:
+                        continue
+                    if new <= rank:
+                        odd.add(at)  # it goes before merges that are done already
+                    if new in index:
+                        index[new].append(left)
+                    else:
+                        index[new] = [left]
+                        push(todo, new)
+        at = 1
+        again = sorted(odd)
+        for i in open_:
+            end = at + len(words[i])
+            k = bisect_left(again, at)
+            out[i] = merge_alone(words[i], ranks) if k < len(again) and again[k] < end else [x for x in symbol[at:end] if x >= 0]
+            at = end + 1
         return out  # type: ignore[return-value]
 
-    @staticmethod
-    def _note(index, todo, new: int, at: int, rank: int, odd: set[int], owner: list[int]) -> None:
-        if new <= rank:
-            odd.add(owner[at])  # it goes before merges that are done already
-        if new in index:
-            index[new].append(at)
-        else:
-            index[new] = [at]
-            heapq.heappush(todo, new)
-
 
 class Words:
-    """A task's encoder: chunk -> ids, by the head and, outside it, by replay over a slice's words."""
+    """A worker's encoder: chunk -> ids, by the head and, outside it, by replay over a slice's words."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, head: dict[str, bytes]):
         import regex
@@ -134,29 +145,26 @@ class Words:
         self.find = regex.compile(pattern).findall
         self.replay = MergeReplay(ranks)
         self.head = head
-        self.tail: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.later, self.leading, self.tail = Recent(CACHE), Recent(CACHE // 8), Recent(CACHE)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         cut = [chunks(t) for t in texts]
-        new = {" " + x for _, rest in cut for x in set(rest)}
-        new.update(first for first, _ in cut)
-        new = [x for x in new if x not in self.chunks]
-        if len(self.chunks) + len(new) > CACHE:
-            self.chunks = {}
-            new = list({" " + x for _, rest in cut for x in set(rest)} | {first for first, _ in cut})
-        if len(self.tail) > CACHE:
-            self.tail = {}
-        found = [self.find(x) for x in new]
-        head, tail = self.head, self.tail
-        unseen = list({w for words in found for w in words if w not in head and w not in tail})
+        distinct: set[str] = set()
+        for _, rest in cut:
+            distinct.update(rest)
+        later, leading = self.later.missing(distinct), self.leading.missing({x for x, _ in cut})
+        found = [self.find(" " + x) for x in later] + [self.find(x) for x in leading]
+        head = self.head
+        unseen = self.tail.missing({w for words in found for w in words if w not in head})
+        tail = self.tail.now
         for word, ids in zip(unseen, self.replay.encode([w.encode() for w in unseen])):
             tail[word] = np.array(ids, "<u4").tobytes()
-        for chunk, words in zip(new, found):
-            self.chunks[chunk] = b"".join([head[w] if w in head else tail[w] for w in words])
-        get = self.chunks.__getitem__
-        return [np.frombuffer(get(first) + b"".join([get(" " + x) for x in rest]), "<u4") for first, rest in cut]
+        made = [b"".join([head[w] if w in head else tail[w] for w in words]) for words in found]
+        self.later.now.update(zip(later, made))
+        self.leading.now.update(zip(leading, made[len(later) :]))
+        get, first = self.later.now.__getitem__, self.leading.now
+        return [np.frombuffer(first[lead] + b"".join(map(get, rest)), "<u4") for lead, rest in cut]
 
 
 def decode(ids: np.ndarray, tokens: np.ndarray) -> bytes:
@@ -221,9 +229,10 @@ def encoded(df: DataFrame, ranks_path: str, pattern: str, make: Callable, schema
     sc = df.sparkSession.sparkContext
     ranks = sc.broadcast(read_ranks(ranks_path))
     top = sc.broadcast(head_words(df, text, ranks, pattern, head))
+    name = uuid.uuid4().hex
 
     def run(parts: Iterable[dict[str, list]]):
-        words = Words(ranks.value, pattern, top.value)
+        words = kept_in_worker(("bpe", name), lambda: Words(ranks.value, pattern, top.value))
         tokens = np.array(words.replay.tokens + [b""], object)[:-1]
         for part in parts:
             ids = words.ids([t or "" for t in part[text]])

@@ -112,3 +112,36 @@ def chunks(text: str) -> tuple[str, list[str]]:
 def utf8(column) -> F.Column:
     """Bytes of a text, none for null."""
     return F.coalesce(F.octet_length(column), F.lit(0)).cast("long")
+
+
+class Recent:
+    """What was made for keys of late: up to twice ``half`` entries, of which those that aren't used again go first."""
+
+    def __init__(self, half: int):
+        self.half, self.now, self.old = half, {}, {}
+
+    def missing(self, keys: Iterable) -> list:
+        """Those of the distinct keys that have to be made and put into ``now``; all others are there."""
+        keys = list(keys)
+        if len(self.now) + len(keys) > self.half:
+            self.now, self.old = {}, self.now
+        now, old, out = self.now, self.old, []
+        for key in keys:
+            if key not in now:
+                found = old.get(key)
+                if found is None:
+                    out.append(key)
+                else:
+                    now[key] = found
+        return out
+
+
+#: What a Python worker keeps for its next tasks, by name.
+KEPT: dict = {}
+
+
+def kept_in_worker(name, make):
+    if name not in KEPT:
+        KEPT.clear()  # one thing at a time, so that workers stay small
+        KEPT[name] = make()
+    return KEPT[name]
