@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from quirefold.llm import files
-from quirefold.llm.shared import chunks, fresh_path, map_batches, stored
+from quirefold.llm.shared import Recent, chunks, fresh_path, kept_in_worker, map_batches, stored
 
 BLOCK_IDS = 1 << 18
-CACHE = 400_000
+#: Chunks that a worker remembers, at least.
+CACHE = 500_000
 HEAD = struct.Struct("<4sIQQQQ")
 MAGIC = b"QFT1"
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
@@ -155,7 +156,7 @@ class TokenWriter(DataSourceArrowWriter):
         first, parts, at, out = None, [], 0, None
         for batch in iterator:
             for start, doc_ids, lengths, ids in zip(*(batch.column(c).to_pylist() for c in ("start", "doc_ids", "lengths", "ids"))):
-                out = out or where.open_output_stream(name)
+                out = out or where.open_output_stream(name, compression=None)
                 raw = block_bytes(start, doc_ids, np.array(lengths, np.uint32), rank_of[np.frombuffer(ids, "<u4" if len(ids) == 4 * sum(lengths) else "<u2")])
                 out.write(raw)
                 first = start if first is None else min(first, start)
@@ -175,7 +176,7 @@ class TokenWriter(DataSourceArrowWriter):
 
 
 class Chunks:
-    """A task's encoder: texts to ids by the tokenizers library, each chunk once as long as it is in the cache."""
+    """A worker's encoder: texts to ids by the tokenizers library, each chunk once as long as it is remembered."""
 
     def __init__(self, tokenizer: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -183,25 +184,40 @@ class Chunks:
 
         self.tokenizer = Tokenizer.from_file(tokenizer)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.known: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-
-    def _learn(self, known: dict[str, bytes], new: set[str], lead: str) -> None:
-        new = [x for x in new if x not in known]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for x, e in zip(part, self.tokenizer.encode_batch_fast([lead + x for x in part], add_special_tokens=False)):
-                known[x] = np.array(e.ids, self.kind).tobytes()
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = "<u2" if max(vocabulary.values()) < 1 << 16 else "<u4"
+        # a token of a byte-level vocabulary has a character for each byte
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.width[i] = len(token)
+        self.later, self.first = Recent(CACHE), Recent(CACHE // 8)
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of chunks that follow a space, many at once: where one begins is told by the bytes that tokens stand for."""
+        known = self.later.now
+        odd = [x for x in new if not x or x[0].isspace() or x[-1].isspace()]  # their blanks would join with others
+        known.update(zip(odd, self._plain([" " + x for x in odd])))
+        new = [x for x in new if x and not x[0].isspace() and not x[-1].isspace()]
+        for at in range(0, len(new), 1024):
+            part = new[at : at + 1024]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.cumsum([len(x.encode()) + 1 for x in part])
+            cut = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1
+            known.update(zip(part, [ids[a:b].tobytes() for a, b in zip([0, *cut[:-1].tolist()], cut.tolist())]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) + len(self.first) > CACHE:
-            self.known, self.first = {}, {}
         cut = [chunks(t) for t in texts]
-        self._learn(self.known, {x for _, rest in cut for x in rest}, " ")
-        self._learn(self.first, {x for x, _ in cut}, "")
-        get = self.known.__getitem__
-        return [self.first[first] + b"".join(map(get, rest)) for first, rest in cut]
+        distinct: set[str] = set()
+        for _, rest in cut:
+            distinct.update(rest)
+        self._learn(self.later.missing(distinct))
+        new = self.first.missing({x for x, _ in cut})
+        self.first.now.update(zip(new, self._plain(new)))
+        get, first = self.later.now.__getitem__, self.first.now
+        return [first[lead] + b"".join(map(get, rest)) for lead, rest in cut]
 
 
 BLOCKS = "p int, before long, n long, doc_ids array<long>, lengths array<int>, ids binary"
@@ -215,7 +231,7 @@ def blocks(df: DataFrame, tokenizer: str, end_id: int, parts: int) -> DataFrame:
     def run(batches: Iterable[dict[str, list]]) -> Iterator[dict[str, list]]:
         from pyspark import TaskContext
 
-        words, p = Chunks(tokenizer), TaskContext.get().partitionId()
+        words, p = kept_in_worker(("tokens", tokenizer), lambda: Chunks(tokenizer)), TaskContext.get().partitionId()
         end, width = np.array([end_id], words.kind).tobytes(), int(words.kind[-1])
         before, doc_ids, got, size = 0, [], [], 0
 
