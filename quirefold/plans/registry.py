@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quirefold.plans import lab_queries, log_queries, search_queries
 
-QUERIES: dict[str, Callable] = {}
-SQL: dict[str, str] = {}
+QUERIES = {**search_queries.QUERIES, **log_queries.QUERIES, **lab_queries.QUERIES}
+SQL = {**search_queries.SQL, **log_queries.SQL, **lab_queries.SQL}
