@@ -50,6 +50,7 @@ def packed(size: np.ndarray, bins: int) -> np.ndarray:
 def pack(items: DataFrame, keys: list[str], shards: int, cell: int = CELL) -> DataFrame:
     """(keys, shard) for items of keys, bytes, tokens and rows."""
     n = items.count()
+    cell = max(cell, 4 * BINS * shards)  # fewer bins come out than groups go in
     cells = max(1, math.ceil(n / cell))
     bins = shards if cells == 1 else BINS * shards
     kept = items.select(*keys, "bytes", "tokens", "rows", F.pmod(F.xxhash64(*keys), F.lit(cells)).alias("cell_"))
@@ -72,8 +73,8 @@ def pack(items: DataFrame, keys: list[str], shards: int, cell: int = CELL) -> Da
 def sharded(df: DataFrame, shards: int = SHARDS, text: str = "text", cell: int = CELL) -> DataFrame:
     """df without its text, with ``size``, ``tokens``, ``text_crc32``, ``shard`` and ``slot`` (place in the shard, from 0)."""
     made = ("size", "tokens", "text_crc32", "shard", "slot")
-    rest = [F.col(c).alias(f"c_{i}") for i, c in enumerate(df.columns) if c != text and c.lower() not in made]
     names = [c for c in df.columns if c != text and c.lower() not in made]
+    rest = [F.col(c).alias(f"c_{i}") for i, c in enumerate(names)]
     whole = F.coalesce(F.col(text), F.lit(""))
     docs = df.select(*rest, (utf8(text) + 1).alias("size"), n_words(text).alias("tokens"), F.crc32(whole.cast("binary")).alias("text_crc32"), F.md5(whole.cast("binary")).alias("h"), F.xxhash64(F.monotonically_increasing_id()).alias("salt"))
     docs = stored(docs, "shard-docs")
