@@ -129,7 +129,7 @@ def replaced_field(fields: Column, key: str, value: Column) -> Column:
 def cited_keys(tex: Column) -> Column:
     """Distinct keys of citations, in order."""
     found = F.regexp_extract_all(tex, F.lit(r"\\cite[a-z]*\*?(?:\[[^\]]*\])*\{([^}]*)\}"), F.lit(1))
-    return F.array_distinct(F.filter(F.transform(F.flatten(F.transform(found, lambda x: F.split(x, ","))), F.trim), lambda k: k != ""))
+    return F.array_distinct(F.filter(F.transform(F.flatten(F.transform(found, lambda x: F.split(x, ","))), lambda x: F.trim(x)), lambda k: k != ""))
 
 
 def topic(line: Column) -> Column:
@@ -137,10 +137,15 @@ def topic(line: Column) -> Column:
     return F.lower(F.trim(F.substring_index(F.element_at(F.split(line, r"\|"), -1), ":", 1)))
 
 
+def stripped(text: Column) -> Column:
+    """text without white space at its ends."""
+    return F.regexp_replace(text, r"\A\s+|\s+\z", "")
+
+
 def section(text: Column, name: str, level: int = 2) -> Column:
     """The body of the first section of this heading."""
     mark = "#" * level
-    return F.trim(F.regexp_extract(text, rf"(?ms)^{mark} {name}[ \t]*$\n?(.*?)(?=^#{{1,{level}}} |\z)", 1))
+    return stripped(F.regexp_extract(text, rf"(?ms)^{mark} {name}[ \t]*$\n?(.*?)(?=^#{{1,{level}}} |\z)", 1))
 
 
 def doubts(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirefold.functions.text import stripped
+
 UNIT = "n int, capa string, pagina int, seccion string, tipo string, label string, numero string, texto string, pagina_estimada boolean, corte_pagina boolean"
 CALL = "ts string, comando string, fase string, proveedor string, modelo string, tokens_in bigint, tokens_out bigint, tokens_cache bigint, esfuerzo string, tokens_razonamiento bigint, max_tokens bigint, segundos double, cortada boolean, forzado boolean, simulado boolean"
 TURN = "ts string, fase string, modelo string, esfuerzo string, turno int, plantilla string, fragmento string, pregunta string, respuesta string, citas array<string>, tokens_in bigint, tokens_out bigint, tokens_cache bigint, segundos double, cortada boolean"
@@ -44,7 +46,7 @@ def mark_kind(msg: Column) -> Column:
 
 def page_units(pages: DataFrame) -> DataFrame:
     """A unit for each page text (doc, pages) that isn't blank."""
-    rows = pages.select("doc", F.posexplode("pages").alias("i", "text")).where(F.trim("text") != "")
+    rows = pages.select("doc", F.posexplode("pages").alias("i", "text")).where(stripped(F.col("text")) != "")
     return rows.select("doc", (F.col("i") + 1).alias("page"), F.lit("pagina").alias("kind"), "text")
 
 
@@ -53,7 +55,7 @@ def marked_pages(docs: DataFrame, text: str = "text") -> DataFrame:
     marker = r"<!-- pagina (\d+) -->"
     numbers = F.concat(F.array(F.lit("0")), F.regexp_extract_all(text, F.lit(marker), F.lit(1)))
     parts = F.arrays_zip(numbers.alias("page"), F.split(text, marker, -1).alias("text"))
-    return docs.select("doc", F.inline(parts)).select("doc", F.col("page").cast("int").alias("page"), F.trim("text").alias("text"))
+    return docs.select("doc", F.inline(parts)).select("doc", F.col("page").cast("int").alias("page"), stripped(F.col("text")).alias("text"))
 
 
 def markdown_units(docs: DataFrame, text: str = "text", least: int = 40) -> DataFrame:
@@ -68,7 +70,7 @@ def markdown_units(docs: DataFrame, text: str = "text", least: int = 40) -> Data
     heading = F.nullif(F.trim(F.regexp_extract("text", r"^\s*#+\s*([^\n]+)", 1)), F.lit(""))
     blocks = blocks.withColumn("heading", heading).withColumn("section", F.last("heading", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     kept = blocks.where(F.length(F.trim(F.regexp_replace(F.lower("text"), r"[^a-z0-9]+", " "))) >= least)
-    return kept.select("doc", F.row_number().over(w).alias("n"), "page", "section", F.trim("text").alias("text"))
+    return kept.select("doc", F.row_number().over(w).alias("n"), "page", "section", stripped(F.col("text")).alias("text"))
 
 
 def html_head(pages: DataFrame, html: str = "html") -> DataFrame:
