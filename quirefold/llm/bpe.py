@@ -24,9 +24,9 @@ import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm.shared import Recent, chunks, kept_in_worker, map_batches
+from quirefold.llm.shared import Recent, chunks, commonest, kept_in_worker, map_batches, stored
 
-HEAD_WORDS = 200_000
+HEAD_WORDS = 250_000
 HEAD_WORD_BYTES = 64
 #: Entries of a task's counter; entries that a worker remembers, at least.
 CACHE = 300_000
@@ -211,7 +211,7 @@ def head_words(df: DataFrame, text: str, ranks: pyspark.Broadcast, pattern: str,
     """The corpus's commonest words and their ids: at most ``head`` words of at most HEAD_WORD_BYTES bytes."""
     spark = df.sparkSession
     counted = word_counts(df, text, pattern).where(F.octet_length("word") <= HEAD_WORD_BYTES)
-    top = counted.orderBy(F.desc("n"), "word").limit(head)
+    top = commonest(stored(counted, "words"), "n", head)
 
     def replayed(parts: Iterable[dict[str, list]]):
         replay = MergeReplay(ranks.value)
