@@ -24,13 +24,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quirefold.llm.shared import map_batches, stored
+from quirefold.llm.shared import commonest, map_batches, stored
 
 #: Documents of a language that a model is fitted on, as a rule; all of them where there are no more.
 SAMPLE_DOCS = 4000
 #: Words and n-grams that a model knows, over all languages.
-MODEL_WORDS = 200_000
-MODEL_GRAMS = 200_000
+MODEL_WORDS = 150_000
+MODEL_GRAMS = 150_000
 GRAM = 5
 LANGUAGES = 500
 EVIDENCE = 50
@@ -111,8 +111,9 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", sample_docs: int
     # the items that weigh most in any language, as many as the model may hold; single letters all belong to it
     part = F.col("n") / total[F.concat(F.col("kind").cast("string"), F.lit(" "), F.col("lang"))]
     ranked = items.groupBy("kind", "item").agg(F.max(part).alias("w"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    words = ranked.where("kind = 0").orderBy(F.desc("w"), "item").limit(MODEL_WORDS)
-    grams = ranked.where("kind > 0").orderBy(F.desc("w"), "item").limit(MODEL_GRAMS)
+    ranked = stored(ranked.withColumn("w", (F.col("w") * 1e12).cast("long") + 1), "langid")
+    words = commonest(ranked.where("kind = 0"), "w", MODEL_WORDS)
+    grams = commonest(ranked.where("kind > 0"), "w", MODEL_GRAMS)
     tables: list[dict[str, np.ndarray]] = [{} for _ in range(GRAM + 1)]
     place = {name: i for i, name in enumerate(langs)}
     sums = np.array([[totals.get((kind, name), 0) for name in langs] for kind in range(GRAM + 1)], float)
