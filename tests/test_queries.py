@@ -23,7 +23,7 @@ def norm(df):
     df = df[sorted(df.columns)].astype(object)
 
     def text(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and np.isnan(v)):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and np.isnan(v)):
             return ""
         if isinstance(v, (bool, np.bool_)):
             return str(bool(v))
@@ -78,7 +78,7 @@ def test_inverse_and_root_by_residual(spark, sf):
 
 def test_laplace_against_long_sum(spark, sf):
     t = np.linspace(0, 60, 60001)
-    for r in registry.QUERIES["laplace_sum"](spark, sf).join(spark.read.parquet(f"{sf}/lineitem.parquet"), ["l_orderkey", "l_linenumber"]).limit(5).collect():
+    for r in registry.QUERIES["laplace_sum"](spark, sf).limit(5).collect():
         y = np.exp(-t) / (1 + (r.l_tax + 0.01) * t)
         assert abs(r.value - ((y[1:] + y[:-1]) / 2 * np.diff(t)).sum()) < 1e-6
 
