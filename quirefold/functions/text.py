@@ -1,42 +1,49 @@
-"""Text functions as column expressions; pandas functions only where Spark has no expression."""
+"""Text functions as column expressions, all of them within the JVM.
 
-from __future__ import annotations
+Patterns whose matches the semantics fix (tokens, comments, formulas, sentence ends, marks of pages, fields and
+attempts) are fixed values.
+"""
 
-import unicodedata
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Compatibility composition, for which Spark has no expression."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+#: Characters that compatibility composition may change, or a mark that may join the one before; Latin letters aren't.
+_COMPATIBLE = "[^\\x00-\\x7F\u00c0-\u00ff]"
+
+
+def _normalized(text: Column, way: str, needs: str) -> Column:
+    """By the normalizer that Spark ships for its collations; only texts that need it are given to it."""
+    return F.when(text.rlike(needs), F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit(way), text, F.lit(True))).otherwise(text)
+
+
+def nfkc(text: Column) -> Column:
+    """Compatibility composition."""
+    return _normalized(text, "compose", _COMPATIBLE)
 
 
-@F.pandas_udf(T.StringType())
-def unaccented(text: pd.Series) -> pd.Series:
+def unaccented(text: Column) -> Column:
     """Lower case without accents, other characters beyond ASCII dropped."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t.lower()).encode("ascii", "ignore").decode())
+    return F.regexp_replace(_normalized(F.lower(text), "decompose", "[^\\x00-\\x7F]"), "[^\\x00-\\x7F]", "")
 
 
 def tokens(text: Column) -> Column:
     """Runs of two and more ASCII letters and digits, lower case; a TeX command is a word of its own."""
-    plain = F.regexp_replace(F.lower(text), r"\\([a-z]+)", " $1 ")
+    plain = F.regexp_replace(F.lower(nfkc(text)), r"\\([a-z]+)", " $1 ")
     return F.coalesce(F.regexp_extract_all(plain, F.lit("([a-z0-9]{2,})"), F.lit(1)), F.array().cast("array<string>"))
 
 
 def bag(text: Column) -> Column:
     """Words of three and more ASCII letters in lower case, TeX commands left out."""
-    plain = F.regexp_replace(F.lower(text), r"\\[a-z]+", " ")
+    plain = F.regexp_replace(F.lower(nfkc(text)), r"\\[a-z]+", " ")
     return F.coalesce(F.regexp_extract_all(plain, F.lit("([a-z]{3,})"), F.lit(1)), F.array().cast("array<string>"))
 
 
 def squeezed(text: Column) -> Column:
     """Lower case; whatever is no ASCII letter or digit becomes a blank, and blanks run together."""
-    return F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.lower(nfkc(text)), r"[^a-z0-9]+", " "))
 
 
 def fingerprint16(text: Column) -> Column:
@@ -56,12 +63,12 @@ def without_comments(tex: Column) -> Column:
 
 
 def plain_text(tex: Column) -> Column:
-    """TeX without displays, formulas, references, commands and braces."""
-    out = F.regexp_replace(tex, r"(?s)\\begin\{(equation|align|gather|multline|eqnarray|displaymath)(\*?)\}.*?\\end\{\1\2\}", " ")
-    out = F.regexp_replace(out, r"(?s)\$\$.*?\$\$|\\\[.*?\\\]|\$[^$]*\$|\\\(.*?\\\)", " ")
-    out = F.regexp_replace(out, r"\\(?:ref|eqref|cite|label)(?:\[[^\]]*\])?\{[^}]*\}", " ")
-    out = F.regexp_replace(out, r"\\[a-zA-Z]+\*?", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[{}~]", " "), r"\s+", " "))
+    """TeX without displays, formulas, references, commands, braces and brackets."""
+    # The environments and commands that go with what they hold.
+    out = F.regexp_replace(tex, r"(?s)\\begin\{(equation|align|gather|multline|eqnarray)\*?\}.*?\\end\{\1\*?\}", " ")
+    out = F.regexp_replace(out, r"(?s)\$\$.*?\$\$|\\\[.*?\\\]|\$[^$]*\$", " ")
+    out = F.regexp_replace(out, r"\\(?:label|ref|eqref|cite|index)\{[^}]*\}", " ")
+    return F.regexp_replace(F.regexp_replace(out, r"\\[a-zA-Z]+\*?", " "), r"[{}~\[\]]", " ")
 
 
 def sentences(text: Column) -> Column:

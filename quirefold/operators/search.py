@@ -95,11 +95,13 @@ def capped(df: DataFrame, score: str, doc: str, per_doc: int, k: int, digits: in
     return df.orderBy(*order).limit(k)
 
 
-def expanded(queries: DataFrame, glossary: DataFrame, query: str = "query") -> DataFrame:
+def expanded(queries: DataFrame, glossary: DataFrame, query: str = "query", most: int = 100_000) -> DataFrame:
     """queries with ``expanded``: the translations of all glossary keys in it, those of longer keys first.
 
-    queries: without accents, lower case. glossary: key, value; one row a term, small by nature, sent to all tasks.
+    queries: without accents, lower case. glossary: key, value; one row a term, ``most`` at most, sent to all tasks.
     """
+    if glossary.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} terms")
     hits = queries.join(F.broadcast(glossary), F.contains(F.col(query), F.col("key")), "left")
     found = F.array_sort(F.collect_list(F.when(F.col("key").isNotNull(), F.struct((-F.length("key")).alias("l"), "key", "value"))))
     return hits.groupBy(*queries.columns).agg(F.array_join(F.transform(found, lambda x: x["value"]), " ").alias("_more")).select(*queries.columns, F.trim(F.concat_ws(" ", query, "_more")).alias("expanded"))
@@ -115,16 +117,149 @@ def merged(*lists: DataFrame, id_: str = "id", pos: str = "pos") -> DataFrame:
     return first.withColumn("place", F.row_number().over(Window.orderBy("list", "pos", "id")) - 1)
 
 
+# Fixed value: commands that refer to a label.
+REFERENCE = r"\\(?:ref|eqref|autoref|cref)\{([^}]+)\}"
+
+
 def followed(results: DataFrame, fragments: DataFrame, most: int = 4) -> DataFrame:
     """Fragments of the same document that the results refer to by label and that aren't among them, in order of results.
 
-    results: id, doc, pos, text. fragments: id, doc, ord, label. Returns (id, doc, label, via): up to ``most``.
+    results: id, doc, pos, text. fragments: id, doc, ord, label; of equal labels in a document the first counts.
+    Returns (id, doc, label, via, place): up to ``most``, via the id of the result that refers first.
+    """
+    refs = results.select("doc", "pos", F.col("id").alias("via"), F.posexplode(F.regexp_extract_all("text", F.lit(REFERENCE), F.lit(1))).alias("n", "label"))
+    first = refs.groupBy("doc", "label").agg(F.min(F.struct("pos", "n", "via")).alias("at"))
+    labelled = fragments.where("label is not null").select("doc", "label", F.col("id").alias("to"), "ord").join(first.select("doc", "label"), ["doc", "label"], "left_semi")
+    targets = labelled.groupBy("doc", "label").agg(F.min_by("to", F.struct("ord", "to")).alias("to"))
+    new = first.join(targets, ["doc", "label"]).join(results.select(F.col("id").alias("to")), "to", "left_anti")
+    one = new.groupBy("to").agg(F.min(F.struct("at", "doc", "label")).alias("x")).select("to", "x.at", "x.doc", "x.label")
+    best = one.orderBy("at", "to").limit(most).withColumn("place", F.row_number().over(Window.orderBy("at", "to")) - 1)
+    return best.select(F.col("to").alias("id"), "doc", "label", "at.via", "place")
+
+
+# How much more fragments of a kind count, and the printed names of kinds.
+BOOSTS = {"teorema": 1.5, "definicion": 1.5, "lema": 1.3, "proposicion": 1.3, "corolario": 1.2, "notacion": 1.2}
+NAMES = {"teorema": "Teorema", "lema": "Lema", "proposicion": "Proposicion", "corolario": "Corolario", "definicion": "Definicion", "observacion": "Observacion", "ejemplo": "Ejemplo", "conjetura": "Conjetura", "problema": "Problema", "notacion": "Notacion", "afirmacion": "Afirmacion", "pregunta": "Pregunta"}
+
+
+def query_terms(query: str, glossary: DataFrame | None = None, spark=None) -> list[str]:
+    """A query's tokens, with those of the translations of all glossary keys (key, value) that are in it, longer keys first."""
+    from quirefold.functions.text import unaccented
+
+    spark = glossary.sparkSession if glossary is not None else spark
+    more = []
+    if glossary is not None:
+        # as many rows as keys are in the query at most
+        hits = glossary.where(F.contains(unaccented(F.lit(query)), F.col("key"))).select("key", "value").collect()
+        more = [r.value for r in sorted(hits, key=lambda r: (-len(r.key), r.key))]
+    return spark.range(1).select(tokens(F.lit(" ".join([query, *more]))).alias("t")).first().t
+
+
+def search(fragments: DataFrame, terms: list[str], k: int = 8, source: str | None = None, doc=None, vectors: DataFrame | None = None, per_doc: int = 2, boosts: Mapping[str, float] = BOOSTS) -> DataFrame:
+    """The k fragments that fit a query best: lexical ranks, fused with those by vectors, kinds boosted, per document capped.
+
+    fragments: id, source, doc, kind, text and others, all of which are returned, with ``bm25``, ``cosine``, ``rrf`` and
+    ``place``. Filters go before statistics; within one document there is no cap. vectors: (id, cosine); without them
+    the search is lexical only.
+    """
+    if source is not None:
+        fragments = fragments.where(F.col("source") == source)
+    if doc is not None:
+        fragments = fragments.where(F.col("doc") == doc)
+    if vectors is not None:
+        vectors = vectors.join(fragments.select("id"), "id", "left_semi")
+    found = boosted(fused(bm25(index_terms(fragments, "id"), terms), vectors).join(fragments, "id"), "kind", boosts)
+    best = capped(found, "rrf", "doc", 0 if doc is not None else per_doc, k)
+    place = F.row_number().over(Window.orderBy(F.round("rrf", 9).desc(), "id")) - 1
+    return best.withColumn("place", place).withColumn("rrf", F.round("rrf", 4)).withColumn("bm25", F.round(F.coalesce("bm25", F.lit(0.0)), 2))
+
+
+def citation(doc: Column, page: Column, kind: Column, number: Column, label: Column, layer: Column, version: Column) -> Column:
+    """The citation of a fragment: document and page, kind with printed number, else label; for TeX the version of its text."""
+    there = lambda c: F.coalesce(c.cast("string"), F.lit("")) != ""
+    base = F.concat(doc, F.when(there(page) & (page != 0), F.concat(F.lit(":p"), page.cast("string"))).otherwise(""))
+    named = F.lit(None).cast("string")
+    for key, name in NAMES.items():
+        named = F.when(kind == key, name).otherwise(named)
+    tagged = F.when(there(label), F.concat(F.lit(", etiqueta LaTeX: "), label)).otherwise("")
+    what = F.when(named.isNotNull() & there(number), F.concat(F.lit(", "), named, F.lit(" "), number)).when(named.isNotNull() | (kind == "demostracion"), F.concat(F.lit(", "), kind, tagged)).otherwise("")
+    text = F.when(layer == "tex", F.concat(F.lit(" | texto: arXiv "), F.when(there(version), version).otherwise("v?"))).otherwise("")
+    return F.concat(F.lit("["), base, what, text, F.lit("]"))
+
+
+def by_number(fragments: DataFrame, doc, number: str) -> DataFrame:
+    """Fragments of a document with a printed number, which may be given with its kind's name and a full stop; by order."""
+    wanted = F.nullif(F.regexp_extract(F.lit(number), r"(\d+(?:\.\d+)*)", 1), F.lit(""))
+    return fragments.where((F.col("doc") == doc) & (F.col("number") == wanted)).orderBy("ord", "id")
+
+
+def by_page(fragments: DataFrame, doc, page: int) -> DataFrame:
+    """Fragments of a document's page, by order."""
+    return fragments.where((F.col("doc") == doc) & (F.col("page") == page)).orderBy("ord", "id")
+
+
+def with_texts(places: DataFrame, fragments: DataFrame) -> DataFrame:
+    """Merged lists (id, place) as results (id, doc, pos, text)."""
+    return places.select("id", F.col("place").alias("pos")).join(fragments.select("id", "doc", "text"), "id")
+
+
+def with_references(places: DataFrame, fragments: DataFrame, most: int) -> DataFrame:
+    """(id, list, place) of merged lists and, behind them, up to ``most`` fragments that they refer to."""
+    return merged(places, followed(with_texts(places, fragments), fragments, most), pos="place")
+
+
+def recovered(fragments: DataFrame, doc, terms: list[str], located: DataFrame, budget: int, vectors: DataFrame | None = None) -> DataFrame:
+    """What goes with a question on a passage: located fragments (id, pos), the 4 of the document that fit best, up to 2 that these refer to; as many as the budget of words holds.
+
+    Without vectors the search is lexical, as for a question that is the passage itself.
     """
-    refs = results.select("doc", "pos", F.posexplode(F.regexp_extract_all("text", F.lit(r"\\(?:eq)?ref\{([^}]*)\}"), F.lit(1))).alias("n", "label"))
-    hits = refs.join(fragments.select("doc", "label", F.col("id").alias("to"), "ord"), ["doc", "label"])
-    one = hits.groupBy("doc", "label").agg(F.min(F.struct("pos", "n")).alias("at"), F.min_by("to", "ord").alias("to")).join(results.select(F.col("id").alias("to")), "to", "left_anti")
-    first = one.groupBy("to").agg(F.min(F.struct("at", "doc", "label")).alias("x"))
-    return first.orderBy("x.at", "to").limit(most).select(F.col("to").alias("id"), "x.doc", "x.label", F.col("x.label").alias("via"))
+    near = search(fragments, terms, k=4, doc=doc, vectors=vectors, per_doc=0).select("id", F.col("place").alias("pos"))
+    places = with_references(merged(located, near), fragments, 2)
+    sized = places.join(fragments.select("id", "text"), "id").withColumn("size", F.size(F.split(F.trim("text"), r"\s+"))).withColumn("_all", F.lit(0))
+    return within_budget(sized.drop("text"), ["_all"], "place", "size", budget).drop("_all")
+
+
+def asked(fragments: DataFrame, terms: list[str], named: list, k: int = 8, vectors: DataFrame | None = None) -> DataFrame:
+    """The fragments for a question: for each named document (three at most) its own quota, then the best of all, then references."""
+    lists = [search(fragments, terms, k=max(6, k // len(named)), doc=d, vectors=vectors, per_doc=0) for d in named[:3]]
+    lists.append(search(fragments, terms, k=k, vectors=vectors))
+    return with_references(merged(*lists, pos="place"), fragments, 4)
+
+
+def for_result(fragments: DataFrame, doc, title: str, terms: list[str], k: int, vectors: DataFrame | None = None) -> DataFrame:
+    """The fragments for one result of a document: those of its printed number first, then similar ones, then up to 3 references."""
+    exact = by_number(fragments, doc, title).select("id", F.col("ord").alias("pos"))
+    near = search(fragments, terms, k=k, doc=doc, vectors=vectors, per_doc=0).select("id", F.col("place").alias("pos"))
+    return with_references(merged(exact, near), fragments, 3)
+
+
+def used(answers: DataFrame, cited: DataFrame) -> DataFrame:
+    """(aid, id): fragments whose citation the answer's line of used ones has. answers: aid, answer. cited: aid, id, citation."""
+    line = F.regexp_extract("answer", r"(?m)^USADOS:[ \t]*(.*)$", 1)
+    keys = answers.select("aid", F.explode(F.transform(F.split(line, ";"), lambda x: F.trim(x))).alias("citation")).where("citation <> ''").distinct()
+    return cited.join(keys, ["aid", "citation"], "left_semi").select("aid", "id")
+
+
+def postings(terms: DataFrame) -> DataFrame:
+    """(term, id, tf, dl): the inverted index of terms as ``index_terms`` gives them."""
+    return terms.select("id", "dl", F.explode("toks").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+
+
+def search_many(terms: DataFrame, questions: DataFrame, k: int = 8) -> DataFrame:
+    """(qid, id, bm25, rank): the k best rows for each of many questions (qid, query), which meet their rows by term."""
+    posted = postings(terms)
+    sizes = terms.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    weight = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    # sizes and the mean weight are one row each
+    known = posted.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(sizes)).withColumn("w", weight)
+    mean = known.agg(F.avg("w").alias("mean"))
+    asked_ = questions.select("qid", F.explode(tokens(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    rows = asked_.join(known.crossJoin(F.broadcast(mean)), "term").join(posted, "term")
+    idf = F.when(F.col("w") >= 0, F.col("w")).otherwise(EPSILON * F.col("mean"))
+    part = F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scored = rows.groupBy("qid", "id").agg(F.sum(part).alias("bm25")).where("bm25 > 0")
+    w = Window.partitionBy("qid").orderBy(F.round("bm25", 9).desc(), "id")
+    return scored.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
 
 
 def within_budget(df: DataFrame, keys: list[str], order: str, size: str, budget: int) -> DataFrame:

@@ -66,10 +66,10 @@ def hybrid_boosted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def glossary_expand(spark: SparkSession, sf: str) -> DataFrame:
-    """Part names as queries, part types and nations as the glossary: keys are found within other words."""
-    glossary = table(spark, sf, "part").select(F.lower(F.element_at(F.split("p_name", " "), -1)).alias("key"), F.upper(F.element_at(F.split("p_name", " "), -1)).alias("value")).distinct()
-    queries = table(spark, sf, "part").select(F.lower("p_name").alias("query")).distinct()
-    return S.expanded(queries, glossary)
+    """Part names with types as queries, the beginnings of types as the glossary: keys are found within other words."""
+    part = table(spark, sf, "part")
+    glossary = part.select(F.lower(F.substring("p_type", 1, 3)).alias("key"), F.initcap("p_type").alias("value")).groupBy("key").agg(F.min("value").alias("value"))
+    return S.expanded(part.select(F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("query")).distinct(), glossary)
 
 
 def ordered_merge(spark: SparkSession, sf: str) -> DataFrame:
@@ -90,6 +90,157 @@ def last_user_turn(spark: SparkSession, sf: str) -> DataFrame:
     return turns.join(last, "conv_id").select("conv_id", "turn", "role", F.coalesce(F.col("turn") == F.col("last"), F.lit(False)).alias("with_context"))
 
 
+KINDS = {"de": "teorema", "fr": "lema", "es": "corolario"}
+
+
+def _library(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as fragments: sources as documents, languages as kinds; each refers to the next two by their numbers as labels."""
+    kind = F.lit("parrafo")
+    for lang, name in KINDS.items():
+        kind = F.when(F.col("lang") == lang, name).otherwise(kind)
+    n = F.col("doc_id")
+    text = F.concat("text", F.lit(" \\eqref{d"), n + 1, F.lit("} \\cref{d"), n + 2, F.lit("}"))
+    return docs(spark, sf).select(n.alias("id"), F.lit("paper").alias("source"), F.col("source").alias("doc"), kind.alias("kind"), text.alias("text"), F.concat(F.lit("d"), n).alias("label"), n.alias("ord"), (n % 40).cast("string").alias("number"), (n % 90 + 1).alias("page"))
+
+
+def _scored(df: DataFrame) -> DataFrame:
+    return df.select(F.col("id").alias("doc_id"), "doc", "kind", "bm25", "rrf", F.col("place").cast("int").alias("place"))
+
+
+def search_lexical(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole search without vectors, two of a document at most."""
+    return _scored(S.search(_library(spark, sf), TERMS))
+
+
+def search_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole search with vectors, and a query that a glossary of the regions' names makes longer."""
+    glossary = table(spark, sf, "region").select(F.lower("r_name").alias("key"), F.concat(F.lit("the onthe "), F.lower("r_name")).alias("value"))
+    terms = S.query_terms(f"{QUERY} of Ásia", glossary)
+    return _scored(S.search(_library(spark, sf), terms, vectors=_cosines(spark, sf)))
+
+
+def search_in_doc(spark: SparkSession, sf: str) -> DataFrame:
+    """The search within the document (a source) that comes first: no cap, statistics of its own."""
+    frags = _library(spark, sf)
+    first = frags.agg(F.min("doc")).first()[0]
+    return _scored(S.search(frags, TERMS, doc=first))
+
+
+def followed_refs(spark: SparkSession, sf: str) -> DataFrame:
+    """Fragments that the best ones refer to."""
+    frags = _library(spark, sf)
+    best = S.search(frags, TERMS).select("id", "doc", F.col("place").alias("pos"), "text")
+    return S.followed(best, frags).select(F.col("id").alias("doc_id"), "doc", "label", "via", F.col("place").cast("int").alias("place"))
+
+
+def recovered(spark: SparkSession, sf: str) -> DataFrame:
+    """What goes with a question on one document, behind its first two fragments, within 600 words."""
+    frags = _library(spark, sf)
+    first = frags.agg(F.min("doc")).first()[0]
+    located = frags.where(F.col("doc") == first).orderBy("id").limit(2).select("id", F.col("id").alias("pos"))
+    found = S.recovered(frags, first, TERMS, located, 600)
+    return found.select(F.col("id").alias("doc_id"), F.col("place").cast("int").alias("place"), F.col("total").cast("long").alias("total"))
+
+
+def asked(spark: SparkSession, sf: str) -> DataFrame:
+    """The fragments for a question that names two documents."""
+    frags = _library(spark, sf)
+    named = [r.doc for r in frags.select("doc").distinct().orderBy("doc").limit(2).collect()]
+    return S.asked(frags, TERMS, named).select(F.col("id").alias("doc_id"), F.col("list").cast("int").alias("list"), F.col("place").cast("int").alias("place"))
+
+
+def for_result(spark: SparkSession, sf: str) -> DataFrame:
+    """The fragments for a result with a printed number: those first, then similar ones, then what they refer to."""
+    frags = _library(spark, sf)
+    first = frags.agg(F.min("doc")).first()[0]
+    found = S.for_result(frags, first, "Lemma 7.", TERMS, 4)
+    return found.select(F.col("id").alias("doc_id"), F.col("list").cast("int").alias("list"), F.col("place").cast("int").alias("place"))
+
+
+def by_page(spark: SparkSession, sf: str) -> DataFrame:
+    """Fragments of page 5 of all documents whose names begin with the first letter, one lookup each."""
+    frags = _library(spark, sf)
+    first = frags.agg(F.min("doc")).first()[0]
+    return S.by_page(frags, first, 5).select(F.col("id").alias("doc_id"), "page")
+
+
+def citations(spark: SparkSession, sf: str) -> DataFrame:
+    """A citation for each part; what is missing in some of them follows from their sizes."""
+    p = table(spark, sf, "part")
+    kind = F.element_at(F.array(*map(F.lit, ("teorema", "demostracion", "parrafo", "lema", "resumen"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    number = F.when(F.col("p_size") % 3 == 0, F.concat("p_size", F.lit(".1")))
+    label = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("eq:"), "p_partkey"))
+    layer = F.when(F.col("p_size") % 4 < 2, "tex").otherwise("marker")
+    made = S.citation(F.col("p_brand"), F.when(F.col("p_size") > 10, F.col("p_size")), kind, number, label, layer, F.when(F.col("p_size") % 4 == 0, "v2"))
+    return p.select("p_partkey", made.alias("citation"))
+
+
+def used_fragments(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as answers that use some of their conversation's turns."""
+    t = table(spark, sf, "conversations")
+    cite = F.concat(F.lit("["), "conv_id", F.lit(":p"), "turn", F.lit("]"))
+    listed = t.groupBy(F.col("conv_id").alias("aid")).agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("turn") % 2 == 0, cite))), " ; ").alias("u"))
+    answers = listed.select("aid", F.concat(F.lit("an answer\nUSADOS: "), "u", F.lit("; [other:p1]\nmore")).alias("answer"))
+    cited = t.select(F.col("conv_id").alias("aid"), F.col("turn").alias("id"), cite.alias("citation"))
+    return S.used(answers, cited).select(F.col("aid").alias("conv_id"), F.col("id").alias("turn"))
+
+
+def control_run(spark: SparkSession, sf: str) -> DataFrame:
+    """The best documents for each of the benchmark's items, all at once."""
+    found = S.search_many(S.index_terms(docs(spark, sf), "doc_id"), table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query")))
+    return found.select(F.col("qid").alias("item_id"), F.col("id").alias("doc_id"), F.round("bm25", 3).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
+def embedding_text(spark: SparkSession, sf: str) -> DataFrame:
+    section = F.when(F.col("page") % 3 > 0, F.col("page").cast("string"))
+    frags = _library(spark, sf)
+    made = I.embedding_text(F.col("doc"), section, F.col("kind"), F.when(F.col("ord") % 2 == 0, F.col("label")), F.col("text"))
+    return frags.select(F.col("id").alias("doc_id"), F.md5(made.cast("binary")).alias("hash"))
+
+
+def located_numbered(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines 6 to 9 of each document, pasted from it under a printed number."""
+    frags = _fragments(docs(spark, sf)).withColumn("number", (F.col("ord") % 5 + 1).cast("string"))
+    lines = I.lines_as_units(docs(spark, sf), "doc_id", "text").where("n between 6 and 9").groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda u: u["text"]), " ").alias("t"))
+    passages = lines.select(F.col("doc").cast("long").alias("pid"), F.col("doc").cast("long").alias("doc"), F.concat(F.lit("Lemma "), (F.col("doc").cast("long") % 5 + 1).cast("string"), F.lit(". "), "t").alias("text"))
+    return L.located_in(passages, frags).select(F.col("doc").alias("doc_id"), F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"), "covered")
+
+
+def unglued_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of each document, glued three by three, taken apart by its own vocabulary."""
+    words = docs(spark, sf).select(F.col("doc_id").alias("doc"), X.bag(F.col("text")).alias("w"))
+    vocabulary = words.select("doc", F.explode("w").alias("word")).distinct()
+    glued = words.select("doc", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1)), F.lit(7)), lambda i: F.array_join(F.slice("w", i, 3), ""))).alias("word")).where("length(word) between 7 and 60").distinct()
+    return L.unglued(glued.join(vocabulary, ["doc", "word"], "left_anti"), vocabulary).select(F.col("doc").alias("doc_id"), "word", F.array_join("parts", " ").alias("parts"))
+
+
+def vectors_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors after a change of the index: those of labelled documents are there, of which toxic ones have another text."""
+    d, labels = docs(spark, sf).select(F.col("doc_id").alias("id"), X.fingerprint16(F.col("text")).alias("hash"), "source"), table(spark, sf, "labels")
+    old = labels.join(d.withColumnRenamed("id", "doc_id"), "doc_id").select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, F.concat("hash", F.lit("x"))).otherwise(F.col("hash")).alias("hash"), "source")
+    status = I.difference(d, old, ["source"])
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    new = vectors.join(status.where("status = 'new' and id % 2 = 0"), "id", "left_semi").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    kept = I.kept_vectors(vectors, status, new)
+    return kept.select(F.col("id").alias("vec_id"), F.round(F.get("embedding", F.lit(0)).cast("double"), 5).alias("first"))
+
+
+def sources_joined(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of documents and turns of conversations as units of one table, with their sources; orphans are told."""
+    lines = I.lines_as_units(docs(spark, sf), "doc_id", "text").select("doc", "n", "text")
+    turns = table(spark, sf, "conversations").select(F.concat(F.lit("c"), "conv_id").alias("doc"), F.col("turn").cast("int").alias("n"), "role")
+    bib = docs(spark, sf).where("source is not null").join(table(spark, sf, "labels"), "doc_id", "left_semi").select(F.col("doc_id").cast("string").alias("doc"), "source")
+    units = I.with_sources(I.all_sources(lines, turns), bib)
+    return units.groupBy("source", "orphan").agg(F.count("*").alias("units"), F.count_distinct("doc").alias("docs"), F.count("role").alias("turns"))
+
+
+def template_left_out(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of documents that aren't those of the benchmark's texts."""
+    units = I.lines_as_units(docs(spark, sf), "doc_id", "text")
+    kept = I.without_template(units, I.template_lines(table(spark, sf, "benchmark")).withColumnRenamed("line", "text"))
+    return kept.groupBy("doc").agg(F.count("*").alias("lines")).select(F.col("doc").cast("long").alias("doc_id"), "lines")
+
+
 def _fragments(d: DataFrame) -> DataFrame:
     """Four lines to a fragment: (doc, ord, words)."""
     lines = I.lines_as_units(d, "doc_id", "text").withColumn("ord", F.floor((F.col("n") - 1) / 4).cast("int"))
@@ -140,13 +291,14 @@ def fragment_index(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def index_diff(spark: SparkSession, sf: str) -> DataFrame:
-    """The stored version lacks some documents, has others under changed text or source, and some that are gone."""
-    d = docs(spark, sf)
-    now = d.where("doc_id % 7 <> 3").select(F.col("doc_id").alias("id"), X.fingerprint16(F.col("text")).alias("hash"), "source")
-    old_text = F.when(F.col("doc_id") % 5 == 1, F.concat("text", F.lit("."))).otherwise(F.col("text"))
-    old_source = F.when(F.col("doc_id") % 5 == 2, F.lit("moved")).otherwise(F.col("source"))
-    old = d.where("doc_id % 11 <> 4").select(F.col("doc_id").alias("id"), X.fingerprint16(old_text).alias("hash"), old_source.alias("source"))
-    return I.difference(now, old, ["source"]).withColumnRenamed("id", "doc_id")
+    """The stored index has the labelled documents, toxic ones under other texts and poor ones under another source, and the benchmark's items, which are gone."""
+    d, labels = docs(spark, sf), table(spark, sf, "labels")
+    now = d.select(F.col("doc_id").cast("string").alias("id"), X.fingerprint16(F.col("text")).alias("hash"), "source")
+    both = d.join(labels, "doc_id")
+    old_text = F.when(F.col("toxic") == 1, F.concat("text", F.lit("."))).otherwise(F.col("text"))
+    old = both.select(F.col("doc_id").cast("string").alias("id"), X.fingerprint16(old_text).alias("hash"), F.when(F.col("quality") == 0, F.lit("moved")).otherwise(F.col("source")).alias("source"))
+    gone = table(spark, sf, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("id"), X.fingerprint16(F.col("text")).alias("hash"), F.lit("x").alias("source"))
+    return I.difference(now, old.unionByName(gone), ["source"])
 
 
 def html_meta(spark: SparkSession, sf: str) -> DataFrame:
@@ -155,12 +307,18 @@ def html_meta(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def title_jaccard(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of part names that share most of their words. They meet by word."""
-    names = table(spark, sf, "part").select("p_name").distinct().select("p_name", X.words_over(F.col("p_name"), 2).alias("w"))
-    posted = names.select("p_name", "w", F.explode("w").alias("word"))
-    other = posted.select(F.col("p_name").alias("other"), F.col("w").alias("v"), "word")
-    pairs = posted.join(other, "word").where("p_name < other").select("p_name", "other", "w", "v").distinct()
-    return pairs.select("p_name", "other", F.round(X.jaccard(F.col("w"), F.col("v")), 4).alias("similarity")).where("similarity >= 0.3")
+    """Pairs of titles, made of the documents' first lines, that share 0.85 of their words.
+
+    Such pairs share one of the rarest words of either: as many as may be missing, and one more. They meet by these.
+    """
+    titles = docs(spark, sf).select("doc_id", X.words_over(F.substring_index("text", "\n", 1), 2).alias("w")).where("size(w) > 0")
+    common = titles.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    ranked = titles.select("doc_id", "w", F.explode("w").alias("word")).join(common, "word").groupBy("doc_id", "w").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("r"))
+    keys = F.transform(F.slice("r", 1, F.size("r") - F.ceil(F.size("r") * F.lit(0.85)).cast("int") + 1), lambda x: x["word"])
+    posted = ranked.select("doc_id", "w", F.explode(keys).alias("word"))
+    other = posted.select(F.col("doc_id").alias("other"), F.col("w").alias("v"), "word")
+    pairs = posted.join(other, "word").where("doc_id < other and size(v) <= size(w) / 0.85 and size(w) <= size(v) / 0.85").select("doc_id", "other", "w", "v").distinct()
+    return pairs.select("doc_id", "other", F.round(X.jaccard(F.col("w"), F.col("v")), 4).alias("similarity")).where("similarity >= 0.85")
 
 
 def title_containment(spark: SparkSession, sf: str) -> DataFrame:
@@ -171,12 +329,14 @@ def title_containment(spark: SparkSession, sf: str) -> DataFrame:
     return head.select("page_id", F.round(share, 4).alias("share"), (share >= 0.6).alias("contained"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_scores, bm25_filtered_stats, bm25_capped, cosine_topk, hybrid_rrf, hybrid_boosted, glossary_expand, ordered_merge, token_budget, last_user_turn, locate_passage, locate_with_neighbours, review_gate, paragraph_units, section_carry, fragment_groups, fragment_index, index_diff, html_meta, title_jaccard, title_containment)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_scores, bm25_filtered_stats, bm25_capped, cosine_topk, hybrid_rrf, hybrid_boosted, glossary_expand, ordered_merge, token_budget, last_user_turn, locate_passage, locate_with_neighbours, review_gate, paragraph_units, section_carry, fragment_groups, fragment_index, index_diff, html_meta, title_jaccard, title_containment, search_lexical, search_hybrid, search_in_doc, followed_refs, recovered, asked, for_result, by_page, citations, used_fragments, control_run, embedding_text, located_numbered, unglued_words, vectors_kept, sources_joined, template_left_out)}
 
+_HYBRID_TERMS = [*TERMS, "of", "sia", "the", "onthe", "asia"]
+_HYBRID = ", ".join(f"('{t}', {_HYBRID_TERMS.count(t)})" for t in dict.fromkeys(_HYBRID_TERMS))
 _TERMS = ", ".join(f"('{t}', {TERMS.count(t)})" for t in dict.fromkeys(TERMS))
 
 
-def _bm25(rows: str) -> str:
+def _bm25(rows: str, terms: str = _TERMS) -> str:
     """Common table expressions that end in scored(id, dl, bm25) of rows: (id, text)."""
     return f"""
 rows AS ({rows}),
@@ -185,7 +345,7 @@ sizes AS (SELECT count(*) AS n, avg(len(coalesce(toks, []))) AS avgdl FROM tok),
 tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(toks) AS term FROM tok) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 idf AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS idf0, avg(ln(n - df + 0.5) - ln(df + 0.5)) OVER () AS mean FROM df, sizes),
-q(term, qtf) AS (VALUES {_TERMS}),
+q(term, qtf) AS (VALUES {terms}),
 parts AS (SELECT tf.id, qtf * CASE WHEN idf0 >= 0 THEN idf0 ELSE 0.25 * mean END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(tok.toks) / avgdl)) AS part
           FROM tf JOIN q USING (term) JOIN idf USING (term) JOIN tok USING (id), sizes),
 scored AS (SELECT tok.id, len(coalesce(tok.toks, [])) AS dl, coalesce(sum(part), 0.0) AS bm25 FROM tok LEFT JOIN parts USING (id) GROUP BY ALL)"""
@@ -211,6 +371,77 @@ _BAG = "regexp_extract_all(regexp_replace(lower(text), '\\\\[a-z]+', ' ', 'g'),
 _LINES = "SELECT doc_id, i AS n, l[i] AS text FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '') AS l FROM documents), unnest(range(1, len(l) + 1)) AS t(i)"
 _SQUEEZE = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
 
+_LIB = """lib AS (SELECT doc_id AS id, source AS doc, CASE lang WHEN 'de' THEN 'teorema' WHEN 'fr' THEN 'lema' WHEN 'es' THEN 'corolario' ELSE 'parrafo' END AS kind,
+    text || ' \\eqref{d' || (doc_id + 1) || '} \\cref{d' || (doc_id + 2) || '}' AS text, 'd' || doc_id AS label, CAST(doc_id % 40 AS VARCHAR) AS number, doc_id % 90 + 1 AS page FROM documents)"""
+_FIRST = "doc = (SELECT min(doc) FROM lib)"
+
+
+def _search(where: str = "true", k: int = 8, per_doc: int = 2, vectors: bool = False, terms: str = _TERMS) -> str:
+    """A table expression of the whole search over lib: id, doc, kind, bm25, rrf, place."""
+    rows = f"SELECT id, text FROM lib WHERE {where}"
+    cos = f"SELECT id, 1.5 / (60 + row_number() OVER (ORDER BY round(cosine, 9) DESC, id) - 1) AS y FROM cosines WHERE id IN ({rows.replace('id, text', 'id')}) ORDER BY round(cosine, 9) DESC, id LIMIT 50"
+    return f"""(WITH {_bm25(rows, terms)},
+        a AS (SELECT id, bm25, 1.0 / (60 + row_number() OVER (ORDER BY round(bm25, 9) DESC, id) - 1) AS x FROM scored WHERE bm25 > 0 ORDER BY round(bm25, 9) DESC, id LIMIT 50),
+        b AS ({cos if vectors else "SELECT id, 0 AS y FROM lib WHERE false"}), f AS (SELECT id, bm25, coalesce(x, 0) + coalesce(y, 0) AS r FROM a FULL JOIN b USING (id)),
+        g AS (SELECT f.id, l.doc, l.kind, coalesce(bm25, 0) AS bm25, r * CASE l.kind WHEN 'teorema' THEN 1.5 WHEN 'lema' THEN 1.3 WHEN 'corolario' THEN 1.2 ELSE 1 END AS r FROM f JOIN lib l ON l.id = f.id),
+        h AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY round(r, 9) DESC, id) AS n FROM g)
+        SELECT id, doc, kind, round(bm25, 2) AS bm25, round(r, 4) AS rrf, row_number() OVER (ORDER BY round(r, 9) DESC, id) - 1 AS place FROM h WHERE {per_doc} = 0 OR n <= {per_doc} ORDER BY round(r, 9) DESC, id LIMIT {k})"""
+
+
+def _followed(res: str, most: int) -> str:
+    labels = "regexp_extract_all(l.text, '\\\\(?:ref|eqref|autoref|cref)\\{([^}]+)\\}', 1)"
+    return f"""(WITH x AS (SELECT p.id AS via, l.doc, p.place AS pos, unnest({labels}) AS label, unnest(range(len({labels}))) AS n FROM {res} p JOIN lib l ON l.id = p.id),
+        y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY doc, label ORDER BY pos, n, via) = 1),
+        z AS (SELECT l.id, y.* FROM y JOIN lib l ON l.doc = y.doc AND l.label = y.label WHERE l.id NOT IN (SELECT id FROM {res}))
+        SELECT id, doc, label, via, row_number() OVER (ORDER BY pos, n, via, id) - 1 AS place FROM z ORDER BY pos, n, via, id LIMIT {most})"""
+
+
+def _merged(*names: str) -> str:
+    union = " UNION ALL ".join(f"SELECT id, {i} AS list, place AS pos FROM {n}" for i, n in enumerate(names))
+    return f"(SELECT id, list, row_number() OVER (ORDER BY list, pos, id) - 1 AS place FROM (SELECT * FROM ({union}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY list, pos) = 1))"
+
+
+_FRAGMENT = f"""u AS MATERIALIZED (SELECT doc_id, n, text, CAST(len(regexp_extract_all(text, '\\S+')) AS INTEGER) AS w FROM ({_LINES})),
+    r(doc_id, n, frag, size) AS (SELECT doc_id, n, 0, w FROM u WHERE n = 1 UNION ALL
+      SELECT u.doc_id, u.n, CASE WHEN r.size >= 300 OR r.size + u.w > 800 THEN frag + 1 ELSE frag END, CASE WHEN r.size >= 300 OR r.size + u.w > 800 THEN u.w ELSE r.size + u.w END
+      FROM r JOIN u ON u.doc_id = r.doc_id AND u.n = r.n + 1),
+    g AS MATERIALIZED (SELECT doc_id, frag, count(*) AS units, sum(w) AS w, string_agg(text, chr(10) || chr(10) ORDER BY n) AS text FROM r JOIN u USING (doc_id, n) GROUP BY ALL),
+    l AS (SELECT doc_id, frag, string_split(regexp_replace(text, '([.;:])\\s+([A-Z\\\\$(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS s FROM g WHERE w > 800),
+    e AS MATERIALIZED (SELECT doc_id, frag, i, s[i] AS t, len(regexp_extract_all(s[i], '\\S+')) AS w FROM l, unnest(range(1, len(s) + 1)) AS x(i)),
+    p(doc_id, frag, i, part, now, n) AS (SELECT doc_id, frag, i, 0, trim(t, ' '), w FROM e WHERE i = 1 UNION ALL
+      SELECT e.doc_id, e.frag, e.i, CASE WHEN p.n > 0 AND p.n + e.w > 800 THEN part + 1 ELSE part END,
+        CASE WHEN p.n > 0 AND p.n + e.w > 800 THEN array_to_string(regexp_extract_all(now, '\\S+')[-60:], ' ') || ' ' || e.t ELSE trim(now || ' ' || e.t, ' ') END,
+        CASE WHEN p.n > 0 AND p.n + e.w > 800 THEN least(p.n, 60) + e.w ELSE p.n + e.w END
+      FROM p JOIN e ON e.doc_id = p.doc_id AND e.frag = p.frag AND e.i = p.i + 1),
+    f AS (SELECT doc_id, frag, part, arg_max(now, i) AS text FROM p GROUP BY ALL UNION ALL SELECT doc_id, frag, 0, text FROM g WHERE w <= 800),
+    k AS (SELECT f.*, units, row_number() OVER (PARTITION BY doc_id ORDER BY frag, part) - 1 AS k, len(coalesce(regexp_extract_all(regexp_replace(lower(f.text), '\\\\([a-z]+)', ' \\1 ', 'g'), '[a-z0-9]{{2,}}'), [])) AS n_tokens FROM f JOIN g USING (doc_id, frag))"""
+_NEAR = f"""lu AS ({_LINES}), lf AS (SELECT doc_id, (n - 1) // 4 AS ord, string_agg(text, ' ' ORDER BY n) AS text FROM lu GROUP BY ALL),
+    fw AS MATERIALIZED (SELECT DISTINCT doc_id, ord, unnest({_BAG}) AS word FROM lf), le AS (SELECT doc_id, max(ord) AS e, count(*) AS tot FROM lf GROUP BY ALL),
+    cm AS MATERIALIZED (SELECT doc_id, word FROM fw JOIN le USING (doc_id) GROUP BY doc_id, word HAVING any_value(tot) >= 12 AND count(*) > any_value(tot) / 3),
+    kw AS MATERIALIZED (SELECT * FROM fw ANTI JOIN cm USING (doc_id, word))"""
+
+
+def _shares(on: str) -> str:
+    """From words p (pid, [doc_id,] word, m) to x (pid, doc_id, ord, size, own, nxt, prv)."""
+    keys = on.split(", ")
+    p = ", ".join(f"p.{c} = k.{c}" if c != "word" else "p.word = k.word" for c in keys).replace(", ", " AND ")
+    return f"""tt AS (SELECT pid, sum(m) AS total FROM p GROUP BY pid), ls AS (SELECT p.pid, k.doc_id, sum(m) AS less FROM p JOIN cm k ON {p} GROUP BY ALL),
+    h AS MATERIALIZED (SELECT p.pid, k.doc_id, k.ord, p.word, m FROM p JOIN kw k ON {p}), ow AS (SELECT pid, doc_id, ord, sum(m) AS own FROM h GROUP BY ALL),
+    bo AS MATERIALIZED (SELECT pid, doc_id, ord, sum(m) AS both_ FROM (SELECT DISTINCT pid, doc_id, word, m, unnest([ord, ord - 1]) AS ord FROM h) GROUP BY ALL),
+    pl AS (SELECT DISTINCT pid, doc_id, o AS ord, e FROM (SELECT pid, doc_id, unnest([ord, ord + 1]) AS o FROM bo) JOIN le USING (doc_id) WHERE o BETWEEN 0 AND e),
+    x0 AS (SELECT pl.*, total - coalesce(less, 0) AS size, coalesce(own, 0) AS o, CASE WHEN pl.ord < e THEN coalesce(a.both_, 0) ELSE 0 END AS a, CASE WHEN pl.ord > 0 THEN coalesce(b.both_, 0) ELSE 0 END AS b FROM pl JOIN tt USING (pid) LEFT JOIN ls USING (pid, doc_id)
+      LEFT JOIN ow USING (pid, doc_id, ord) LEFT JOIN bo a ON a.pid = pl.pid AND a.doc_id = pl.doc_id AND a.ord = pl.ord LEFT JOIN bo b ON b.pid = pl.pid AND b.doc_id = pl.doc_id AND b.ord = pl.ord - 1),
+    x AS (SELECT pid, doc_id, ord, size, o / size AS own, a / size AS nxt, b / size AS prv FROM x0 WHERE size >= 5)"""
+
+
+def _spanning(best: str, least: str) -> str:
+    return f"""y AS (SELECT *, nxt >= own + 0.15 AND nxt >= prv AS tn, prv >= own + 0.15 AS tp FROM {best}),
+    z AS (SELECT *, CASE WHEN tn THEN nxt WHEN tp THEN prv ELSE own END AS got FROM y)
+    SELECT pid, doc_id, CAST(CASE WHEN NOT tn AND tp THEN ord - 1 ELSE ord END AS INTEGER) AS first, CAST(CASE WHEN tn THEN ord + 1 ELSE ord END AS INTEGER) AS last, round(got, 2) AS covered FROM z WHERE got >= {least}"""
+
+
+_ENOUGH = "CASE WHEN size < 25 THEN 0.7 ELSE 0.6 END"
+
 SQL = {
     "bm25_topk": f"WITH {_ALL} {_TOP}",
     "bm25_scores": f"WITH {_ALL} SELECT id AS doc_id, round(bm25, 4) AS score, CAST(dl AS BIGINT) AS dl FROM scored",
@@ -224,8 +455,7 @@ SQL = {
     "hybrid_boosted": _FUSED + """, h AS (SELECT id, source, lang, rrf * CASE lang WHEN 'de' THEN 1.5 WHEN 'fr' THEN 1.3 WHEN 'es' THEN 1.2 ELSE 1 END AS rrf FROM g),
         r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(rrf, 9) DESC, id) AS n FROM h)
         SELECT id AS doc_id, lang, round(rrf, 4) AS rrf FROM r WHERE n <= 2 ORDER BY round(r.rrf, 9) DESC, id LIMIT 8""",
-    "glossary_expand": """WITH q AS (SELECT DISTINCT lower(p_name) AS query FROM part),
-        g AS (SELECT DISTINCT lower(string_split(p_name, ' ')[-1]) AS key, upper(string_split(p_name, ' ')[-1]) AS value FROM part)
+    "glossary_expand": """WITH q AS (SELECT DISTINCT lower(p_name || ' ' || p_type) AS query FROM part), g AS (SELECT lower(p_type[1:3]) AS key, min(upper(p_type[1]) || lower(p_type[2:])) AS value FROM part GROUP BY ALL)
         SELECT query, trim(query || ' ' || coalesce(string_agg(value, ' ' ORDER BY -length(key), key), '')) AS expanded FROM q LEFT JOIN g ON contains(query, key) GROUP BY query""",
     "ordered_merge": f"""WITH {_ALL}, {_COS},
         a AS (SELECT id, 0 AS list, row_number() OVER (ORDER BY round(bm25, 9) DESC, id) AS pos FROM scored WHERE bm25 > 0 ORDER BY pos LIMIT 20),
@@ -243,19 +473,38 @@ SQL = {
         c AS (SELECT item_id, doc_id, size, sum(m) / size AS covered FROM p JOIN s USING (item_id) JOIN dw USING (word) GROUP BY item_id, doc_id, size),
         r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY covered DESC, doc_id) AS k FROM c)
         SELECT item_id, doc_id, round(covered, 2) AS covered, covered >= CASE WHEN size < 25 THEN 0.7 ELSE 0.6 END AS found FROM r WHERE k = 1""",
-    "locate_with_neighbours": f"""WITH u AS ({_LINES}), f AS (SELECT doc_id, (n - 1) // 4 AS ord, string_agg(text, ' ' ORDER BY n) AS text FROM u GROUP BY ALL),
-        g AS (SELECT doc_id, ord, list_distinct({_BAG}) AS w, lead(list_distinct({_BAG})) OVER x AS nx, lag(list_distinct({_BAG})) OVER x AS pv FROM f WINDOW x AS (PARTITION BY doc_id ORDER BY ord)),
-        p AS (SELECT item_id, word, count(*) AS m FROM (SELECT item_id, unnest({_BAG}) AS word FROM benchmark) GROUP BY ALL),
-        s AS (SELECT item_id, sum(m) AS size FROM p GROUP BY item_id HAVING sum(m) >= 5),
-        o AS (SELECT item_id, doc_id, ord, sum(m) AS own FROM p JOIN s USING (item_id) JOIN (SELECT doc_id, ord, unnest(w) AS word FROM g) USING (word) GROUP BY ALL),
-        b AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY item_id, doc_id ORDER BY own DESC, ord) = 1),
-        e AS (SELECT b.*, size, own / size AS me,
-              CASE WHEN nx IS NULL THEN 0 ELSE (SELECT coalesce(sum(m), 0) FROM p WHERE p.item_id = b.item_id AND (list_contains(g.w, p.word) OR list_contains(g.nx, p.word))) / size END AS nxt,
-              CASE WHEN pv IS NULL THEN 0 ELSE (SELECT coalesce(sum(m), 0) FROM p WHERE p.item_id = b.item_id AND (list_contains(g.w, p.word) OR list_contains(g.pv, p.word))) / size END AS prv
-              FROM b JOIN s USING (item_id) JOIN g USING (doc_id, ord) WHERE own / size >= 0.2),
-        h AS (SELECT *, nxt >= me + 0.15 AND nxt >= prv AS tn, prv >= me + 0.15 AS tp FROM e),
-        k AS (SELECT item_id, doc_id, size, CASE WHEN tn THEN nxt WHEN tp THEN prv ELSE me END AS got, CASE WHEN NOT tn AND tp THEN ord - 1 ELSE ord END AS first, CASE WHEN tn THEN ord + 1 ELSE ord END AS last FROM h)
-        SELECT item_id, doc_id, CAST(first AS INTEGER) AS first, CAST(last AS INTEGER) AS last, round(got, 2) AS covered FROM k WHERE got >= CASE WHEN size < 25 THEN 0.7 ELSE 0.6 END""",
+    "locate_with_neighbours": f"""WITH {_NEAR}, p AS (SELECT item_id AS pid, word, count(*) AS m FROM (SELECT item_id, unnest({_BAG}) AS word FROM benchmark) GROUP BY ALL), {_shares("word")},
+        v AS (SELECT * FROM x WHERE own > 0 QUALIFY row_number() OVER (PARTITION BY pid, doc_id ORDER BY own DESC, ord) = 1), w AS ({_spanning("v", _ENOUGH).replace("y AS", "WITH y AS", 1)}) SELECT pid AS item_id, doc_id, first, last, covered FROM w""",
+    "located_numbered": f"""WITH {_NEAR}, t AS (SELECT doc_id, string_agg(text, ' ' ORDER BY n) AS text FROM lu WHERE n BETWEEN 6 AND 9 GROUP BY ALL),
+        p AS (SELECT doc_id AS pid, doc_id, word, count(*) AS m FROM (SELECT doc_id, unnest({_BAG}) AS word FROM t) GROUP BY ALL), {_shares("doc_id, word")},
+        nm AS (SELECT *, (ord % 5 + 1) = (pid % 5 + 1) AS named FROM x), ng AS (SELECT *, coalesce(max(CASE WHEN named THEN greatest(own, nxt) END) OVER (PARTITION BY pid) >= 0.3, false) AS bn FROM nm),
+        v AS (SELECT * FROM ng WHERE named OR NOT bn QUALIFY row_number() OVER (PARTITION BY pid ORDER BY own DESC, ord) = 1), w AS ({_spanning("v", f"CASE WHEN bn THEN 0.3 ELSE {_ENOUGH} END").replace("y AS", "WITH y AS", 1)}) SELECT doc_id, first, last, covered FROM w""",
+    "fragment_index": f"""WITH RECURSIVE {_FRAGMENT} SELECT doc_id || '#' || lpad(CAST(k AS VARCHAR), 4, '0') AS id, doc_id, CAST(k AS INTEGER) AS k, CAST(part AS INTEGER) AS part, CASE WHEN units > 1 THEN 'parrafos' ELSE 'parrafo' END AS kind, CAST(n_tokens AS INTEGER) AS n_tokens, substr(sha1(text), 1, 16) AS hash FROM k WHERE n_tokens >= 20""",
+    "search_lexical": f"WITH {_LIB}, s AS {_search()} SELECT id AS doc_id, doc, kind, bm25, rrf, CAST(place AS INTEGER) AS place FROM s",
+    "search_hybrid": f"WITH {_LIB}, {_COS}, s AS {_search(vectors=True, terms=_HYBRID)} SELECT id AS doc_id, doc, kind, bm25, rrf, CAST(place AS INTEGER) AS place FROM s",
+    "search_in_doc": f"WITH {_LIB}, s AS {_search(_FIRST, per_doc=0)} SELECT id AS doc_id, doc, kind, bm25, rrf, CAST(place AS INTEGER) AS place FROM s",
+    "followed_refs": f"WITH {_LIB}, s AS {_search()}, f AS {_followed('s', 4)} SELECT id AS doc_id, doc, label, via, CAST(place AS INTEGER) AS place FROM f",
+    "recovered": f"""WITH {_LIB}, s AS {_search(_FIRST, 4, 0)}, o AS (SELECT id, id AS place FROM lib WHERE {_FIRST} ORDER BY id LIMIT 2), m AS {_merged('o', 's')}, f AS {_followed('m', 2)}, n AS {_merged('m', 'f')},
+        z AS (SELECT n.id, n.place, len(regexp_split_to_array(trim(l.text, ' '), '\\s+')) AS size FROM n JOIN lib l ON l.id = n.id), c AS (SELECT *, sum(size) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING) AS total FROM z)
+        SELECT id AS doc_id, CAST(place AS INTEGER) AS place, CAST(total AS BIGINT) AS total FROM c WHERE total <= 600 OR place = 0""",
+    "asked": f"""WITH {_LIB}, d AS (SELECT DISTINCT doc FROM lib WHERE doc IS NOT NULL ORDER BY doc LIMIT 2), a1 AS {_search("doc = (SELECT min(doc) FROM d)", 6, 0)}, a2 AS {_search("doc = (SELECT max(doc) FROM d)", 6, 0)}, a3 AS {_search()},
+        m AS {_merged('a1', 'a2', 'a3')}, f AS {_followed('m', 4)}, n AS {_merged('m', 'f')} SELECT id AS doc_id, CAST(list AS INTEGER) AS list, CAST(place AS INTEGER) AS place FROM n""",
+    "for_result": f"""WITH {_LIB}, s AS {_search(_FIRST, 4, 0)}, o AS (SELECT id, id AS place FROM lib WHERE {_FIRST} AND number = '7'), m AS {_merged('o', 's')}, f AS {_followed('m', 3)}, n AS {_merged('m', 'f')} SELECT id AS doc_id, CAST(list AS INTEGER) AS list, CAST(place AS INTEGER) AS place FROM n""",
+    "by_page": f"WITH {_LIB} SELECT id AS doc_id, page FROM lib WHERE {_FIRST} AND page = 5",
+    "citations": """WITH x AS (SELECT *, ['teorema', 'demostracion', 'parrafo', 'lema', 'resumen'][p_partkey % 5 + 1] AS kind, CASE WHEN p_size % 3 = 0 THEN p_size || '.1' END AS num, CASE WHEN p_size % 2 = 0 THEN ', etiqueta LaTeX: eq:' || p_partkey ELSE '' END AS lab FROM part)
+        SELECT p_partkey, '[' || p_brand || CASE WHEN p_size > 10 THEN ':p' || p_size ELSE '' END || CASE WHEN kind IN ('teorema', 'lema') AND num IS NOT NULL THEN ', ' || upper(kind[1]) || kind[2:] || ' ' || num WHEN kind IN ('teorema', 'lema', 'demostracion') THEN ', ' || kind || lab ELSE '' END
+          || CASE WHEN p_size % 4 < 2 THEN ' | texto: arXiv ' || CASE WHEN p_size % 4 = 0 THEN 'v2' ELSE 'v?' END ELSE '' END || ']' AS citation FROM x""",
+    "used_fragments": "SELECT conv_id, turn FROM conversations WHERE turn % 2 = 0",
+    "control_run": f"""WITH {_bm25("SELECT doc_id AS id, text FROM documents")}, k AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(regexp_replace(lower(text), '\\\\([a-z]+)', ' \\1 ', 'g'), '[a-z0-9]{{2,}}')) AS term FROM benchmark) GROUP BY ALL),
+        z AS (SELECT item_id, tf.id, sum(qtf * CASE WHEN idf0 >= 0 THEN idf0 ELSE 0.25 * mean END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(tok.toks) / avgdl))) AS s FROM k JOIN tf USING (term) JOIN idf USING (term) JOIN tok ON tok.id = tf.id, sizes GROUP BY item_id, tf.id)
+        SELECT item_id, id AS doc_id, round(s, 3) AS score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(s, 9) DESC, id) - 1 AS INTEGER) AS rank FROM z WHERE s > 0 QUALIFY rank < 8""",
+    "embedding_text": f"""WITH {_LIB} SELECT id AS doc_id, md5(array_to_string(list_filter([doc, CASE WHEN page % 3 > 0 THEN CAST(page AS VARCHAR) END, kind, CASE WHEN id % 2 = 0 THEN label END], lambda x: x IS NOT NULL AND x <> ''), ' \u00b7 ') || chr(10) || text) AS hash FROM lib""",
+    "vectors_kept": """WITH s AS (SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'new' WHEN toxic = 1 THEN 'changed' ELSE 'same' END AS status FROM documents d LEFT JOIN labels l USING (doc_id))
+        SELECT vec_id, round(CAST(CASE WHEN status = 'new' THEN -embedding[1] ELSE embedding[1] END AS DOUBLE), 5) AS first FROM embeddings JOIN s ON s.doc_id = vec_id WHERE status = 'same' OR status = 'new' AND vec_id % 2 = 0""",
+    "sources_joined": f"""WITH u AS (SELECT CAST(doc_id AS VARCHAR) AS doc, n, NULL AS role FROM ({_LINES}) UNION ALL SELECT 'c' || conv_id, turn, role FROM conversations), b AS (SELECT CAST(doc_id AS VARCHAR) AS doc, source FROM documents WHERE source IS NOT NULL AND doc_id IN (SELECT doc_id FROM labels))
+        SELECT coalesce(source, 'paper') AS source, b.doc IS NULL AS orphan, count(*) AS units, count(DISTINCT u.doc) AS docs, count(role) AS turns FROM u LEFT JOIN b USING (doc) GROUP BY ALL""",
+    "template_left_out": f"""WITH u AS ({_LINES}), t AS (SELECT DISTINCT trim(regexp_replace(lower(trim(x, ' ')), '\\s+', ' ', 'g'), ' ') AS line FROM (SELECT unnest(string_split(text, chr(10))) AS x FROM benchmark) WHERE trim(x, ' ') <> '')
+        SELECT doc_id, count(*) AS lines FROM u WHERE trim(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' ') NOT IN (SELECT line FROM t) GROUP BY doc_id""",
     "review_gate": "WITH " + _bm25("SELECT doc_id AS id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)") + " SELECT id AS doc_id, round(bm25, 4) AS score FROM scored",
     "paragraph_units": f"WITH u AS ({_LINES}) SELECT doc_id, CAST(n AS INTEGER) AS n, CAST(length(text) AS BIGINT) AS chars, substr(sha1(text), 1, 16) AS hash FROM u",
     "section_carry": f"""WITH u AS ({_LINES}), h AS (SELECT *, nullif(regexp_extract(text, '^([A-Z][A-Z ]+[A-Z])\\b', 1), '') AS heading FROM u)
@@ -265,14 +514,14 @@ SQL = {
           SELECT u.doc_id, u.n, CASE WHEN r.size >= 300 OR r.size + u.w > 800 THEN frag + 1 ELSE frag END, CASE WHEN r.size >= 300 OR r.size + u.w > 800 THEN u.w ELSE r.size + u.w END
           FROM r JOIN u ON u.doc_id = r.doc_id AND u.n = r.n + 1)
         SELECT doc_id, CAST(min(n) AS INTEGER) AS first_n, CAST(max(n) AS INTEGER) AS last_n FROM r GROUP BY doc_id, frag""",
-    "index_diff": """WITH a AS (SELECT doc_id, substr(sha1(text), 1, 16) AS h, source FROM documents WHERE doc_id % 7 <> 3),
-        b AS (SELECT doc_id, substr(sha1(CASE WHEN doc_id % 5 = 1 THEN text || '.' ELSE text END), 1, 16) AS h, CASE WHEN doc_id % 5 = 2 THEN 'moved' ELSE source END AS source FROM documents WHERE doc_id % 11 <> 4)
-        SELECT doc_id, CASE WHEN a.h IS NULL THEN 'removed' WHEN b.h IS NULL THEN 'new' WHEN a.h <> b.h THEN 'changed' WHEN a.source IS DISTINCT FROM b.source THEN 'meta' ELSE 'same' END AS status FROM a FULL JOIN b USING (doc_id)""",
+    "index_diff": """WITH a AS (SELECT CAST(doc_id AS VARCHAR) AS id, substr(sha1(text), 1, 16) AS h, source FROM documents),
+        b AS (SELECT CAST(doc_id AS VARCHAR) AS id, substr(sha1(CASE WHEN toxic = 1 THEN text || '.' ELSE text END), 1, 16) AS h, CASE WHEN quality = 0 THEN 'moved' ELSE source END AS source FROM documents JOIN labels USING (doc_id) UNION ALL SELECT 'b' || item_id, substr(sha1(text), 1, 16), 'x' FROM benchmark)
+        SELECT id, CASE WHEN a.h IS NULL THEN 'removed' WHEN b.h IS NULL THEN 'new' WHEN a.h <> b.h THEN 'changed' WHEN a.source IS DISTINCT FROM b.source THEN 'meta' ELSE 'same' END AS status FROM a FULL JOIN b USING (id)""",
     "html_meta": """SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), ' '), '') AS title, nullif(trim(regexp_extract(html, '(?i)<html[^>]*\\slang=["'']([^"'']*)', 1), ' '), '') AS lang,
         nullif(trim(regexp_extract(html, '(?i)<meta[^>]*charset=["'']?([A-Za-z0-9_-]+)', 1), ' '), '') AS charset, CAST(len(regexp_extract_all(html, '<a ')) AS BIGINT) AS links FROM pages""",
-    "title_jaccard": f"""WITH n AS (SELECT DISTINCT p_name FROM part), w AS (SELECT p_name, list_distinct(list_filter(string_split({_SQUEEZE.format('p_name')}, ' '), lambda x: length(x) > 2)) AS w FROM n),
-        p AS (SELECT a.p_name, b.p_name AS other, len(list_intersect(a.w, b.w)) AS i, len(list_distinct(list_concat(a.w, b.w))) AS u FROM w a JOIN w b ON a.p_name < b.p_name)
-        SELECT p_name, other, round(i / u, 4) AS similarity FROM p WHERE i > 0 AND round(i / u, 4) >= 0.3""",
+    "title_jaccard": f"""WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split({_SQUEEZE.format("string_split(text, chr(10))[1]")}, ' '), lambda x: length(x) > 2)) AS w FROM documents), v AS (SELECT * FROM w WHERE len(w) > 0),
+        p AS (SELECT a.doc_id, b.doc_id AS other, len(list_intersect(a.w, b.w)) AS i, len(list_distinct(list_concat(a.w, b.w))) AS u FROM v a JOIN v b ON a.doc_id < b.doc_id)
+        SELECT doc_id, other, round(i / u, 4) AS similarity FROM p WHERE i > 0 AND round(i / u, 4) >= 0.85""",
     "title_containment": f"""WITH t AS (SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), ' '), '') AS title, {_SQUEEZE.format("regexp_replace(html, '(?s)<title[^>]*>.*?</title>|<[^>]*>', ' ', 'g')")} AS body FROM pages),
         w AS (SELECT page_id, body, list_distinct(list_filter(string_split({_SQUEEZE.format('title')}, ' '), lambda x: length(x) > 3)) AS w FROM t),
         s AS (SELECT page_id, coalesce(len(list_filter(w, lambda x: contains(body, x))) / nullif(len(w), 0), 0) AS share FROM w)
