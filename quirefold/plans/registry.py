@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quirefold.plans import lab_queries, log_queries, search_queries
+from quirefold.plans import lab_queries, log_queries, note_queries, search_queries
 
-QUERIES = {**search_queries.QUERIES, **log_queries.QUERIES, **lab_queries.QUERIES}
-SQL = {**search_queries.SQL, **log_queries.SQL, **lab_queries.SQL}
+QUERIES = {**search_queries.QUERIES, **log_queries.QUERIES, **lab_queries.QUERIES, **note_queries.QUERIES}
+SQL = {**search_queries.SQL, **log_queries.SQL, **lab_queries.SQL, **note_queries.SQL}
