@@ -20,7 +20,14 @@ def cost(calls: DataFrame, prices: DataFrame, fx: float) -> DataFrame:
     cache = F.least(F.coalesce("tokens_cache", F.lit(0)), F.col("tokens_in"))
     usd = ((F.col("tokens_in") - cache) * F.col("p_in") + cache * F.coalesce("p_cache", "p_in") + F.col("tokens_out") * F.col("p_out")) / 1e6
     priced = calls.join(F.broadcast(prices), "model", "left")
-    return priced.withColumn("eur", F.when(F.col("p_in").isNotNull() & F.col("p_out").isNotNull(), usd * fx)).drop("p_in", "p_cache", "p_out")
+    known = F.col("p_in").isNotNull() & F.col("p_out").isNotNull()
+    return priced.withColumn("eur", F.when(known, usd * fx)).withColumn("all_prices", known & F.col("p_cache").isNotNull()).drop("p_in", "p_cache", "p_out")
+
+
+def transcription_costs(costs: DataFrame, *keys: str) -> DataFrame:
+    """Pages, tokens, seconds, cut pages and euros by keys; euros of three digits a page, none unless all three prices are known."""
+    eur = F.when(F.bool_and("all_prices"), F.sum(F.round("eur", 3)))
+    return costs.groupBy(*keys).agg(F.count("*").alias("pages"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sum("seconds").alias("seconds"), F.count_if("cut").alias("cut"), eur.alias("eur"))
 
 
 def cost_by(costs: DataFrame, *keys: str) -> DataFrame:
@@ -73,8 +80,9 @@ def cards(lines: DataFrame, line: str, hold: str = "VERIFICAR CON PAPER") -> Dat
 
 
 def new_attempts(stored: DataFrame, more: DataFrame) -> DataFrame:
-    """Those of ``more`` (rid, date, session, level) that aren't stored yet, levels within 0..3."""
-    return more.join(stored, ["rid", "date", "session"], "left_anti").withColumn("level", F.least(F.greatest("level", F.lit(0)), F.lit(3)))
+    """Those of ``more`` (rid, date, session, level) that aren't stored yet, each once, levels within 0..3."""
+    once = more.groupBy("rid", "date", "session").agg(*[F.max(c).alias(c) for c in more.columns if c not in ("rid", "date", "session")]).select(*more.columns)
+    return once.join(stored, ["rid", "date", "session"], "left_anti").withColumn("level", F.least(F.greatest("level", F.lit(0)), F.lit(3)))
 
 
 def next_number(used: DataFrame, number: str = "number") -> DataFrame:

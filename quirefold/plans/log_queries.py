@@ -54,6 +54,53 @@ def engine_gate(spark: SparkSession, sf: str) -> DataFrame:
     return _cycles(spark, sf).groupBy("phase").agg(F.count("*").alias("cycles"), F.count_if(free).alias("allowed"), F.count_if(broken).alias("violations"))
 
 
+def guarded_marks(spark: SparkSession, sf: str) -> DataFrame:
+    """The phase before each mark of the log, and whether the mark may come then."""
+    made = C.guarded(_marks(table(spark, sf, "events")))
+    return made.select(F.col("stream").alias("user_id"), F.col("seq").alias("event_id"), "kind", F.col("before").alias("phase"), "ok")
+
+
+def paused_cycles(spark: SparkSession, sf: str) -> DataFrame:
+    """Hours since the last pause of paused cycles, with a warning after three days, and what is to be done next."""
+    now, marks = F.lit(NOW).cast("timestamp"), _marks(table(spark, sf, "events"))
+    made = C.paused_hours(C.cycles(marks, now), C.pauses(C.numbered(marks)), now)
+    next_ = C.suggestion(F.col("phase"), F.col("paused"), F.col("stream") % 3, F.col("stream") % 2)
+    return made.select(F.col("stream").alias("user_id"), F.col("cycle").cast("long").alias("cycle"), "hours", "warning", next_.alias("next"))
+
+
+def cycle_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """The first session of the date of each cycle's start; orders' dates, a day of the month later, are sessions."""
+    marks = _marks(table(spark, sf, "events"))
+    day = F.make_date(F.lit(2024), F.lit(1), F.dayofmonth("o_orderdate"))
+    label = F.concat(F.date_format(day, "yyyy-MM-dd"), F.when(F.col("o_orderkey") % 7 == 0, "-diagnostico-").otherwise("-paper-"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0"), F.lit(".md"))
+    sessions = table(spark, sf, "orders").select(label.alias("path"), day.alias("date"))
+    made = C.session_of(C.cycles(marks, F.lit(NOW).cast("timestamp")), sessions)
+    return made.select(F.col("stream").alias("user_id"), F.col("cycle").cast("long").alias("cycle"), F.col("date").cast("string").alias("date"), "path", C.is_base(F.substring("path", 12, 100)).alias("base"))
+
+
+def cycle_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Net minutes of the first and third phase by user and start date."""
+    now, marks = F.lit(NOW).cast("timestamp"), _marks(table(spark, sf, "events"))
+    made = C.metrics(marks, C.pauses(C.numbered(marks)), now)
+    return made.select(F.col("stream").alias("user_id"), F.col("date").cast("string").alias("date"), "cycles", "closed", F.round("min_f1", 1).alias("min_f1"), F.round("min_f3", 1).alias("min_f3"))
+
+
+def dashboard(spark: SparkSession, sf: str) -> DataFrame:
+    """Small aggregates of the orders by customer as one list, and the mode that follows from them."""
+    open_ = F.col("o_orderstatus") == "O"
+    counts = {"orders": F.count("*"), "unread": F.count_if(open_), "total": F.round(F.sum("o_totalprice"), 2), "base": F.count_if(C.is_base(F.concat(F.lit("base-"), "o_orderstatus")))}
+    rows = C.dashboard(counts, table(spark, sf, "orders"), ["o_custkey"])
+    mode = table(spark, sf, "orders").groupBy("o_custkey").agg(C.attack_mode(F.count_if(open_), F.count("*")).alias("mode"))
+    return rows.join(mode, "o_custkey")
+
+
+def transcription_cost(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens, seconds and cut pages by month, with costs of three digits, none where a price is missing."""
+    e = _calls(table(spark, sf, "events")).withColumn("seconds", F.col("tokens_out") / 100.0).withColumn("cut", F.col("tokens_out") > 15000)
+    prices = spark.createDataFrame(PRICES, "model string, p_in double, p_cache double, p_out double")
+    return R.transcription_costs(R.cost(e, prices, FX), "month", "model").select("month", "model", "pages", "tokens_in", "tokens_out", F.round("seconds", 2).alias("seconds"), "cut", F.round("eur", 2).alias("eur"))
+
+
 def _calls(events: DataFrame) -> DataFrame:
     tin = F.floor(F.col("value") * 1000).cast("long")
     return events.select("event_id", F.date_format("ts", "yyyy-MM").alias("month"), F.to_date("ts").alias("day"), F.col("event_type").alias("command"), F.concat(F.lit("m"), (F.col("user_id") % 4).cast("string")).alias("model"), tin.alias("tokens_in"), F.floor(F.col("value") * 100).cast("long").alias("tokens_out"), (F.get_json_object("props", "$.k").cast("long") * 500).alias("tokens_cache"))
@@ -124,7 +171,7 @@ def stream_cycle(spark: SparkSession, sf: str) -> DataFrame:
     return last.select(F.col("stream").alias("user_id"), "x.*")
 
 
-QUERIES = {f.__name__: f for f in (cycle_phase, cycle_expiry, net_minutes, engine_gate, call_cost, month_cost, cost_rollup, last4_vs_prev4, topic_recurrence, spaced_repetition, progress_first_unread, card_export_split, status_counts, stream_cost_window, stream_cycle)}
+QUERIES = {f.__name__: f for f in (cycle_phase, cycle_expiry, net_minutes, engine_gate, call_cost, month_cost, cost_rollup, last4_vs_prev4, topic_recurrence, spaced_repetition, progress_first_unread, card_export_split, status_counts, stream_cost_window, stream_cycle, guarded_marks, paused_cycles, cycle_sessions, cycle_metrics, dashboard, transcription_cost)}
 
 _MARKS = """m AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'signup' THEN 'start' WHEN 'view' THEN CASE WHEN value < 35 THEN 'seal1' ELSE 'seal3' END WHEN 'click' THEN 'attack'
       WHEN 'error' THEN CASE WHEN value < 35 THEN 'pause' ELSE 'resume' END WHEN 'purchase' THEN 'close' END AS kind FROM events),
@@ -141,7 +188,34 @@ _COST = """p(model, p_in, p_cache, p_out) AS (VALUES ('m0', 2.5::DOUBLE, 1.25::D
     z AS (SELECT *, ((tokens_in - cached) * p_in + cached * coalesce(p_cache, p_in) + tokens_out * p_out) / 1e6 * 0.87 AS eur FROM e)"""
 _SUMS = "count(*) AS calls, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out, round(sum(coalesce(eur, 0)), 4) AS eur, bool_or(eur IS NULL) AS unpriced"
 
+_PAUSES = """t AS (SELECT *, lag(kind) OVER (PARTITION BY user_id, cycle ORDER BY event_id) AS was FROM k WHERE kind IN ('pause', 'resume')),
+    u AS (SELECT * FROM t WHERE kind = 'pause' AND coalesce(was, 'resume') = 'resume' OR kind = 'resume' AND was = 'pause'),
+    r AS (SELECT user_id, cycle, ts AS p, kind, lead(ts) OVER (PARTITION BY user_id, cycle ORDER BY event_id) AS r FROM u)"""
+
+
+def _net(a: str, b: str, name: str) -> str:
+    return f"""{name} AS (SELECT q.user_id, q.cycle, round((epoch_us({b}) - epoch_us({a}) - coalesce(sum(greatest(0, epoch_us(least(coalesce(r, TIMESTAMP '{NOW}'), {b})) - epoch_us(greatest(p, {a})))) FILTER (p < {b} AND coalesce(r, TIMESTAMP '{NOW}') > {a}), 0)) / 1e6 / 60, 1) AS m
+        FROM q LEFT JOIN r ON r.user_id = q.user_id AND r.cycle = q.cycle AND r.kind = 'pause' WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY q.user_id, q.cycle, {a}, {b})"""
+
+
 SQL = {
+    "guarded_marks": f"""WITH {_MARKS}, g AS (SELECT *, coalesce(sum(CASE WHEN kind = 'start' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cy FROM m WHERE kind IS NOT NULL),
+        s AS (SELECT *, coalesce(bool_or(kind = 'seal1') OVER w, false) AS s1, coalesce(bool_or(kind = 'attack') OVER w, false) AS at_, coalesce(bool_or(kind = 'seal3') OVER w, false) AS s3, coalesce(bool_or(kind = 'close') OVER w, false) AS cl,
+          coalesce(last_value(CASE WHEN kind IN ('pause', 'resume') THEN kind END IGNORE NULLS) OVER w = 'pause', false) AS pa FROM g WINDOW w AS (PARTITION BY user_id, cy ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        f AS (SELECT *, CASE WHEN cl OR cy = 0 THEN 'libre' WHEN NOT s1 THEN 'f1' WHEN at_ AND NOT s3 THEN 'f3' WHEN s3 THEN 'f4' ELSE 'f2' END AS phase FROM s)
+        SELECT user_id, event_id, kind, phase, CASE kind WHEN 'seal1' THEN phase = 'f1' WHEN 'attack' THEN phase = 'f2' WHEN 'seal3' THEN phase = 'f3' WHEN 'close' THEN phase = 'f4' WHEN 'pause' THEN phase <> 'libre' AND NOT pa WHEN 'resume' THEN phase <> 'libre' AND pa ELSE true END AS ok FROM f""",
+    "paused_cycles": f"""WITH {_MARKS}, {_PAUSES}, l AS (SELECT user_id, cycle, max(p) AS p FROM r WHERE kind = 'pause' AND r IS NULL GROUP BY ALL), h AS (SELECT y.*, CASE WHEN paused AND phase <> 'libre' THEN round((epoch_us(TIMESTAMP '{NOW}') - epoch_us(p)) / 1e6 / 3600, 1) END AS hours FROM y LEFT JOIN l ON l.user_id = y.user_id AND l.cycle = y.cycle)
+        SELECT user_id, CAST(cycle AS BIGINT) AS cycle, hours, coalesce(hours > 72, false) AS warning, CASE WHEN paused AND phase <> 'libre' THEN 'reanudar' WHEN phase = 'f1' THEN 'sellar 1' WHEN phase = 'f2' THEN 'ataque' WHEN phase = 'f3' THEN 'sellar 3' WHEN phase = 'f4' THEN 'cierre' WHEN user_id % 3 > 0 THEN 'reconstruir' WHEN user_id % 2 > 0 THEN 'lagunas' ELSE 'sesion new' END AS next FROM h""",
+    "cycle_sessions": f"""WITH {_MARKS}, s AS (SELECT make_date(2024, 1, day(o_orderdate)) AS d, o_orderkey FROM orders WHERE o_orderkey % 7 > 0), b AS (SELECT d, min(lpad(CAST(o_orderkey AS VARCHAR), 9, '0')) AS k FROM s GROUP BY d)
+        SELECT user_id, CAST(cycle AS BIGINT) AS cycle, CAST(CAST(start AS DATE) AS VARCHAR) AS date, CAST(d AS VARCHAR) || '-paper-' || k || '.md' AS path, CASE WHEN k IS NOT NULL THEN false END AS base FROM y LEFT JOIN b ON d = CAST(start AS DATE)""",
+    "cycle_metrics": f"""WITH {_MARKS}, {_PAUSES}, e AS (SELECT *, coalesce(bool_or(kind = 'close') OVER (PARTITION BY user_id, cycle ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ended FROM k),
+        q AS (SELECT user_id, cycle, arg_min(ts, event_id) FILTER (kind = 'start') AS start, arg_min(ts, event_id) FILTER (kind = 'seal1') AS seal1, arg_min(ts, event_id) FILTER (kind = 'attack') AS attack, arg_min(ts, event_id) FILTER (kind = 'seal3') AS seal3, bool_or(kind = 'close') AS closed FROM e WHERE NOT ended GROUP BY ALL),
+        {_net("start", "seal1", "f1")}, {_net("attack", "seal3", "f3")}
+        SELECT q.user_id, CAST(CAST(start AS DATE) AS VARCHAR) AS date, count(*) AS cycles, count(*) FILTER (closed) AS closed, round(sum(f1.m), 1) AS min_f1, round(sum(f3.m), 1) AS min_f3 FROM q LEFT JOIN f1 ON f1.user_id = q.user_id AND f1.cycle = q.cycle LEFT JOIN f3 ON f3.user_id = q.user_id AND f3.cycle = q.cycle GROUP BY q.user_id, CAST(start AS DATE)""",
+    "dashboard": """WITH c AS (SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'O') AS u, round(sum(o_totalprice), 2) AS t FROM orders GROUP BY o_custkey)
+        SELECT o_custkey, unnest(['orders', 'unread', 'total', 'base']) AS name, unnest([n::DOUBLE, u::DOUBLE, t, n::DOUBLE]) AS value, CASE WHEN u = 0 THEN 'extension' ELSE 'reconstruccion' END AS mode FROM c""",
+    "transcription_cost": f"""WITH {_COST} SELECT month, model, count(*) AS pages, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out, round(sum(tokens_out / 100.0), 2) AS seconds, count(*) FILTER (tokens_out > 15000) AS cut,
+        round(CASE WHEN bool_and(p_in IS NOT NULL AND p_cache IS NOT NULL AND p_out IS NOT NULL) THEN sum(round(eur, 3)) END, 2) AS eur FROM z GROUP BY month, model""",
     "cycle_phase": f"WITH {_MARKS} SELECT user_id, CAST(cycle AS BIGINT) AS cycle, start, closed, paused, phase FROM y",
     "cycle_expiry": f"WITH {_MARKS} SELECT user_id, CAST(cycle AS BIGINT) AS cycle, round(idle / 1e6 / 3600, 2) AS idle_hours, expired FROM y",
     "net_minutes": f"""WITH {_MARKS},
