@@ -6,8 +6,9 @@ neighbours, tokens are taken in rank order, and a merge updates only the neighbo
 size has a fixed bound, is sent to all tasks. Words outside it are replayed in the same way, as many at once as a
 slice of a task's rows holds. So no text is shuffled, and nothing that is sent grows with the corpus.
 
-Null text: no tokens, as for an empty one. Repeated rows, null ids and other columns are kept as they are. Very long
-texts are only limited by memory for one row. Lone surrogates cannot occur in a Spark string.
+Null text: no tokens, as for an empty one. Repeated rows, null ids and other columns are kept as they are; an empty
+table gives an empty result. Of words that are as common it doesn't matter which are in the head: the ids are the same.
+Very long texts are only limited by memory for one row, and one without blanks is a single chunk. Lone surrogates cannot occur in a Spark string.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import uuid
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterable
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyspark
@@ -62,17 +65,20 @@ class MergeReplay:
         for token, rank in ranks.items():
             if len(token) == 2 and 255 not in token:
                 self.bytes_join[token[0] << 8 | token[1]] = rank
-        self.pairs: dict[int, int] = {}
+        # by token: what it forms with a token behind it, and with one before it, as far as that was asked for
+        self.behind: dict[int, dict[int, int]] = {}
+        self.before: dict[int, dict[int, int]] = {}
+        self.asked = 0
 
-    def joined(self, key: int) -> int:
-        """The token that a pair (a << 32 | b) forms, or -1."""
-        if len(self.pairs) > 1_000_000:
-            self.pairs.clear()
-        found = self.pairs[key] = self.ranks.get(self.tokens[key >> 32] + self.tokens[key & 0xFFFFFFFF], -1)
-        return found
+    def joined(self, a: int, b: int) -> int:
+        """The token that a and b form, or -1."""
+        self.asked += 1
+        return self.ranks.get(self.tokens[a] + self.tokens[b], -1)
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
-        ranks, known, joined = self.ranks, self.pairs.get, self.joined
+        if self.asked > 2_000_000:
+            self.behind, self.before, self.asked = {}, {}, 0
+        ranks, joined = self.ranks, self.joined
         out: list[list[int] | None] = [None if (whole := ranks.get(w)) is None else [whole] for w in words]
         open_ = [i for i, x in enumerate(out) if x is None]
         raw = np.frombuffer(b"\xff" + b"".join([words[i] + b"\xff" for i in open_]), np.uint8)
@@ -80,8 +86,10 @@ class MergeReplay:
         symbol = self.single[raw].tolist()
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        # the inverted index: where each token could be formed
+        # the inverted index: where each token could be formed, and for each place by which token now
         pair = self.bytes_join[raw[:-1].astype(np.int64) << 8 | raw[1:]]
+        forms = pair.tolist()
+        forms.append(-1)
         at_all = np.flatnonzero(pair >= 0)
         at_all = at_all[np.argsort(pair[at_all], kind="stable")]
         present, cut = np.unique(pair[at_all], return_index=True)
@@ -95,37 +103,47 @@ class MergeReplay:
             rank = pop(todo)
             positions = index.pop(rank)
             positions.sort()
+            with_next, with_last = self.behind.setdefault(rank, {}), self.before.setdefault(rank, {})
             for at in positions:
-                a = symbol[at]
-                if a < 0:
-                    continue
+                if forms[at] != rank:
+                    continue  # one of the two is part of another token by now
                 then = after[at]
-                b = symbol[then]
-                if b < 0:
-                    continue
-                key = a << 32 | b
-                found = known(key)
-                if (joined(key) if found is None else found) != rank:
-                    continue
+                far = after[then]
+                near = before[at]
                 symbol[at], symbol[then] = rank, -2
-                after[at] = far = after[then]
+                forms[then] = -1
+                after[at] = far
                 before[far] = at
-                near = before[at]
-                for left, key in ((at, rank << 32 | symbol[far] if symbol[far] >= 0 else -1), (near, symbol[near] << 32 | rank if symbol[near] >= 0 else -1)):
-                    if key < 0:
-                        continue
-                    new = known(key)
+                b = symbol[far]
+                if b < 0:
+                    new = -1
+                else:
+                    new = with_next.get(b)
                     if new is None:
-                        new = joined(key)
-                    if new < 0:
-                        continue
+                        new = with_next[b] = joined(rank, b)
+                forms[at] = new
+                if new >= 0:
                     if new <= rank:
                         odd.add(at)  # it goes before merges that are done already
                     if new in index:
-                        index[new].append(left)
+                        index[new].append(at)
                     else:
-                        index[new] = [left]
+                        index[new] = [at]
                         push(todo, new)
+                a = symbol[near]
+                if a >= 0:
+                    new = with_last.get(a)
+                    if new is None:
+                        new = with_last[a] = joined(a, rank)
+                    forms[near] = new
+                    if new >= 0:
+                        if new <= rank:
+                            odd.add(at)
+                        if new in index:
+                            index[new].append(near)
+                        else:
+                            index[new] = [near]
+                            push(todo, new)
         at = 1
         again = sorted(odd)
         for i in open_:
@@ -137,39 +155,50 @@ class MergeReplay:
 
 
 class Words:
-    """A worker's encoder: chunk -> ids, by the head and, outside it, by replay over a slice's words."""
+    """A worker's encoder: what ``piece`` makes of each word's ids, by the head and, outside it, by replay over a slice's words.
+
+    Pieces are tuples, whose parts add up to those of a chunk of several words.
+    """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, head: dict[str, bytes]):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, head: dict[str, bytes], piece: Callable = lambda tokens: lambda ids: (ids,)):
         import regex
 
         self.find = regex.compile(pattern).findall
         self.replay = MergeReplay(ranks)
-        self.head = head
-        self.later, self.leading, self.tail = Recent(CACHE), Recent(CACHE // 8), Recent(CACHE)
+        self.head, self.piece = head, piece(self.replay.tokens)
+        self.later, self.leading, self.known = Recent(CACHE), Recent(CACHE // 8), Recent(CACHE)
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
+    def pieces(self, texts: list[str]) -> list[list[tuple]]:
+        """For each text the pieces of its chunks."""
         cut = [chunks(t) for t in texts]
         distinct: set[str] = set()
         for _, rest in cut:
             distinct.update(rest)
         later, leading = self.later.missing(distinct), self.leading.missing({x for x, _ in cut})
-        found = [self.find(" " + x) for x in later] + [self.find(x) for x in leading]
-        head = self.head
-        unseen = self.tail.missing({w for words in found for w in words if w not in head})
-        tail = self.tail.now
-        for word, ids in zip(unseen, self.replay.encode([w.encode() for w in unseen])):
-            tail[word] = np.array(ids, "<u4").tobytes()
-        made = [b"".join([head[w] if w in head else tail[w] for w in words]) for words in found]
+        find, head, piece = self.find, self.head, self.piece
+        found = [find(" " + x) for x in later] + [find(x) for x in leading]
+        new = self.known.missing({w for words in found for w in words})
+        known = self.known.now
+        rare = [w for w in new if w not in head]
+        known.update(zip(rare, map(piece, self.replay.encode([w.encode() for w in rare]))))
+        for w in new:
+            if w in head:
+                known[w] = piece(np.frombuffer(head[w], "<u4").tolist())
+        none = piece([])
+        made = [known[words[0]] if len(words) == 1 else tuple(map(add, *[known[w] for w in words])) if len(words) == 2 else tuple(reduce(add, x) for x in zip(*[known[w] for w in words])) if words else none for words in found]
         self.later.now.update(zip(later, made))
         self.leading.now.update(zip(leading, made[len(later) :]))
         get, first = self.later.now.__getitem__, self.leading.now
-        return [np.frombuffer(first[lead] + b"".join(map(get, rest)), "<u4") for lead, rest in cut]
+        return [[first[lead], *map(get, rest)] for lead, rest in cut]
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text, where pieces are the ids."""
+        return [[i for p in x for i in p[0]] for x in self.pieces(texts)]
 
 
-def decode(ids: np.ndarray, tokens: np.ndarray) -> bytes:
-    """Bytes of ids; tokens: array of bytes objects by id."""
-    return b"".join(tokens[ids].tolist())
+def decode(ids: list[int], tokens: list[bytes]) -> bytes:
+    """Bytes of ids; tokens by id."""
+    return b"".join([tokens[i] for i in ids])
 
 
 def word_counts(df: DataFrame, text: str, pattern: str) -> DataFrame:
@@ -211,7 +240,7 @@ def head_words(df: DataFrame, text: str, ranks: pyspark.Broadcast, pattern: str,
     """The corpus's commonest words and their ids: at most ``head`` words of at most HEAD_WORD_BYTES bytes."""
     spark = df.sparkSession
     counted = word_counts(df, text, pattern).where(F.octet_length("word") <= HEAD_WORD_BYTES)
-    top = commonest(stored(counted, "words"), "n", head)
+    top = commonest(stored(counted, "words"), "n", "word", head)
 
     def replayed(parts: Iterable[dict[str, list]]):
         replay = MergeReplay(ranks.value)
@@ -224,19 +253,21 @@ def head_words(df: DataFrame, text: str, ranks: pyspark.Broadcast, pattern: str,
     return {r.word: bytes(r.ids) for r in rows}
 
 
-def encoded(df: DataFrame, ranks_path: str, pattern: str, make: Callable, schema: str, keep: list[str], text: str = "text", head: int = HEAD_WORDS) -> DataFrame:
-    """Columns ``keep`` of df and what make(list of id arrays, array of tokens) returns: a dict of lists, by schema."""
+def encoded(df: DataFrame, ranks_path: str, pattern: str, piece: Callable, make: Callable, schema: str, keep: list[str], text: str = "text", head: int = HEAD_WORDS) -> DataFrame:
+    """Columns ``keep`` of df and what make returns, a dict of lists by schema.
+
+    piece(tokens) gives a function that is called with the ids of each word, once as long as a worker remembers it;
+    make is called with the lists of pieces of some texts at a time.
+    """
     sc = df.sparkSession.sparkContext
     ranks = sc.broadcast(read_ranks(ranks_path))
     top = sc.broadcast(head_words(df, text, ranks, pattern, head))
     name = uuid.uuid4().hex
 
     def run(parts: Iterable[dict[str, list]]):
-        words = kept_in_worker(("bpe", name), lambda: Words(ranks.value, pattern, top.value))
-        tokens = np.array(words.replay.tokens + [b""], object)[:-1]
+        words = kept_in_worker(("bpe", name), lambda: Words(ranks.value, pattern, top.value, piece))
         for part in parts:
-            ids = words.ids([t or "" for t in part[text]])
-            yield {k: part[k] for k in keep} | make(ids, tokens)
+            yield {k: part[k] for k in keep} | make(words.pieces([t or "" for t in part[text]]))
 
     from pyspark.sql import types as T
 
@@ -245,25 +276,35 @@ def encoded(df: DataFrame, ranks_path: str, pattern: str, make: Callable, schema
 
 
 def encode_decode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", head: int = HEAD_WORDS) -> DataFrame:
-    """df with ``ids`` (array of int) and ``decoded`` (binary, made from the ids) for each row; own columns of these names are replaced."""
-    keep = [c for c in df.columns if c not in ("ids", "decoded")]
+    """df with ``ids`` (array of int) and ``decoded`` (binary, made from the ids) for each row; own columns of these names, in any case of letters, are replaced."""
+    keep = [c for c in df.columns if c.lower() not in ("ids", "decoded")]
+
+    def piece(tokens):
+        return lambda ids: (np.array(ids, "<i4").tobytes(), decode(ids, tokens))
+
+    def make(texts):
+        return {"ids": [np.frombuffer(b"".join([p[0] for p in x]), "<i4") for x in texts], "decoded": [b"".join([p[1] for p in x]) for x in texts]}
+
+    return encoded(df, ranks_path, pattern, piece, make, "ids array<int>, decoded binary", keep, text, head)
+
+
+def digest_piece(tokens: list[bytes]) -> Callable:
+    """Number of ids, the ids in decimal, each after a comma, and the bytes that they decode to."""
+    names = [f",{i}" for i in range(len(tokens))]
 
-    def make(ids, tokens):
-        return {"ids": [x.astype(np.int32) for x in ids], "decoded": [decode(x, tokens) for x in ids]}
+    def piece(ids: list[int]) -> tuple[int, str, bytes]:
+        return len(ids), "".join([names[i] for i in ids]), decode(ids, tokens)
 
-    return encoded(df, ranks_path, pattern, make, "ids array<int>, decoded binary", keep, text, head)
+    return piece
 
 
-def digests(ids: list[np.ndarray], tokens: np.ndarray) -> dict[str, list]:
+def digests(texts: list[list]) -> dict[str, list]:
     import hashlib
 
-    names = [str(i) for i in range(len(tokens))] if not hasattr(digests, "names") or len(digests.names) < len(tokens) else digests.names
-    digests.names = names
-    as_text = np.array(names, object)
     return {
-        "n_tokens": [len(x) for x in ids],
-        "ids_sha256": [hashlib.sha256(",".join(as_text[x].tolist()).encode()).hexdigest() for x in ids],
-        "decoded_sha256": [hashlib.sha256(decode(x, tokens)).hexdigest() for x in ids],
+        "n_tokens": [sum([p[0] for p in x]) for x in texts],
+        "ids_sha256": [hashlib.sha256("".join([p[1] for p in x])[1:].encode()).hexdigest() for x in texts],
+        "decoded_sha256": [hashlib.sha256(b"".join([p[2] for p in x])).hexdigest() for x in texts],
     }
 
 
@@ -273,4 +314,4 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return encoded(docs, path, public_tokenizers.PATTERN, digests, "n_tokens long, ids_sha256 string, decoded_sha256 string", ["doc_id"])
+    return encoded(docs, path, public_tokenizers.PATTERN, digest_piece, digests, "n_tokens long, ids_sha256 string, decoded_sha256 string", ["doc_id"])

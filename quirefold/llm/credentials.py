@@ -6,8 +6,8 @@ Others are weak (a user name, a short password, an address) and are reported onl
 within SCOPE code points of them in the same text: an identifier beside a secret, a secret beside an identifier, an
 endpoint beside both. Parts are joined as intervals, by equal text and stretches of BIN code points.
 
-Spans are given as code points, the end excluded. A null text is like an empty one: no spans. Repeated rows get equal
-results, whatever their ids; equal texts are linked once. Other columns are kept, but for ``spans``, which is replaced.
+Spans are given as code points, the end excluded. A null text is like an empty one: no spans. Very long texts are
+searched whole. Repeated rows get equal results, whatever their ids; equal texts are linked once. Other columns are kept, but for ``spans``, which is replaced.
 An empty table gives an empty result. Only DataFrame functions are used.
 """
 
@@ -20,6 +20,9 @@ from quirefold.llm.shared import fresh_name, stored
 
 SCOPE = 200
 BIN = 400
+PART = 512
+#: Linked spans and texts that are sent to all tasks at most.
+SENT = 1_000_000
 KINDS = ["assign", "access", "hex", "id", "secret", "endpoint"]
 STRONG = 3
 #: Roles of the kinds: 0 identifier, 1 secret, 2 endpoint.
@@ -37,6 +40,20 @@ ENDPOINT = r"""(?i:https?|ftp|jdbc:[a-z]+|postgres|postgresql|mysql|mongodb|redi
 EMPTY = "cast(array() as array<struct<start:bigint,kind:int,stop:bigint>>)"
 
 
+def folded(items: Column, empty: Column, step) -> Column:
+    """What step makes of items one by one, from (at, out) = (0, empty). Results grow a part at a time, so that long ones aren't copied for each item."""
+
+    def part(state: Column, some: Column) -> Column:
+        return F.aggregate(some, F.struct(state["at"].alias("at"), empty.alias("out")), step, lambda s: F.struct(s["at"].alias("at"), F.concat(state["out"], s["out"]).alias("out")))
+
+    def all_parts(whole: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(whole), F.lit(1)) - 1) / PART).cast("int")), lambda i: F.slice(whole, i * PART + 1, PART))
+        return F.aggregate(cut, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")), part)
+
+    # as a variable, items is made once
+    return F.transform(F.array(items), all_parts)[0]
+
+
 def found(text: Column, pattern: str, kind: str, gate: Column, least: int = 0) -> Column:
     """Spans of the leftmost matches that don't overlap, as (start, kind, stop); those of a short second group dropped.
 
@@ -46,16 +63,15 @@ def found(text: Column, pattern: str, kind: str, gate: Column, least: int = 0) -
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if least else matches
     between = F.split(text, pattern, -1)
     one = F.arrays_zip(F.transform(F.slice(between, 1, F.size(matches)), F.char_length).alias("gap"), F.transform(matches, F.char_length).alias("size"), F.transform(values, F.char_length).alias("value"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr(EMPTY).alias("spans"))
 
     def step(state: Column, x: Column) -> Column:
         begin = state["at"] + x["gap"]
         end = begin + x["size"]
         span = F.array(F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("stop")))
-        spans = F.when(x["value"] >= least, F.concat(state["spans"], span)).otherwise(state["spans"]) if least else F.concat(state["spans"], span)
-        return F.struct(end.alias("at"), spans.alias("spans"))
+        spans = F.when(x["value"] >= least, F.concat(state["out"], span)).otherwise(state["out"]) if least else F.concat(state["out"], span)
+        return F.struct(end.alias("at"), spans.alias("out"))
 
-    return F.when(gate & text.rlike(pattern), F.aggregate(one, start, step)["spans"]).otherwise(F.expr(EMPTY))
+    return F.when(gate & text.rlike(pattern), folded(one, F.expr(EMPTY), step)["out"]).otherwise(F.expr(EMPTY))
 
 
 def parts_of(text: Column) -> Column:
@@ -98,7 +114,7 @@ def scan(df: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame
 
     A weak part that lies within a strong one of the same role is that part again and isn't reported.
     """
-    key, made = fresh_name(df, "_text_key"), fresh_name(df, "_parts")
+    key, made, more_ = fresh_name(df, "text_key"), fresh_name(df, "parts_made"), fresh_name(df, "more_parts")
     whole = F.coalesce(F.col(text), F.lit(""))
     kept = [c for c in df.columns if c.lower() != "spans" and (keep_text or c != text)]
     docs = stored(df.select(*kept, F.md5(whole.cast("binary")).alias(key), parts_of(whole).alias(made)), "secrets")
@@ -108,9 +124,14 @@ def scan(df: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame
     roles = lambda r: F.exists("parts", lambda p: role(p["kind"]) == r)
     # texts with an identifier, a secret and a weak part; each once
     texts = docs.where(F.size(made) > 1).select(key, usable.alias("parts")).where(roles(0) & roles(1) & F.exists("parts", lambda p: p["kind"] >= STRONG))
-    more = linked(texts.groupBy(key).agg(F.first("parts").alias("parts")), key)
-    out = docs.join(more, key, "left").withColumn("spans", F.array_sort(F.concat(strong, F.coalesce("more", F.expr(EMPTY)))))
-    return out.select(*kept, "spans")
+    more = stored(linked(texts.groupBy(key).agg(F.first("parts").alias("parts")), key).withColumnRenamed("more", more_), "secrets-linked")
+    size = more.agg(F.coalesce(F.sum(F.size(more_) + 1), F.lit(0))).first()[0]
+    spans = F.array_sort(F.concat(strong, F.coalesce(more_, F.expr(EMPTY)))).alias("spans")
+    if size <= SENT:
+        return docs.join(F.broadcast(more), key, "left").select(*kept, spans)
+    # only texts with weak parts are moved
+    weak = F.exists(made, lambda p: p["kind"] >= STRONG)
+    return docs.where(weak).join(more, key, "left").select(*kept, spans).unionByName(docs.where(~weak).select(*kept, F.array_sort(strong).alias("spans")))
 
 
 def as_text(spans: Column) -> Column:
@@ -121,7 +142,6 @@ def as_text(spans: Column) -> Column:
 def redacted(text: Column, spans: Column) -> Column:
     """text with each stretch of spans replaced by the name of the first one's kind in angle brackets."""
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(state: Column, p: Column) -> Column:
         gap = F.substring(text, (state["at"] + 1).cast("int"), (p["start"] - state["at"]).cast("int"))
@@ -129,7 +149,8 @@ def redacted(text: Column, spans: Column) -> Column:
         return F.struct(F.greatest(state["at"], p["stop"]).alias("at"), out.alias("out"))
 
     rest = lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.lit((1 << 31) - 1)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(text)
+    done = F.transform(F.array(folded(spans, F.lit(""), step)), rest)[0]
+    return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyarrow import fs
 
 
 def at(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system and the path in it. A path without a scheme is on the shared local mount."""
+    """The file system and the path in it. A path without a scheme is on a local mount that all share."""
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 

@@ -6,7 +6,8 @@ resemblance and containment, from one the number of distinct shingles; all are e
 
 A fingerprint as a string is the sketch's hashes in ascending order, 16 hex digits each. A null or empty text, or one
 of white space alone, has the empty fingerprint; two empty fingerprints are alike (1), an empty and another one are
-not (0). Repeated rows keep their order by text; null doc_ids come first. Other columns are not used.
+not (0). Very long texts are sketched in parts, whose
+sketches are merged. Repeated rows keep their order by text; null doc_ids come first. An empty table gives an empty result. Other columns are not used.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from quirefold.llm.shared import map_batches
 
 SHINGLE = 5
 K = 128
+#: Words of a part of a very long text.
+STRETCH = 100_000
 CACHE = 500_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -70,6 +73,14 @@ def sketch(hashes: np.ndarray, k: int = K) -> np.ndarray:
     return np.unique(hashes)[:k]
 
 
+def sketch_of(words: np.ndarray, k: int = K) -> np.ndarray:
+    """The sketch of a text, given its words' hashes; very long ones part by part, the parts' sketches merged."""
+    out = sketch(shingle_hashes(words[:STRETCH]), k)
+    for at in range(STRETCH - SHINGLE + 1, len(words) - SHINGLE + 1, STRETCH - SHINGLE + 1):
+        out = merge(out, sketch(shingle_hashes(words[at : at + STRETCH]), k), k)
+    return out
+
+
 def merge(a: np.ndarray, b: np.ndarray, k: int = K) -> np.ndarray:
     """The sketch of two parts together."""
     return np.union1d(a, b)[:k]
@@ -108,21 +119,21 @@ def from_text(s: str) -> np.ndarray:
 
 
 def fingerprints(df: DataFrame, text: str = "text", k: int = K) -> DataFrame:
-    """df with ``fingerprint`` (string) and ``n_shingles`` (estimate); own columns of these names are replaced."""
+    """df with ``fingerprint`` (string) and ``n_shingles`` (estimate); own columns of these names, in any case of letters, are replaced."""
     from pyspark.sql import types as T
 
-    keep = [c for c in df.columns if c not in ("fingerprint", "n_shingles")]
+    keep = [c for c in df.columns if c.lower() not in ("fingerprint", "n_shingles")]
 
     def run(batches: Iterable[dict[str, list]]):
         words = WordHashes()
         for b in batches:
-            made = [sketch(shingle_hashes(words.of((t or "").split())), k) for t in b[text]]
+            made = [sketch_of(words.of((t or "").split()), k) for t in b[text]]
             yield {c: b[c] for c in keep} | {"fingerprint": [as_text(x) for x in made], "n_shingles": [distinct(x, k) for x in made]}
 
     return map_batches(df.select(*keep), run, T.StructType([*(df.schema[c] for c in keep), T.StructField("fingerprint", T.StringType()), T.StructField("n_shingles", T.DoubleType())]))
 
 
-EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_shingles double, within_edited double"
 
 
 def edited_fingerprints(df: DataFrame, k: int = K) -> DataFrame:
@@ -164,12 +175,12 @@ def edited_fingerprints(df: DataFrame, k: int = K) -> DataFrame:
             for doc_id, text, edge in zip(b["doc_id"], b["text"], b["edge"]):
                 if over:
                     break  # further rows of the next document's doc_id
-                now = (doc_id, text, sketch(shingle_hashes(words.of(text.split())), k))
+                now = (doc_id, text, sketch_of(words.of(text.split()), k))
                 if held:
                     was, t, p = held
                     edited = t[: len(t) - len(t) // 2] + text[: len(t) // 2]
-                    e = sketch(shingle_hashes(words.of(edited.split())), k)
-                    row = (was, len(t), hashlib.sha256(edited.encode()).hexdigest(), as_text(p), as_text(e), resemblance(p, e, k), resemblance(p, now[2], k))
+                    e = sketch_of(words.of(edited.split()), k)
+                    row = (was, len(t), hashlib.sha256(edited.encode()).hexdigest(), as_text(p), as_text(e), resemblance(p, e, k), resemblance(p, now[2], k), distinct(p, k), containment(p, e, k))
                     for c, v in zip(cols, row):
                         cols[c].append(v)
                 held, over = now, edge

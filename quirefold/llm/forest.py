@@ -6,12 +6,12 @@ by cosine in double precision, in blocks. A pair is counted in the first tree an
 has to be sent: a leaf returns each class's number of links and, for the components, a spanning forest of its links.
 Components are then united over all leaves by rounds of joins.
 
-Trees are fitted on a bounded sample of SAMPLE classes in all, round by round: a round splits the leaves that are still
-too large, of which it draws a sample anew. Directions follow from the tree's and node's number; only thresholds are
-sent. Every class goes through every tree.
+Trees are fitted on a bounded sample of SAMPLE classes in all, round by round: a round splits the largest of the leaves
+that are still too large, of which it draws a sample anew. Directions follow from the tree's and node's number; only
+thresholds are sent. Every class goes through every tree.
 
-A vector that is null, empty, zero, of another length than most, or that holds null or other components than finite
-numbers links with nothing. Null ids are kept out of components (their own is null) but count as links. Repeated rows
+A vector that is null, empty or zero, or that holds null or other components than finite numbers links with nothing;
+vectors of different lengths don't link. Null ids are kept out of components (their own is null) but count as links. Repeated rows
 are vectors of their own, linked with each other. Other columns are not used. An empty table gives an empty result.
 """
 
@@ -32,8 +32,16 @@ LEAF = 1000
 SPILL = 0.08
 SAMPLE = 24_000
 SEED = 7
+#: Classes of a leaf in the sample, so many at least as a rule, and the least size of leaves that small tables are split to.
+LEAF_SAMPLE = 64
+LEAST_LEAF = 32
 BLOCK = 1024
 ROUNDS = 40
+#: Lengths of vectors that a table may have.
+LENGTHS = 32
+#: Edges that one task unites, and nodes that are sent to all tasks with their components, at most.
+FEW_EDGES = 100_000
+SENT = 200_000
 
 
 def direction(tree: int, node: int, size: int) -> np.ndarray:
@@ -80,51 +88,61 @@ def matrix(column: pd.Series) -> np.ndarray:
 
 
 def grown(classes: DataFrame, trees: int, leaf: int, spill: float, sample: int) -> DataFrame:
-    """classes (cls, unit, n) with ``leaves``: for each tree the array of its leaves that hold the class."""
+    """classes (cls, unit, n) with ``leaves``: for each tree the array of its leaves that hold the class.
+
+    A round splits the largest of the leaves that are too large, as many as the sample gives LEAF_SAMPLE of their
+    classes each; those that it doesn't come to are split in later rounds. Fails if ROUNDS rounds leave any unsplit.
+    """
     spark = classes.sparkSession
     df = classes.withColumn("leaves", F.array_repeat(F.array(F.lit(1).cast("long")), trees))
     schema = df.schema
     n = classes.count()
+    leaf = min(leaf, max(LEAST_LEAF, n // 8))  # small tables are split as well
     large: list[tuple[int, int, int]] = [(t, 1, n) for t in range(trees)] if n > leaf else []
+    whole: set[tuple[int, int]] = set()
     for round_ in range(ROUNDS):
         if not large:
-            break
-        total = max(sum(x[2] for x in large if x[0] == t) for t in range(trees))
+            return df
+        now = sorted(large, key=lambda x: (-x[2], x[:2]))[: max(trees, sample // LEAF_SAMPLE)]
+        total = max(sum(x[2] for x in now if x[0] == t) for t in range(trees))
         share = min(1.0, sample / total)
-        chosen = df.where(F.shiftrightunsigned(F.xxhash64("cls", F.lit(round_)), 11) / float(1 << 53) < share).select("unit", "leaves").toPandas()
+        nodes = [[x[1] for x in now if x[0] == t] for t in range(trees)]
+        within = F.lit(False)
+        for t, own in enumerate(nodes):
+            if own:
+                within = within | F.arrays_overlap(F.col("leaves")[t], F.array(*[F.lit(x).cast("long") for x in own]))
+        chosen = df.where(within & (F.shiftrightunsigned(F.xxhash64("cls", F.lit(round_)), 11) / float(1 << 53) < share)).select("unit", "leaves").toPandas()
         points = matrix(chosen["unit"])
         splits: list[dict[int, tuple[float, float, float]]] = [{} for _ in range(trees)]
         members: dict[tuple[int, int], list[int]] = {}
         for i, own in enumerate(chosen["leaves"]):
-            for t, nodes in enumerate(own):
-                for node in nodes:
+            for t, held in enumerate(own):
+                for node in held:
                     members.setdefault((t, int(node)), []).append(i)
-        for t, node, _ in large:
-            fit_tree(t, node, points[members.get((t, node), [])], 1 / share, spill, leaf, splits[t])
-        if not any(splits):
-            break
+        for t, node, _ in now:
+            own = members.get((t, node), [])
+            fit_tree(t, node, points[own], 1 / share, spill, leaf, splits[t])
+            if node not in splits[t] and len(own) >= 16:
+                whole.add((t, node))  # its classes are of one projection
         sent = spark.sparkContext.broadcast(splits)
 
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
-                own = [[[int(x) for x in nodes] for nodes in row] for row in part["leaves"]]
+                own = [[[int(x) for x in held] for held in row] for row in part["leaves"]]
                 unit = matrix(part["unit"])
                 if len(part):
                     for t, s in enumerate(sent.value):
                         if s:
-                            for row, nodes in zip(own, descend(t, [row[t] for row in own], unit, s)):
-                                row[t] = nodes
+                            for row, held in zip(own, descend(t, [row[t] for row in own], unit, s)):
+                                row[t] = held
                 yield part.assign(leaves=own)
 
         df = stored(df.mapInPandas(run, schema), "forest")
-        if share == 1.0:
-            break
+        if share == 1.0 and len(now) == len(large):
+            return df
         counts = df.select(F.posexplode("leaves").alias("tree", "nodes")).select("tree", F.explode("nodes").alias("node")).groupBy("tree", "node").count()
-        # leaves that can't be split are left as they are
-        fitted = {(t, node) for t, s in enumerate(splits) for node in s}
-        was = {(t, node) for t, node, _ in large}
-        large = [(r.tree, r.node, r[2]) for r in counts.where(F.col("count") > 2 * leaf).orderBy("tree", "node").collect() if (r.tree, r.node) not in was or (r.tree, r.node) in fitted]
-    return df
+        large = [tuple(r) for r in counts.where(F.col("count") > 2 * leaf).collect() if (r.tree, r.node) not in whole]
+    raise RuntimeError(f"leaves are too large after {ROUNDS} rounds")
 
 
 def compared(trees: int, cosine: float):
@@ -165,13 +183,44 @@ def compared(trees: int, cosine: float):
     return run
 
 
+def signature(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def united(edges: DataFrame) -> DataFrame:
+    """(node, component) of FEW_EDGES distinct edges (u, v) at most, in one task."""
+    kind = edges.schema["u"].dataType.simpleString()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parent: dict = {}
+
+        def root(x):
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[up]
+            return x
+
+        for part in parts:
+            for u, v in zip(part["u"], part["v"]):
+                u, v = root(u if kind == "bigint" else bytes(u)), root(v if kind == "bigint" else bytes(v))
+                parent[max(u, v)] = min(u, v)
+        nodes = [x for x in parent if root(x) != x]
+        yield pd.DataFrame({"node": nodes, "component": [root(x) for x in nodes]})
+
+    return stored(edges.coalesce(1).mapInPandas(run, f"node {kind}, component {kind}"), "united")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) for the nodes of edges: the least node that can be reached. Star rounds, each a few joins.
+    """(node, component) for the nodes of edges but the least of each component, which names it.
 
     In each round every node's neighbours are linked to the least one near it, first those that are larger than it,
-    then those that are smaller; this ends in stars around the least nodes after a logarithmic number of rounds.
+    then those that are smaller; this ends in stars around the least nodes after a logarithmic number of rounds. Edges
+    that don't change any more are these stars. Should ROUNDS rounds not be enough, it fails. FEW_EDGES edges or fewer
+    don't need rounds of jobs.
     """
     now = stored(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    was = signature(now)
+    if was[0] <= FEW_EDGES:
+        return united(now)
     for _ in range(ROUNDS):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
@@ -179,20 +228,48 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = stored(large, "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        then = stored(small, "edges")
-        same = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        done = same(then) == same(now)
-        now = then
-        if done:
-            break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        now = stored(small, "edges")
+        then, was = was, signature(now)
+        if then == was:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    raise RuntimeError(f"components aren't found after {ROUNDS} rounds")
+
+
+def with_components(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """pairs (a, b and others) with their ends' components c_a and c_b, null where an end names its own."""
+    few = joined.limit(SENT + 1).count() <= SENT
+    for s in ("a", "b"):
+        own = joined.select(F.col("node").alias(f"n_{s}"), F.col("component").alias(f"c_{s}"))
+        pairs = pairs.join(F.broadcast(own) if few else own, F.col(s) == F.col(f"n_{s}"), "left").drop(f"n_{s}")
+    return pairs
+
+
+def extended(joined: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components (node, component) as ``components`` gives them, with further edges (a, b) between any nodes."""
+    if edges.isEmpty():
+        return joined
+    both = with_components(edges, joined)
+    more = components(both.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")))
+    moved = joined.join(more.select(F.col("node").alias("_n"), F.col("component").alias("_c")), F.col("component") == F.col("_n"), "left")
+    return stored(moved.select("node", F.coalesce("_c", "component").alias("component")).unionByName(more), "joined")
 
 
 def near_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, sample: int = SAMPLE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of df."""
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
-    most = rows.where(F.size("v") > 0).groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    size = most.d if most else 0
+    sizes = [r.d for r in rows.where(F.size("v") > 0).groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(LENGTHS + 1).collect()] or [0]
+    if len(sizes) > LENGTHS:
+        raise ValueError(f"vectors of more than {LENGTHS} lengths")
+    # those of the commonest length go with those without one
+    parts = [rows.where((F.size("v") == d) | (F.coalesce(F.size("v"), F.lit(-1)) <= 0) if i == 0 else F.size("v") == d) for i, d in enumerate(sizes)]
+    out = of_length(parts[0], sizes[0], cosine, trees, leaf, spill, sample)
+    for part, d in zip(parts[1:], sizes[1:]):
+        out = out.unionByName(of_length(part, d, cosine, trees, leaf, spill, sample))
+    return out
+
+
+def of_length(rows: DataFrame, size: int, cosine: float, trees: int, leaf: int, spill: float, sample: int) -> DataFrame:
+    """near_vectors of rows (vec_id, v), of which those of another length link with nothing."""
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     top = F.aggregate("v", F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x)))
     good = F.coalesce((F.size("v") == size) & finite & (top > 0), F.lit(False))

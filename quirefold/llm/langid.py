@@ -2,20 +2,23 @@
 
 A word that the model knows is scored by its log frequency in each language. An unseen word is scored by its character
 n-grams of N letters (the word is padded with a blank on either side); an n-gram that the model doesn't know backs off
-to the two n-grams of one letter less that it consists of, down to single letters and then to a floor. A text's score in
-a language is the mean over its words; its language is that of the highest score, and of equals the first by name.
+to the two n-grams of one letter less that it consists of, down to single letters, all of which that were learned from
+the model knows, and then to a floor. A text's score in a language is the mean over its words; its language is that of
+the highest score, and of equals the first by name.
 
 Words are runs of letters in lower case. ``score`` is the posterior of the language, given equal priors and words that
 count as EVIDENCE independent ones at most; ``known`` is the share of words that the model knows.
 
 Null text, or one without letters: ``und`` with score 0. Without any labelled text all documents are ``und``. Null
-languages are no labels. Repeated rows and other columns are kept; empty tables give empty results.
+languages are no labels; more than LANGUAGES of them are an error. Texts of any length are scored whole, in stretches.
+Repeated rows and other columns are kept; empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterable
 
@@ -24,15 +27,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quirefold.llm.shared import commonest, map_batches, stored
+from quirefold.llm.shared import commonest, kept_in_worker, map_batches, stored
 
-#: Documents of a language that a model is fitted on, as a rule; all of them where there are no more.
+#: Distinct texts of a language that a model is fitted on, about as many at most; all of them where there are no more.
 SAMPLE_DOCS = 4000
-#: Words and n-grams that a model knows, over all languages.
+#: Words, and n-grams of more than one letter, that a model knows, over all languages.
 MODEL_WORDS = 150_000
 MODEL_GRAMS = 150_000
 GRAM = 5
+#: Languages that a model may have; beyond that, ``fit`` fails.
 LANGUAGES = 500
+STRETCH = 8192
 EVIDENCE = 50
 BACKOFF = math.log(0.4)
 CACHE = 400_000
@@ -41,26 +46,79 @@ LETTERS = re.compile(r"[^\W\d_]+")
 
 
 class Model:
-    """Log frequencies by language of known words and n-grams."""
+    """Log frequencies by language: a row of ``table`` for each of the words and then of the n-grams that are known."""
 
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: list[dict[str, np.ndarray]], floor: np.ndarray):
-        self.langs, self.words, self.grams, self.floor = langs, words, grams, floor
+    def __init__(self, langs: list[str], words: list[str], grams: list[str], table: np.ndarray, floor: np.ndarray):
+        self.langs, self.table, self.floor, self.items = langs, table, floor, ("\n".join(words), "\n".join(grams))
+        self.found: dict[str, np.ndarray] = {}
+
+    def __getattr__(self, name: str):
+        # made where they are needed: what is sent is the joined items
+        if name not in ("words", "grams"):
+            raise AttributeError(name)
+        words, grams = (x.split("\n") if x else [] for x in self.items)
+        self.words = {w: i for i, w in enumerate(words)}
+        self.grams = {g: len(words) + i for i, g in enumerate(grams)}
+        return getattr(self, name)
+
+    def __getstate__(self):
+        return self.langs, self.table, self.floor, self.items
+
+    def __setstate__(self, state):
+        self.langs, self.table, self.floor, self.items = state
+        self.found = {}
 
     def gram(self, g: str) -> np.ndarray:
-        found = self.grams[len(g)].get(g)
-        if found is not None:
-            return found
+        at = self.grams.get(g)
+        if at is not None:
+            return self.table[at]
         if len(g) == 1:
             return self.floor
-        return BACKOFF + (self.gram(g[:-1]) + self.gram(g[1:])) / 2
+        found = self.found.get(g)
+        if found is None:
+            if len(self.found) > CACHE:
+                self.found.clear()
+            found = self.found[g] = BACKOFF + (self.gram(g[:-1]) + self.gram(g[1:])) / 2
+        return found
 
     def word(self, w: str) -> np.ndarray:
-        found = self.words.get(w)
-        if found is not None:
-            return found
+        at = self.words.get(w)
+        if at is not None:
+            return self.table[at]
         padded = f" {w} "
         n = min(GRAM, len(padded))
-        return BACKOFF + np.mean([self.gram(padded[i : i + n]) for i in range(len(padded) - n + 1)], axis=0)
+        total = np.zeros(len(self.langs))
+        for i in range(len(padded) - n + 1):
+            total += self.gram(padded[i : i + n])
+        return BACKOFF + total / (len(padded) - n + 1)
+
+
+class WordScores(dict):
+    """Row numbers of words in ``rows``, which holds their log frequencies and, last, whether they are known."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model, self.rows = model, np.zeros((1024, len(model.langs) + 1))
+
+    def __missing__(self, w: str) -> int:
+        at = len(self)
+        if at >= len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[at, :-1] = self.model.word(w)
+        self.rows[at, -1] = w in self.model.words
+        self[w] = at
+        return at
+
+    def mean(self, words: list[str]) -> np.ndarray:
+        """Mean over words, a stretch at a time."""
+        total = np.zeros(self.rows.shape[1])
+        for i in range(0, len(words), STRETCH):
+            if len(self) > CACHE:
+                self.clear()
+            part = words[i : i + STRETCH]
+            at = np.fromiter(map(self.__getitem__, part), np.int64, len(part))  # rows may be another array now
+            total += self.rows[at].sum(0)
+        return total / len(words)
 
 
 def counted(df: DataFrame, text: str, lang: str) -> DataFrame:
@@ -72,16 +130,19 @@ def counted(df: DataFrame, text: str, lang: str) -> DataFrame:
         def flush():
             out: dict[str, list] = {"kind": [], "lang": [], "item": [], "n": []}
             for name, words in seen.items():
-                items: Counter[tuple[int, str]] = Counter()
+                items: list[dict[str, int]] = [words, *({} for _ in range(GRAM))]
                 for w, n in words.items():
-                    items[0, w] += n
                     padded = f" {w} "
                     for size in range(1, GRAM + 1):
+                        into = items[size]
                         for i in range(len(padded) - size + 1):
-                            items[size, padded[i : i + size]] += n
-                for (kind, item), n in items.items():
-                    for c, v in zip(out, (kind, name, item, n)):
-                        out[c].append(v)
+                            g = padded[i : i + size]
+                            into[g] = into.get(g, 0) + n
+                for kind, found in enumerate(items):
+                    out["kind"] += [kind] * len(found)
+                    out["lang"] += [name] * len(found)
+                    out["item"] += found
+                    out["n"] += found.values()
             seen.clear()
             return out
 
@@ -97,70 +158,64 @@ def counted(df: DataFrame, text: str, lang: str) -> DataFrame:
 
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """A model from df's labelled rows, of each language about ``sample_docs`` whole texts chosen by a hash of the text."""
-    labelled = df.select(text, lang).where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    sizes = {r[0]: r[1] for r in labelled.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()}
+    """A model from df's labelled rows, of each language about ``sample_docs`` whole distinct texts chosen by a hash of the text."""
+    labelled = df.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
+    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     if not sizes:
-        return Model([], {}, [{} for _ in range(GRAM + 1)], np.zeros(0))
+        return Model([], [], [], np.zeros((0, 0), np.float32), np.zeros(0))
     langs = sorted(sizes)
     share = F.create_map(*[F.lit(x) for name in langs for x in (name, min(1.0, sample_docs / sizes[name]))])
-    chosen = labelled.where(F.shiftrightunsigned(F.xxhash64(text), 11) / float(1 << 53) < share[F.col(lang)])
-    items = stored(counted(chosen, text, lang), "langid")
-    totals = {(r.kind, r.lang): r.n for r in items.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()}
-    total = F.create_map(*[F.lit(x) for (kind, name), n in totals.items() for x in (f"{kind} {name}", float(n))])
-    # the items that weigh most in any language, as many as the model may hold; single letters all belong to it
+    chosen = labelled.where(F.shiftrightunsigned(F.xxhash64("text"), 11) / float(1 << 53) < share[F.col("lang")])
+    # equal texts go in or stay out together, so each counts once
+    chosen = chosen.groupBy("lang", F.md5(F.col("text").cast("binary"))).agg(F.min("text").alias("text"))
+    items = stored(counted(chosen, "text", "lang"), "langid")
+    sums = np.zeros((GRAM + 1, len(langs)))
+    place = {name: i for i, name in enumerate(langs)}
+    for r in items.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect():
+        sums[r.kind, place[r.lang]] = r.n
+    total = F.create_map(*[F.lit(x) for kind in range(GRAM + 1) for i, name in enumerate(langs) for x in (f"{kind} {name}", float(sums[kind, i] or 1))])
+    # the items that weigh most in any language, as many as the model may hold
     part = F.col("n") / total[F.concat(F.col("kind").cast("string"), F.lit(" "), F.col("lang"))]
-    ranked = items.groupBy("kind", "item").agg(F.max(part).alias("w"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
+    by = F.map_from_entries(F.collect_list(F.struct("lang", "n")))
+    ranked = items.groupBy("kind", "item").agg(F.max(part).alias("w"), by.alias("by"))
     ranked = stored(ranked.withColumn("w", (F.col("w") * 1e12).cast("long") + 1), "langid")
-    words = commonest(ranked.where("kind = 0"), "w", MODEL_WORDS)
-    grams = commonest(ranked.where("kind > 0"), "w", MODEL_GRAMS)
-    tables: list[dict[str, np.ndarray]] = [{} for _ in range(GRAM + 1)]
-    place = {name: i for i, name in enumerate(langs)}
-    sums = np.array([[totals.get((kind, name), 0) for name in langs] for kind in range(GRAM + 1)], float)
+    words = commonest(ranked.where("kind = 0"), "w", "item", MODEL_WORDS)
+    grams = ranked.where("kind = 1").unionByName(commonest(ranked.where("kind > 1"), "w", "item", MODEL_GRAMS))
     logs = np.log(sums + 1)
-    for r in words.unionByName(grams).toLocalIterator():
-        n = np.full(len(langs), 0.5)
-        for name, x in r.by.items():
-            n[place[name]] += x
-        tables[r.kind][r.item] = (np.log(n) - logs[r.kind]).astype(np.float32)
-    floor = (np.log(0.5) - logs[1]).astype(np.float32)
-    return Model(langs, tables[0], tables, floor)
+    counts = F.array(*[F.coalesce(F.try_element_at("by", F.lit(name)), F.lit(0)).cast("float") for name in langs])
+    tables = []
+    for rows in (words, grams):
+        got = rows.select("kind", "item", counts.alias("n")).toArrow()
+        n = got["n"].combine_chunks().flatten().to_numpy().reshape(-1, len(langs))
+        tables.append((got["item"].to_pylist(), (np.log(n + 0.5) - logs[got["kind"].to_numpy()]).astype(np.float32)))
+    (known, a), (pieces, b) = tables
+    return Model(langs, known, pieces, np.concatenate([a, b]), np.log(0.5) - logs[1])
 
 
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """df with ``lang_pred``, ``score`` and ``known`` (share of known words); own columns of these names are replaced."""
-    keep = [c for c in df.columns if c not in ("lang_pred", "score", "known")]
+    """df with ``lang_pred``, ``score`` and ``known`` (share of known words); own columns of these names, in any case of letters, are replaced."""
+    keep = [c for c in df.columns if c.lower() not in ("lang_pred", "score", "known")]
     sent = df.sparkSession.sparkContext.broadcast(model)
+    name = uuid.uuid4().hex
 
     def run(batches: Iterable[dict[str, list]]):
-        m = sent.value
-        n_langs = len(m.langs)
-        at: dict[str, int] = {}
-        rows = np.zeros((1024, n_langs + 1))
-
+        seen = kept_in_worker(("langid", name), lambda: WordScores(sent.value))
+        names = seen.model.langs
         for b in batches:
-            texts = [LETTERS.findall(t.lower()) if t else [] for t in b[text]]
-            if len(at) > CACHE:
-                at.clear()
-            for words in texts:
-                for w in set(words):
-                    if w not in at:
-                        if len(at) >= len(rows):
-                            rows = np.concatenate([rows, np.zeros_like(rows)])
-                        rows[len(at), :n_langs] = m.word(w)
-                        rows[len(at), n_langs] = w in m.words
-                        at[w] = len(at)
             langs, scores, known = [], [], []
-            for words in texts:
-                if not words or not n_langs:
+            for t in b[text]:
+                words = LETTERS.findall(t.lower()) if t and names else []
+                if not words:
                     langs.append(UND), scores.append(0.0), known.append(0.0)
                     continue
-                mean = rows[np.fromiter(map(at.__getitem__, words), np.int64, len(words))].mean(0)
-                best = int(mean[:n_langs].argmax())
+                *mean, share = seen.mean(words).tolist()
+                most = max(mean)
                 weight = min(len(words), EVIDENCE)
-                langs.append(m.langs[best])
-                scores.append(float(1 / np.exp((mean[:n_langs] - mean[best]) * weight).sum()))
-                known.append(float(mean[n_langs]))
+                langs.append(names[mean.index(most)])
+                scores.append(1 / sum(math.exp((x - most) * weight) for x in mean))
+                known.append(share)
             yield {c: b[c] for c in keep} | {"lang_pred": langs, "score": scores, "known": known}
 
     kinds = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("known", T.DoubleType())]

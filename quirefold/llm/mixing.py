@@ -11,7 +11,8 @@ Only DataFrame functions are used. A source's running sums are made within chunk
 and over the chunks' sums, so that no task holds a source. Reruns agree, as all draws are hashes.
 
 Null text: size 0, never taken. Null source: a source of its own, the last. Null weights don't occur; sources without
-words have target 0. Repeated rows are documents of their own. Other columns stay. An empty table gives empty tables.
+words have target 0. Repeated rows are documents of their own. Other columns stay. Very long texts are cut into blocks like others. An empty
+table gives empty tables.
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quirefold.llm.shared import WORD, fresh_name, stored
+from quirefold.llm.shared import WORD, stored
 
 BLOCK = 256
 SHARD_BLOCKS = 4096
 EPOCHS = 3
 CHUNKS = 1024
+#: Rows of a chunk where there are more of them than CHUNKS.
+CHUNK_ROWS = 100_000
 CELLS = 1024
 ROUNDS = 24
 SEED = 20240607
@@ -139,29 +142,34 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", block: int =
     """Documents, sources and the mix.
 
     Documents: df's columns but the text, and ``size``, ``s``, ``start`` (size, source number, words of the source
-    before it). Sources: ``s``, ``source``, ``source_size``, ``weight``, ``target``, ``draws`` and so on. The mix: a
+    before it), which replace own columns of these names, in any case of letters. Sources: ``s``, ``source``, ``source_size``, ``weight``, ``target``, ``draws`` and so on. The mix: a
     row for each piece of a document in a drawn block: ``shard``, ``s``, ``k`` (draw), ``block``, ``epoch``, ``start``
     of the document, ``lo`` and ``hi`` (its words, counted from 0, that are taken).
     """
     spark = df.sparkSession
-    key = fresh_name(df, "_key")
-    plain = df.select(*[c for c in df.columns if c not in (text, "size", "s", "start", "source_size")], n_words(text).alias("size"), hashed(*[F.to_json(c) if t.startswith("struct") else F.col(c).cast("string") for c, t in df.dtypes]).alias(key))
-    plain = stored(plain if source == "source" else plain.withColumnRenamed(source, "source"), "mix-docs")
+    # the caller's columns are kept in one, so that their names don't meet those of the work
+    kept = [c for c in df.columns if c != text and c.lower() not in ("size", "s", "start")]
+    plain = df.select(F.struct(F.lit(0).alias("none_"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(kept)]).alias("row"), F.col(source).alias("source"), n_words(text).alias("size"), hashed(*[F.to_json(c) if t.startswith("struct") else F.col(c).cast("string") for c, t in df.dtypes]).alias("key"))
+    plain = stored(plain, "mix-docs")
+    chunks = max(CHUNKS, plain.count() // CHUNK_ROWS)
     sources = stored(draws(targets(weighed(plain), epochs), block), "mix-sources")
-    docs = plain.join(sources.select(F.col("source").alias("_source"), "s", "n_blocks"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    docs = docs.withColumn("_chunk", F.pmod(F.col(key), F.lit(CHUNKS)))
-    docs = stored(running(docs, ["s"], "_chunk", [key, "size"], "size", "start").drop("_chunk", "n_blocks", key), "mix-placed")
+    docs = plain.join(sources.select(F.col("source").alias("_source"), "s"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    docs = docs.withColumn("chunk", F.pmod(F.col("key"), F.lit(chunks)))
+    docs = stored(running(docs, ["s"], "chunk", ["key", "size"], "size", "start").select("row", "size", "s", "start"), "mix-placed")
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     blocks = docs.where("size > 0").select("s", "start", "size", F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("block"))
     at = F.col("block") * block - F.col("start")
     blocks = blocks.select("s", "start", "block", F.greatest(at, F.lit(0)).alias("lo"), F.least(at + block, F.col("size")).alias("hi"), F.greatest(-at, F.lit(0)).alias("_from"))
     slots = drawn(spark, sources).join(sources.select("s", "n_blocks", "full", "part", "last_words"), "s")
+    # few rows, each of which becomes many
+    slots = slots.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard", "s")
     slots = slots.select("*", F.explode(F.sequence(F.col("before").cast("long"), (F.col("before") + F.col("n") - 1).cast("long"))).alias("k"))
     slots = slots.withColumn("epoch", F.floor(F.col("k") / F.col("n_blocks")).cast("long"))
     cut = F.when(F.col("k") == F.col("full") * F.col("n_blocks") + F.col("part") - 1, F.when(F.col("part") > 0, F.col("last_words")))
     slots = slots.select("shard", "s", "k", "epoch", permuted(F.col("k") % F.col("n_blocks"), F.col("n_blocks"), [F.col("s"), F.col("epoch")]).alias("block"), F.coalesce(cut, F.lit(block)).alias("_most"))
     # the block's first _most words: a piece begins at word _from of its block
     pieces = slots.join(blocks, ["s", "block"]).withColumn("hi", F.least(F.col("hi"), F.col("lo") + F.col("_most") - F.col("_from")))
+    docs = docs.select(*[F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(kept)], "size", "s", "start")
     return docs, sources, pieces.where("hi > lo").select("shard", "s", "k", "block", "epoch", "start", "lo", "hi")
 
 
@@ -171,7 +179,7 @@ def mixed(df: DataFrame, text: str = "text", source: str = "source", block: int
     An epoch that takes all of a document's words gives it unchanged; one that takes some of them gives each run of
     taken words as a row of its own, the words joined by blanks. Integer column ``n_chars``, if there, is set anew.
     """
-    key = fresh_name(df, "_row")
+    key = "whole"
     known = df.select(F.struct(*df.columns).alias(key), F.col(text).alias("text"), F.col(source).alias("source"))
     docs, _, pieces = mix(known, block=block, epochs=epochs)
     runs = Window.partitionBy("s", "start", "epoch").orderBy("lo")
@@ -183,8 +191,9 @@ def mixed(df: DataFrame, text: str = "text", source: str = "source", block: int
     part = F.array_join(F.slice(F.regexp_extract_all(whole, F.lit(f"({WORD})")), (F.col("lo") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")), " ")
     out = taken.withColumn("_text", F.when(F.col("hi") - F.col("lo") == F.col("size"), whole).otherwise(part))
     made = {text: F.col("_text")}
-    if "n_chars" in df.columns:
-        made["n_chars"] = F.char_length("_text").cast(df.schema["n_chars"].dataType)
+    for c in df.columns:
+        if c.lower() == "n_chars":
+            made[c] = F.char_length("_text").cast(df.schema[c].dataType)
     return out.select(*[made.get(c, F.col(key)[c]).alias(c) for c in df.columns])
 
 

@@ -1,15 +1,16 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
-Documents of one text form a group, which goes into one shard. A group that alone would fill more than a PART of a
-shard's bytes, tokens or rows is dealt into pieces by a hash, each below that. There are few of these, PART times
-shards times three at most. Groups and pieces, in descending order of size, go to the bin whose residual capacity
+Documents of one text form a group, which goes into one shard. A group that alone would fill more than a PART-th of a
+shard's bytes, tokens or rows (LEAST_ROWS rows at least) is dealt into pieces by a hash, each about below that. There
+are few of these, PART times shards times three at most. Groups and pieces, in descending order of size, go to the bin whose residual capacity
 has the highest dot product with the group's (bytes, tokens, rows), each as shares of the total.
 
 Packing is done in cells: hashes deal the groups into cells of about CELL groups, each of which is packed into BINS
 times as many bins as there are shards; the bins are then groups of the next round, until one cell is left, whose bins
 are the shards. So no task holds more than a cell.
 
-The law that holds is ``bytes``: the shards' sizes are near equal, as far as the largest document allows. Size counts
+Bytes, tokens and rows count alike. The law that holds is ``bytes``: the shards' sizes are near equal, as far as the
+largest document allows; in a table of few documents they differ by some hundredths. Size counts
 the UTF-8 bytes of the text and one more; null text is like an empty one. Null and repeated doc_ids are rows like
 others. Other columns stay. An empty table gives an empty result.
 """
@@ -23,15 +24,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm.mixing import CHUNKS, n_words, running
+from quirefold.llm.mixing import CHUNK_ROWS, CHUNKS, n_words, running
 from quirefold.llm.shared import stored, utf8
 
 SHARDS = 16
 PART = 8
 CELL = 16384
 BINS = 16
-#: What a share of the bytes, tokens and rows counts in the dot product.
-WEIGHTS = (64.0, 1.0, 1.0)
+#: Rows of a group below which their number alone doesn't divide it.
+LEAST_ROWS = 16
 
 
 def packed(size: np.ndarray, bins: int) -> np.ndarray:
@@ -39,10 +40,9 @@ def packed(size: np.ndarray, bins: int) -> np.ndarray:
     total = size.sum(0)
     share = size / np.where(total > 0, total, 1)
     residual = np.full((bins, size.shape[1]), 1 / bins)
-    weights = np.array(WEIGHTS[: size.shape[1]])
     out = np.zeros(len(size), np.int32)
-    for i in np.lexsort((np.arange(len(size)), -(share * weights).max(1))):
-        out[i] = best = int((residual @ (share[i] * weights)).argmax())
+    for i in np.lexsort((np.arange(len(size)), -share.max(1))):
+        out[i] = best = int((residual @ share[i]).argmax())
         residual[best] -= share[i]
     return out
 
@@ -81,13 +81,13 @@ def sharded(df: DataFrame, shards: int = SHARDS, text: str = "text", cell: int =
     total = docs.agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("r")).first()
     most = [max(1, (x or 0) // (shards * PART)) for x in total]
     groups = docs.groupBy("h").agg(F.count("*").alias("rows"), F.first("size").alias("size"), F.first("tokens").alias("tokens"))
-    parts = F.greatest(F.ceil(F.col("rows") * F.col("size") / most[0]), F.ceil(F.col("rows") * F.col("tokens") / most[1]), F.ceil(F.col("rows") / most[2]))
+    parts = F.greatest(F.ceil(F.col("rows") * F.col("size") / most[0]), F.ceil(F.col("rows") * F.col("tokens") / most[1]), F.ceil(F.col("rows") / max(LEAST_ROWS, most[2])))
     # few: each holds a PART of a shard's bytes, tokens or rows
     hot = groups.where(F.col("rows") > 1).withColumn("parts", F.least("rows", parts).cast("long")).where("parts > 1").select("h", "parts")
     docs = docs.join(F.broadcast(hot), "h", "left").withColumn("piece", F.when(F.col("parts").isNotNull(), F.pmod("salt", "parts")).otherwise(0)).drop("parts")
     items = docs.groupBy("h", "piece").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
     placed = docs.join(pack(stored(items, "shard-items"), ["h", "piece"], shards, cell), ["h", "piece"])
-    placed = placed.withColumn("_chunk", F.pmod("salt", F.lit(CHUNKS))).withColumn("_one", F.lit(1).cast("long"))
+    placed = placed.withColumn("_chunk", F.pmod("salt", F.lit(max(CHUNKS, (total.r or 0) // CHUNK_ROWS)))).withColumn("_one", F.lit(1).cast("long"))
     placed = running(placed, ["shard"], "_chunk", ["salt"], "_one", "slot")
     return placed.select(*[F.col(f"c_{i}").alias(c) for i, c in enumerate(names)], "size", "tokens", "text_crc32", "shard", "slot")
 

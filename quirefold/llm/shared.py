@@ -19,9 +19,13 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset and Spark is local."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset and Spark is local.
+
+    A path without a scheme is one of Spark's default file system, which other readers have to be told.
+    """
     if told := spark.conf.get("spark.checkpoint.dir", None):
-        return told.rstrip("/")
+        default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+        return ("" if ":" in told or default.startswith("file:") else default.rstrip("/")) + told.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="quirefold-"))
@@ -51,14 +55,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def conf_int(spark: SparkSession, key: str) -> int:
-    return int(spark.conf.get(key))
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def map_batches(df: DataFrame, fn, schema: T.StructType | str) -> DataFrame:
     """mapInArrow where fn takes and returns lists of columns: fn(iterator of dicts of lists) -> iterator of dicts."""
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
@@ -89,19 +85,20 @@ def fresh_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def commonest(df: DataFrame, n: str, most: int) -> DataFrame:
-    """The rows of a stored df with the largest counts n, as many as fit into ``most`` with all that are as common.
+def commonest(df: DataFrame, n: str, key: str, most: int) -> DataFrame:
+    """About the ``most`` rows of a stored df with the largest counts n; of the last that are as common, some by a hash of key.
 
     Counts are told apart to a hundredth part. What the driver sees is a row for each such step; no row is moved.
     """
     step = F.floor(F.log(F.col(n)) * 100).cast("long")
     sizes = df.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()
-    total, least = 0, None
+    total = 0
     for r in sizes:
         if total + r[1] > most:
-            break
-        total, least = total + r[1], r.step
-    return df.where(F.lit(False)) if least is None else df.where(step >= least)
+            some = F.pmod(F.xxhash64(F.lit(17), key), F.lit(1 << 20)) < int((most - total) / r[1] * (1 << 20))
+            return df.where((step > r.step) | (step == r.step) & some)
+        total += r[1]
+    return df
 
 
 _BLANK_THEN_SPACE = re.compile(r"\s ")

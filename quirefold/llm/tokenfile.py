@@ -6,7 +6,7 @@ that says whether it is null, and the documents' lengths and the ids' ranks, eac
 its length in bytes less one) and data bytes. The commonest id has rank 0, so that most ids take one byte. The ids by
 rank are in a file beside the blocks. A reader finds all lengths by looking the control bytes up in a table of 256 x 4.
 
-Null text: no ids but the end id, as for an empty one. Null doc_id comes first. Rows of the same doc_id are ordered by
+The string of a special token in a text is that token, as the library has it. Null text: no ids but the end id, as for an empty one. Null doc_id comes first. Rows of the same doc_id are ordered by
 text. No other column is used. An empty table gives no blocks.
 """
 
@@ -183,7 +183,8 @@ class Chunks:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # a text that holds one of these is encoded whole
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.kind = "<u2" if max(vocabulary.values()) < 1 << 16 else "<u4"
         # a token of a byte-level vocabulary has a character for each byte
@@ -209,7 +210,8 @@ class Chunks:
             known.update(zip(part, [ids[a:b].tobytes() for a, b in zip([0, *cut[:-1].tolist()], cut.tolist())]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [chunks(t) for t in texts]
+        whole = {i for i, t in enumerate(texts) if any(x in t for x in self.special)}
+        cut = [chunks("" if i in whole else t) for i, t in enumerate(texts)]
         distinct: set[str] = set()
         for _, rest in cut:
             distinct.update(rest)
@@ -217,7 +219,10 @@ class Chunks:
         new = self.first.missing({x for x, _ in cut})
         self.first.now.update(zip(new, self._plain(new)))
         get, first = self.later.now.__getitem__, self.first.now
-        return [first[lead] + b"".join(map(get, rest)) for lead, rest in cut]
+        out = [first[lead] + b"".join(map(get, rest)) for lead, rest in cut]
+        for i, ids in zip(whole, self._plain([texts[i] for i in whole])):
+            out[i] = ids
+        return out
 
 
 BLOCKS = "p int, before long, n long, doc_ids array<long>, lengths array<int>, ids binary"

@@ -289,13 +289,13 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all pages as WARC records, reads the archives back and returns what they say of each page."""
     path = fresh_path(spark, "warc")
     write_warc(page_records(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")), path)
-    records = read_warc(spark, path)
     page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
-    response = F.col("warc_type") == "response"
-    return records.select(
-        page("record_id").alias("page_id"), F.when(response, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
-        F.when(response, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"), F.col("warc_type").alias("record_type"), page("refers_to").alias("refers_to"), F.col("target_uri").alias("url"),
-    )
+    # by pushed predicates; a revisit tells all by its headers, so no payload is decoded for it
+    responses = read_warc(spark, path).where("warc_type = 'response'").withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
+    revisits = read_warc(spark, path, payload=False).where("warc_type = 'revisit'").withColumn("payload_bytes", F.col("payload_length"))
+    columns = ["record_id", "payload_bytes", "payload_digest", "warc_type", "refers_to", "target_uri"]
+    both = responses.select(*columns).unionByName(revisits.select(*columns))
+    return both.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), page("refers_to").alias("refers_to"), F.col("target_uri").alias("url"))
 
 
 SQL_OP5 = """

@@ -22,7 +22,8 @@ def docs(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(TEXTS, SCHEMA)
-    return df.withColumns({c: F.lit(7) for c in ("size", "spans", "ids", "decoded", "shard", "slot", "score", "lang_pred", "fingerprint", "h", "start", "s", "_key", "target")})
+    names = "Size Spans IDS Decoded Shard Slot SCORE Lang_Pred Known Fingerprint H Start S _Key Target more _H _Source N_Blocks _Chunk Bin Parts _parts _text_key Salt Piece Band Keys gone_h Epoch Lo HI Block K Row Whole c0 c_0 Class_ID First"
+    return df.withColumns({c: F.lit(7) for c in names.split()})
 
 
 @pytest.fixture(scope="session")

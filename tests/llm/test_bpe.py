@@ -22,7 +22,7 @@ def test_replay_is_the_librarys(library):
     words = bpe.Words(bpe.read_ranks(PATH), P.PATTERN, {})
     for at in range(0, len(texts), 500):
         for t, ids in zip(texts[at : at + 500], words.ids(texts[at : at + 500])):
-            assert ids.tolist() == library.encode_ordinary(t)
+            assert ids == library.encode_ordinary(t)
 
 
 def test_merges_out_of_order_are_done_again():
@@ -37,7 +37,7 @@ def test_round_trip_and_edges(docs, nothing, library):
     assert len(rows) == docs.count()
     for r in rows:
         assert r.ids == library.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
-        assert r.shard == 7
+        assert r.Shard == 7 and not hasattr(r, "IDS")
     assert bpe.encode_decode(nothing, PATH, P.PATTERN).count() == 0
 
 

@@ -38,6 +38,26 @@ def test_edges(docs, nothing):
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in made)
 
 
+def test_parts_are_the_whole(monkeypatch):
+    rng = np.random.default_rng(2)
+    words = fp.WordHashes().of([f"w{i}" for i in rng.integers(0, 200, 1000)])
+    whole = np.unique(fp.shingle_hashes(words))[: fp.K].tolist()
+    for n in (5, 6, 17, 300, 999, 1000):
+        monkeypatch.setattr(fp, "STRETCH", n)
+        assert fp.sketch_of(words).tolist() == whole
+
+
+def plain(text):
+    """The K least hashes of a text's shingles, and all of them, by plain sets."""
+    h = fp.WordHashes()
+    return sorted({int(fp.shingle_hashes(h.of(list(s)))[0]) for s in shingles(text)})
+
+
+def plain_likeness(a, b):
+    least = sorted(set(a) | set(b))[: fp.K]
+    return len(set(least) & set(a) & set(b)) / len(least) if least else 1.0
+
+
 def test_query(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
     got = {r.doc_id: r for r in fp.op8_fingerprints(spark, sf).collect()}
@@ -48,5 +68,9 @@ def test_query(spark, sf):
         r = got[x.doc_id]
         assert (r.n_chars, r.edited_sha256) == (n, hashlib.sha256(e.encode()).hexdigest())
         assert (r.fingerprint, r.edited_fingerprint) == (fp.as_text(sketch(x.text)), fp.as_text(sketch(e)))
+        p, q, v = plain(x.text), plain(e), plain(u)
+        assert r.fingerprint == "".join(f"{h:016x}" for h in p[: fp.K])
+        assert abs(r.near_edited - plain_likeness(p, q)) < 1e-9 and abs(r.near_next - plain_likeness(p, v)) < 1e-9
+        assert (len(p) >= fp.K) or r.n_shingles == len(p)
         a, b = shingles(x.text), shingles(e)
         assert abs(r.near_edited - len(a & b) / len(a | b)) < 0.25

@@ -62,8 +62,8 @@ def test_pieces(spark):
 
 
 def test_edges(docs, nothing):
-    made, sources, pieces = mixing.mix(docs.drop("s", "start", "size"))
-    assert made.count() == docs.count()
+    made, sources, pieces = mixing.mix(docs)
+    assert made.count() == docs.count() and {r.N_Blocks for r in made.collect()} == {7} and not {"Size", "S", "Start"} & set(made.columns)
     names = {r.source: r.s for r in sources.collect()}
     assert names == {"a": 0, "b": 1, "c": 2, None: 3}
     d, s, p = mixing.mix(nothing)

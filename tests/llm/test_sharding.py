@@ -14,6 +14,22 @@ def test_packed_balances_all():
     assert (sums.max(0) / sums.mean(0) < [1.01, 1.05, 1.05]).all()
 
 
+def test_packed_is_the_plain_loop():
+    rng = np.random.default_rng(5)
+    size = np.column_stack([rng.integers(1, 24, 300), rng.integers(0, 8, 300), rng.integers(1, 3, 300)]).astype(float)
+    # with totals that are powers of two all sums are exact
+    size = np.vstack([size, 4096 - size.sum(0)])
+    total = [sum(x[d] for x in size) for d in range(3)]
+    items = sorted(((tuple(x[d] / total[d] for d in range(3)), i) for i, x in enumerate(size.tolist())), key=lambda x: (-max(x[0]), x[1]))
+    left, want = [[1 / 8] * 3 for _ in range(8)], {}
+    for share, i in items:
+        dots = [sum(a * b for a, b in zip(bin_, share)) for bin_ in left]
+        want[i] = best = dots.index(max(dots))
+        left[best] = [a - b for a, b in zip(left[best], share)]
+    got = sharding.packed(size, 8).tolist()
+    assert all(got[i] == want[i] for i in want)
+
+
 def check(rows, shards):
     by = defaultdict(list)
     for r in rows:
@@ -36,7 +52,7 @@ def test_edges(docs, nothing):
     rows = sharding.sharded(docs).collect()
     assert len(rows) == docs.count() and sharding.sharded(nothing).count() == 0
     check(rows, 16)
-    assert sorted(r.size for r in rows if r.doc_id in (4, 5)) == [1, 1] and {r.text_crc32 for r in rows if r.doc_id in (4, 5)} == {0} and rows[0].h == 7
+    assert sorted(r.size for r in rows if r.doc_id in (4, 5)) == [1, 1] and {r.text_crc32 for r in rows if r.doc_id in (4, 5)} == {0} and rows[0].H == 7
 
 
 def test_query(spark, sf):

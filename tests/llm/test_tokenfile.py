@@ -13,9 +13,7 @@ PATH = P.path("byte_bpe_50k.json")
 
 
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 @given(st.lists(st.integers(0, (1 << 32) - 1)))
@@ -40,6 +38,13 @@ def test_edges(spark, docs, nothing):
     assert tokenfile.read_tokens(spark, empty).count() == 0
 
 
+def test_special_tokens_are_the_librarys():
+    texts = ["a <|endoftext|> b", "x<|endoftext|>", "  <|endoftext|>  y  z", "plain  text", ""]
+    words = tokenfile.Chunks(PATH)
+    got = [np.frombuffer(x, words.kind).tolist() for x in words.encode(texts)]
+    assert got == [library().encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_query(spark, sf):
     t, at = library(), 0
     got = {r.doc_id: r for r in tokenfile.op3_tokens(spark, sf).collect()}
