@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 WATERMARK = "1 hour"
 HOURS = 20
@@ -75,4 +76,4 @@ def drained(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     query.awaitTermination()
     if query.exception():
         raise query.exception()
-    return spark.read.option("basePath", f"{path}/data").schema(stream.schema.add("batch", "long")).parquet(f"{path}/data")
+    return spark.read.option("basePath", f"{path}/data").schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{path}/data")
