@@ -5,6 +5,7 @@ Statistics come from the rows that are searched, so filters go before. Ties are
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,24 +30,24 @@ def term_counts(terms: DataFrame) -> DataFrame:
 def bm25(terms: DataFrame, query: list[str]) -> DataFrame:
     """terms' rows with ``bm25`` for a query, given as tokens; repeated ones count again.
 
-    Two passes: one gives a row of statistics (sizes, the query terms' counts, the mean weight), which is sent to all
-    tasks; the other scores each row by itself.
+    One pass gives a row of statistics: the number and mean size of rows and in how many each query term is. A term of
+    more than half of the rows would weigh less than nothing and gets a share of the mean weight of all terms; only
+    then are these counted. The last pass scores each row by itself.
     """
     distinct = list(dict.fromkeys(query))
-    weight = lambda n, df: F.log(n - df + 0.5) - F.log(df + 0.5)
-    sizes = terms.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    counts = term_counts(terms).crossJoin(F.broadcast(sizes.select("n")))
-    # the number of rows is one value, so the cross join is a column
-    known = counts.agg(F.avg(weight(F.col("n"), F.col("df"))).alias("mean"), *[F.max(F.when(F.col("term") == t, F.col("df"))).alias(f"df{i}") for i, t in enumerate(distinct)])
-    rows = terms.crossJoin(F.broadcast(sizes.crossJoin(known)))
+    weight = lambda n, df: math.log(n - df + 0.5) - math.log(df + 0.5)
+    known = terms.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.array_contains("toks", t)).alias(f"df{i}") for i, t in enumerate(distinct)]).first()
+    weights = [weight(known.n, df) if (df := known[f"df{i}"]) else None for i in range(len(distinct))]
+    if any(w is not None and w < 0 for w in weights):
+        n, df = F.lit(known.n), F.col("df")
+        mean = term_counts(terms).agg(F.avg(F.log(n - df + 0.5) - F.log(df + 0.5))).first()[0]
+        weights = [EPSILON * mean if w is not None and w < 0 else w for w in weights]
     score = F.lit(0.0)
-    for i, t in enumerate(distinct):
-        idf = weight(F.col("n"), F.col(f"df{i}"))
-        idf = F.when(idf >= 0, idf).otherwise(EPSILON * F.col("mean"))
-        tf = _occurrences("toks", t)
-        part = query.count(t) * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-        score = score + F.when(F.col(f"df{i}").isNotNull() & (tf > 0), part).otherwise(0.0)
-    return rows.select(*terms.columns, score.alias("bm25"))
+    for t, w in zip(distinct, weights):
+        if w is not None:
+            tf = _occurrences("toks", t)
+            score = score + F.when(tf > 0, query.count(t) * w * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / known.avgdl))).otherwise(0.0)
+    return terms.withColumn("bm25", score)
 
 
 def _occurrences(array: str, value: str) -> Column:
