@@ -222,3 +222,42 @@ def newest(threads: DataFrame, keys: list[str], last: str, most: int = 40) -> Da
 def option(values: Column, key: Column, default: Column) -> Column:
     """A setting from a map by a command's name, else its default; a value that is there but null stays null."""
     return F.when(F.map_contains_key(values, key), F.try_element_at(values, key)).otherwise(default)
+
+
+def paragraph(body: Column, label: str) -> Column:
+    """The paragraph that begins with a label, without it and in one line; null where there is none."""
+    return F.trim(F.regexp_replace(found(body, rf"(?ms)^{re.escape(label)}\s*(.*?)(?=\n\s*\n|\z)"), r"\s+", " "))
+
+
+def week_of(states: DataFrame, plan: DataFrame) -> DataFrame:
+    """states (doc, line) with ``week``, ``of`` and, of the plan's section (doc, text) for that week, ``title`` and ``goal``.
+
+    A state tells its week as ``BASE ... semana N de T``; sections of the plan are headed by a week or a range of weeks.
+    """
+    told = r"BASE.*?semana (\d+) de (\d+)"
+    known = states.withColumn("week", found(F.col("line"), told).cast("int")).withColumn("of", found(F.col("line"), told, 2).cast("int"))
+    head = r"^Semanas? (\d+)(?:-(\d+))?\.\s*(.+)$"
+    part = lambda i: F.regexp_extract("title", head, i)
+    rows = sections(plan).where(F.col("title").rlike(head)).select("doc", "i", part(1).cast("int").alias("_a"), F.coalesce(F.nullif(part(2), F.lit("")), part(1)).cast("int").alias("_b"), part(3).alias("_t"), paragraph(F.col("body"), "Meta al acabar:").alias("_g"))
+    hits = known.select("doc", "week").distinct().join(rows, "doc").where("week between _a and _b").groupBy("doc", "week").agg(F.min(F.struct("i", "_t", "_g")).alias("x"))
+    return known.join(hits.select("doc", "week", F.col("x._t").alias("title"), F.col("x._g").alias("goal")), ["doc", "week"], "left")
+
+
+def pending_lines(text: Column) -> Column:
+    """The open lines of a register's section of pending ones."""
+    part = F.coalesce(found(text, r"(?ms)^## Pendientes\s*$(.*?)(?=^## |\z)"), F.lit(""))
+    return F.filter(F.split(part, "\n"), lambda x: F.startswith(F.trim(x), F.lit("- [ ]")))
+
+
+def text_or_section(text: Column, name: str) -> Column:
+    """The section of a heading, or of one that the name is part of; null where it is empty."""
+    exact = found(text, rf"(?ms)^## {re.escape(name)}[ \t]*$(.*?)(?=^## |\z)")
+    like = found(text, rf"(?ms)^## [^\n]*{re.escape(name)}[^\n]*$(.*?)(?=^## |\z)")
+    return F.coalesce(F.nullif(stripped(exact), F.lit("")), F.nullif(stripped(like), F.lit("")))
+
+
+def pasted(text: Column) -> Column:
+    """(command, text) of a pasted passage: a command at its beginning and a full stop alone at its end are taken off."""
+    command = r"(?s)\A\s*(/pegar|/paso|/lema|/notacion)\b[ \t]*"
+    rest = F.regexp_replace(F.regexp_replace(text, command, ""), r"(?:\A|\n)\s*\.\s*\z", "")
+    return F.struct(found(text, command).alias("command"), stripped(rest).alias("text"))

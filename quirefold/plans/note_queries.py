@@ -156,11 +156,36 @@ def command_options(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("event_type", "tokens", "effort").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (note_blocks, note_attempts, note_state, note_block, note_sections, heading_anchors, register_counts, reading_lines, register_append, transcription_files, valid_boxes, occupied_paragraphs, structure_replies, newest_threads, command_options)}
+def base_weeks(spark: SparkSession, sf: str) -> DataFrame:
+    """The plan's section for the week that each order's state tells; plans are made for the customers."""
+    o = _orders(spark, sf)
+    states = o.select("doc", "i", F.concat(F.lit("Fase: "), F.when(F.col("k") < 6, "BASE en marcha, ").otherwise("libre, "), F.lit("semana "), F.col("k") + 1, F.lit(" de 7")).alias("line"))
+    plan = o.select("doc").distinct().select("doc", F.concat(F.lit("# Plan\n## Semana 1. Uno de "), "doc", F.lit("\nTexto: libro\n\nMeta al acabar: a\nb\n\nmas\n## Semanas 2-4. Dos\nMeta al acabar: c\n## Semana 6. Tres\nnada\n")).alias("text"))
+    return N.week_of(states, plan).select(F.col("doc").cast("long").alias("custkey"), "i", "week", "title", "goal")
+
+
+def pasted_passages(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as passages that are pasted under a command, or without one."""
+    command = F.element_at(F.array(*map(F.lit, ("/lema ", "/pegar\n", "", "/lemas "))), (F.col("turn") % 4 + 1).cast("int"))
+    p = N.pasted(F.concat(command, F.lit("word "), "conv_id", F.when(F.col("conv_id") % 2 == 0, "\n.\n").otherwise("")))
+    return table(spark, sf, "conversations").select("conv_id", "turn", p["command"].alias("command"), p["text"].alias("text"))
+
+
+def pending_registers(spark: SparkSession, sf: str) -> DataFrame:
+    """Open lines of the section of pending ones, and the section of phase 3, of registers by customer."""
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "status"))), lambda x: F.concat(F.when(x["status"] == "O", "- [ ] ").otherwise("- [x] "), x["i"].cast("string"))), "\n")
+    text = _orders(spark, sf).groupBy("doc").agg(F.concat(F.lit("- [ ] no\n## Pendientes\n"), lines, F.lit("\n## Fase 3 - Ataque (a ciegas)\n"), F.count("*"), F.lit("\n## Hechas\n- [ ] no")).alias("text"))
+    return text.select(F.col("doc").cast("long").alias("custkey"), F.size(N.pending_lines(F.col("text"))).cast("long").alias("pending"), N.text_or_section(F.col("text"), "Fase 3").alias("phase3"))
+
+
+QUERIES = {f.__name__: f for f in (note_blocks, note_attempts, note_state, note_block, note_sections, heading_anchors, register_counts, reading_lines, register_append, transcription_files, valid_boxes, occupied_paragraphs, structure_replies, newest_threads, command_options, base_weeks, pasted_passages, pending_registers)}
 
 _O = "o AS (SELECT o_custkey AS custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS i, CAST(o_orderkey % 7 AS INTEGER) AS k, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, o_orderstatus AS status FROM orders)"
 
 SQL = {
+    "base_weeks": f"""WITH {_O} SELECT custkey, i, CASE WHEN k < 6 THEN k + 1 END AS week, CASE WHEN k = 0 THEN 'Uno de ' || custkey WHEN k BETWEEN 1 AND 3 THEN 'Dos' WHEN k = 5 THEN 'Tres' END AS title, CASE WHEN k = 0 THEN 'a b' WHEN k BETWEEN 1 AND 3 THEN 'c' END AS goal FROM o""",
+    "pasted_passages": "SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '/lema' WHEN 1 THEN '/pegar' END AS command, CASE turn % 4 WHEN 3 THEN '/lemas ' ELSE '' END || 'word ' || conv_id AS text FROM conversations",
+    "pending_registers": f"WITH {_O} SELECT custkey, count(*) FILTER (status = 'O') AS pending, CAST(count(*) AS VARCHAR) AS phase3 FROM o GROUP BY custkey",
     "note_blocks": f"""WITH {_O} SELECT custkey, 'R' || i AS rid, ['Teorema', 'Lemma', 'Proposición', 'Remark', 'Nada', 'Corollary', 'Definicion'][k + 1] || ' ' || k || '.' || i || ' (x)' AS title, k || '.' || i AS number,
         ['teorema', 'lema', 'proposicion', '', '', 'corolario', 'definicion'][k + 1] AS kind, status AS mode FROM o""",
     "note_attempts": f"WITH {_O} SELECT custkey, 'R' || i AS rid, CAST(x - 1 AS INTEGER) AS n, day AS date, CAST(least(x, 3) AS INTEGER) AS level, x + 0.5::DOUBLE AS minutes, 's' || i AS session FROM o, range(1, k + 2) AS t(x)",
