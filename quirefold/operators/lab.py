@@ -142,7 +142,7 @@ def mg_constant(weights_: DataFrame) -> DataFrame:
     By its definition this looks at all p and q with p + q <= N; each p gives only its own q, which meet by (seq_id, q).
     """
     ends = weights_.groupBy("seq_id").agg(F.max("p").alias("_n"))
-    a = weights_.join(ends, "seq_id").where(F.col("p") * 2 <= F.col("_n")).select("seq_id", F.col("p").cast("int").alias("p"), F.col("log_w").alias("_wp"), F.explode(F.sequence(F.greatest(F.col("p"), F.lit(1)).cast("int"), (F.col("_n") - F.col("p")).cast("int"))).alias("q"))
+    a = weights_.join(ends, "seq_id").where((F.col("p") * 2 <= F.col("_n")) & (F.col("_n") >= 1)).select("seq_id", F.col("p").cast("int").alias("p"), F.col("log_w").alias("_wp"), F.explode(F.sequence(F.greatest(F.col("p"), F.lit(1)).cast("int"), (F.col("_n") - F.col("p")).cast("int"))).alias("q"))
     b = weights_.select("seq_id", F.col("p").cast("int").alias("q"), F.col("log_w").alias("_wq"))
     c = weights_.select("seq_id", F.col("p").cast("int").alias("_s"), F.col("log_w").alias("_ws"))
     pairs = a.join(b, ["seq_id", "q"]).withColumn("_s", F.col("p") + F.col("q")).join(c, ["seq_id", "_s"])
