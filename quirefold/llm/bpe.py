@@ -23,6 +23,7 @@ from functools import reduce
 from operator import add
 
 import numpy as np
+import pyarrow as pa
 import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -236,8 +237,8 @@ def word_counts(df: DataFrame, text: str, pattern: str) -> DataFrame:
     return map_batches(df.select(text), count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def head_words(df: DataFrame, text: str, ranks: pyspark.Broadcast, pattern: str, head: int) -> dict[str, bytes]:
-    """The corpus's commonest words and their ids: at most ``head`` words of at most HEAD_WORD_BYTES bytes."""
+def head_words(df: DataFrame, text: str, ranks: pyspark.Broadcast, pattern: str, head: int) -> bytes:
+    """The corpus's commonest words and their ids, about ``head`` words of at most HEAD_WORD_BYTES bytes, as an Arrow stream."""
     spark = df.sparkSession
     counted = word_counts(df, text, pattern).where(F.octet_length("word") <= HEAD_WORD_BYTES)
     top = commonest(stored(counted, "words"), "n", "word", head)
@@ -249,8 +250,17 @@ def head_words(df: DataFrame, text: str, ranks: pyspark.Broadcast, pattern: str,
             yield {"word": part["word"], "ids": [np.array(x, "<u4").tobytes() for x in ids]}
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = map_batches(top.repartition(n, "word").select("word"), replayed, "word string, ids binary").collect()
-    return {r.word: bytes(r.ids) for r in rows}
+    found = map_batches(top.repartition(n, "word").select("word"), replayed, "word string, ids binary").toArrow()
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, found.schema) as stream:
+        stream.write_table(found)
+    return out.getvalue().to_pybytes()
+
+
+def read_head(raw: bytes) -> dict[str, bytes]:
+    """The words and ids of ``head_words``; made in the tasks, so that the driver holds the bytes alone."""
+    found = pa.ipc.open_stream(raw).read_all()
+    return dict(zip(found["word"].to_pylist(), found["ids"].to_pylist()))
 
 
 def encoded(df: DataFrame, ranks_path: str, pattern: str, piece: Callable, make: Callable, schema: str, keep: list[str], text: str = "text", head: int = HEAD_WORDS) -> DataFrame:
@@ -265,7 +275,7 @@ def encoded(df: DataFrame, ranks_path: str, pattern: str, piece: Callable, make:
     name = uuid.uuid4().hex
 
     def run(parts: Iterable[dict[str, list]]):
-        words = kept_in_worker(("bpe", name), lambda: Words(ranks.value, pattern, top.value, piece))
+        words = kept_in_worker(("bpe", name), lambda: Words(ranks.value, pattern, read_head(top.value), piece))
         for part in parts:
             yield {k: part[k] for k in keep} | make(words.pieces([t or "" for t in part[text]]))
 
