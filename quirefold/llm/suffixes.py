@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm.shared import map_batches, stored
+from quirefold.llm.shared import fresh_path, map_batches, shuffles_removed, stored
 
 LENGTH = 100
 K = 24
@@ -77,6 +77,19 @@ def units(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3
 
 
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as a table in the shared folder, and its path, so that it can be removed once what follows from it is written."""
+    path = fresh_path(df.sparkSession, name)
+    with shuffles_removed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def texts(df: DataFrame, text: str) -> DataFrame:
     """(doc_id, d, h, g, t): t the bytes; d and h tell documents apart and order them, g is a hash of both."""
     known = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("t"))
@@ -109,9 +122,9 @@ def with_identity(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"k1": F.xxhash64("bytes"), "k2": F.xxhash64(F.lit(1), "bytes")})
 
 
-def repeated_units(docs: DataFrame) -> DataFrame:
-    """UNIT rows of the units whose anchor is found more than once."""
-    found = stored(anchors(docs), "anchors")
+def repeated_units(docs: DataFrame) -> tuple[DataFrame, str]:
+    """UNIT rows of the units whose anchor is found more than once, and their path."""
+    found, path = written(anchors(docs), "anchors")
     often = found.groupBy("anchor").count().where("count > 1").select("anchor")
     wanted = found.join(often, "anchor").groupBy("g").agg(F.collect_list("unit").alias("wanted"))  # as many as the text has units
 
@@ -132,16 +145,20 @@ def repeated_units(docs: DataFrame) -> DataFrame:
                     out = {c: [] for c in out}
             yield out
 
-    return stored(with_identity(map_batches(docs.select("d", "h", "g", "t").join(wanted, "g").select("d", "h", "t", "wanted"), run, UNIT)), "units")
+    made = written(with_identity(map_batches(docs.select("d", "h", "g", "t").join(wanted, "g").select("d", "h", "t", "wanted"), run, UNIT)), "units")
+    removed(docs.sparkSession, path)
+    return made
 
 
-def firsts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of units with the same bytes the first; and the spans of the others, repeats as a whole."""
+def firsts(rows: DataFrame, path: str) -> tuple[DataFrame, str, DataFrame]:
+    """Of the units of a table with the same bytes the first, their path, and the spans of the others, repeats as a whole; the table goes."""
     names = ["d", "h", "start"]
-    first = stored(rows.groupBy(*IDENTITY).agg(F.min(F.struct(*names, "n", "at", "anchor", "bytes")).alias("f")).select("f.*", *IDENTITY), "firsts")
+    first, first_path = written(rows.groupBy(*IDENTITY).agg(F.min(F.struct(*names, "n", "at", "anchor", "bytes")).alias("f")).select("f.*", *IDENTITY), "firsts")
     known = first.select(*IDENTITY, F.struct(*names).alias("f"))
     later = rows.select(*names, "n", *IDENTITY).join(known, IDENTITY).where(F.struct(*names) != F.col("f"))
-    return first, later.select("d", "h", "start", (F.col("start") + F.col("n") + LENGTH - 1).alias("end"))
+    spans = stored(later.select("d", "h", "start", (F.col("start") + F.col("n") + LENGTH - 1).alias("end")), "spans")
+    removed(rows.sparkSession, path)
+    return first, first_path, spans
 
 
 def halved(rows: DataFrame, size: int) -> DataFrame:
@@ -164,18 +181,19 @@ def halved(rows: DataFrame, size: int) -> DataFrame:
     return with_identity(map_batches(rows.select(*(c.split()[0] for c in UNIT.split(", "))), run, UNIT))
 
 
-def parted(first: DataFrame, hot: int = HOT) -> tuple[DataFrame, list[DataFrame]]:
-    """Units that share an anchor with others, no more than ``hot`` of them; and spans of repeats that were found on the way."""
+def parted(first: DataFrame, path: str, hot: int = HOT) -> tuple[DataFrame, list[DataFrame]]:
+    """Units of a table that share an anchor with others, no more than ``hot`` of them; and spans of repeats that were found on the way. The table goes."""
     ready, spans, size = [], [], 1 << (WINDOW - 1).bit_length()
     while True:
         counts = first.groupBy("anchor").count().where("count > 1")
         known = stored(first.join(counts, "anchor"), "shared")
+        removed(first.sparkSession, path)
         ready.append(known.where(F.col("count") <= hot).drop("count"))
         much = known.where(F.col("count") > hot).drop("count")
         if size == 1 or much.isEmpty():
             return reduce(DataFrame.unionByName, ready), spans
         size //= 2
-        first, later = firsts(stored(halved(much, size), "halves"))
+        first, path, later = firsts(*written(halved(much, size), "halves"))
         spans.append(later)
 
 
@@ -270,8 +288,8 @@ def indexed(shared: DataFrame, batches: int = BATCHES, bucket: int = BUCKET) ->
 
 def repeated_spans(docs: DataFrame, batches: int = BATCHES, bucket: int = BUCKET, hot: int = HOT) -> DataFrame:
     """(d, h, start, end): the bytes to remove, in spans that may overlap, of ``texts``."""
-    first, later = firsts(repeated_units(docs))
-    shared, spans = parted(first, hot)
+    first, path, later = firsts(*repeated_units(docs))
+    shared, spans = parted(first, path, hot)
     return reduce(DataFrame.unionByName, [later, *spans, *indexed(shared, batches, bucket)])
 
 

@@ -80,7 +80,7 @@ def test_units_cover_all_suffixes_and_very_long_texts(monkeypatch):
 
 
 def test_operator_gives_spans_and_bytes(spark):
-    text = "".join(random.Random(2).choice("abcdefgh ") for _ in range(300))
+    text = "".join(random.Random(2).choices("abcdefgh ", k=300))
     df = spark.createDataFrame([(1, text), (2, "new|" + text[50:250] + "|end")], "doc_id long, text string")
     got = {r.doc_id: r for r in suffixes.without_repeats(df).collect()}
     assert got[1].kept.decode() == text and [tuple(s) for s in got[2].spans] == [(4, 204)] and got[2].kept == b"new||end"
