@@ -384,19 +384,6 @@ def stable_poles(poles: DataFrame, tol: float = 1e-3, votes: int = 3) -> DataFra
     return voted.join(earlier, ["series_id", "id"], "left_anti").select("series_id", F.col("mre").alias("re"), F.col("mim").alias("im"), "votes")
 
 
-def directions(poles: DataFrame, gap: float = 0.05) -> DataFrame:
-    """(series_id, direction, radius, n) of poles (series_id, re, im): runs of angles without a gap, by their nearest pole."""
-    w = Window.partitionBy("series_id").orderBy("_a", "_r")
-    z = poles.withColumn("_a", F.atan2("im", "re")).withColumn("_r", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")))
-    z = z.withColumn("_g", F.sum(F.when(F.col("_a") - F.lag("_a").over(w) < gap, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return z.groupBy("series_id", "_g").agg(F.min(F.struct("_r", "_a")).alias("x"), F.count("*").alias("n")).select("series_id", F.col("x._a").alias("direction"), F.col("x._r").alias("radius"), "n")
-
-
-def radius(poles: DataFrame) -> DataFrame:
-    """(series_id, radius): the least modulus of the poles."""
-    return poles.groupBy("series_id").agg(F.min(F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))).alias("radius"))
-
-
 def sweep(rows: DataFrame, grid: DataFrame, holds: Column, order: list[str], most: int = 5, points: int = 1000) -> DataFrame:
     """For each point of a grid (at most ``points``, sent to all tasks) the first rows that refute a condition on both, with their place ``k``."""
     if grid.limit(points + 1).count() > points:
@@ -438,48 +425,6 @@ def inverse(series: DataFrame) -> DataFrame:
     return by_series(series, "n int, num string, den string", work)
 
 
-def times(a: list[Fraction], b: list[Fraction], n: int) -> list[Fraction]:
-    return [sum((a[i] * b[k - i] for i in range(max(0, k - len(b) + 1), min(k, len(a) - 1) + 1)), Fraction(0)) for k in range(n)]
-
-
-def square_root(series: DataFrame) -> DataFrame:
-    """The branch y(0) = 1 of y^2 = series with constant term 1, by Newton steps that double the order."""
-
-    def work(c):
-        if c[0] != 1:
-            return []
-        y, n = [Fraction(1)], 1
-        while n < len(c):
-            n = min(2 * n, len(c))
-            y += [Fraction(0)] * (n - len(y))
-            left = [a - b for a, b in zip(c[:n], times(y, y, n))]
-            inv = [1 / y[0]]
-            for k in range(1, n):
-                inv.append(-sum(y[i] * inv[k - i] for i in range(1, k + 1)) / y[0])
-            y = [a + b / 2 for a, b in zip(y, times(left, inv, n))]
-        return [(k, str(x.numerator), str(x.denominator)) for k, x in enumerate(y)]
-
-    return by_series(series, "n int, num string, den string", work)
-
-
-def pade_poles(series: DataFrame) -> DataFrame:
-    """(series_id, re, im): poles of the diagonal Padé approximant of each series (series_id, n, c), by modulus."""
-
-    def poles(_, rows) -> list[tuple]:
-        c = np.zeros(int(rows[-1]["n"]) + 1)
-        for x in rows:
-            c[int(x["n"])] = x["c"]
-        m = (len(c) - 1) // 2
-        if m < 1:
-            return []
-        a = np.array([[c[m + i - j] for j in range(1, m + 1)] for i in range(1, m + 1)])
-        q = np.linalg.lstsq(a, -c[m + 1 : 2 * m + 1], rcond=None)[0]
-        roots = np.roots([*q[::-1], 1.0]) if np.any(q) else np.zeros(0)
-        return [(float(z.real), float(z.imag)) for z in sorted(roots, key=lambda z: (round(abs(z), 9), z.imag)) if np.isfinite(z)]
-
-    return by_group(series, "series_id", ["n", "c"], "re double, im double", poles)
-
-
 def euler_sum(points: DataFrame, z: str = "z", nodes: int = 40) -> DataFrame:
     """points with ``value``: the Laplace integral of 1 / (1 + z t) by Gauss-Laguerre quadrature, for z > 0."""
     t, w = np.polynomial.laguerre.laggauss(nodes)

@@ -233,11 +233,6 @@ def stable_poles(spark, sf):
     return found.select("series_id", F.round("re", 6).alias("re"), F.round("im", 6).alias("im"), F.col("votes").cast("long").alias("votes"))
 
 
-def singular_directions(spark, sf):
-    found = L.directions(_poles(spark, sf)).join(L.radius(_poles(spark, sf)).withColumnRenamed("radius", "least"), "series_id")
-    return found.select("series_id", *[F.round(c, 6).alias(c) for c in ("direction", "radius", "least")], F.col("n").cast("long").alias("n"))
-
-
 def refutation_sweep(spark, sf):
     """For bounds on the price per piece that follow from the regions' numbers, the first line items that refute them."""
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
@@ -255,21 +250,12 @@ def series_inverse(spark, sf):
     return L.inverse(_exact(spark, sf))
 
 
-def hensel_root(spark, sf):
-    """The branch of y^2 = f with y(0) = 1, exact, for the orders' series."""
-    return L.square_root(_exact(spark, sf))
-
-
-def pade_poles(spark, sf):
-    return L.pade_poles(_prices(spark, sf)).select("series_id", F.round("re", 4).alias("re"), F.round("im", 4).alias("im"))
-
-
 def laplace_sum(spark, sf):
     points = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_tax", (F.col("l_tax") + 0.01).alias("z"))
     return L.euler_sum(points).select("l_orderkey", "l_linenumber", "l_tax", F.round("value", 8).alias("value"))
 
 
-QUERIES = {f.__name__: f for f in (weight_sums, log_convex, dc_constant, mg_constant, omega_index, gamma1_tail, almost_increasing, associated_fn, convention_switch, weights_panel, growth_ratio_fit, growth_tail_fit, roumieu_beurling, cauchy_product, series_sums, borel_coeffs, growth_report, newton_edges, newton_characteristic, poly_derivative, series_power, series_composition, series_quotient, series_simple, weight_catalogue, grown_series, closed_series, series_from_poles, stable_poles, singular_directions, refutation_sweep, series_inverse, hensel_root, pade_poles, laplace_sum)}
+QUERIES = {f.__name__: f for f in (weight_sums, log_convex, dc_constant, mg_constant, omega_index, gamma1_tail, almost_increasing, associated_fn, convention_switch, weights_panel, growth_ratio_fit, growth_tail_fit, roumieu_beurling, cauchy_product, series_sums, borel_coeffs, growth_report, newton_edges, newton_characteristic, poly_derivative, series_power, series_composition, series_quotient, series_simple, weight_catalogue, grown_series, closed_series, series_from_poles, stable_poles, refutation_sweep, series_inverse, laplace_sum)}
 
 _R = "r AS (SELECT o_custkey AS seq_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS p, ln(o_totalprice) AS log_m, o_totalprice AS c FROM orders WHERE o_totalprice > 0)"
 _W = _R + ", w AS (SELECT seq_id, p, coalesce(sum(log_m) OVER (PARTITION BY seq_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS log_w FROM r)"
@@ -351,9 +337,6 @@ SQL = {
         v AS (SELECT a.series_id, a.id, any_value(a.size) AS size, count(DISTINCT b.ord) AS votes, avg(b.re) AS mre, avg(b.im) AS mim FROM z a JOIN z b ON a.series_id = b.series_id AND sqrt((a.re - b.re) ** 2 + (a.im - b.im) ** 2) < a.size GROUP BY a.series_id, a.id),
         k AS (SELECT v.* FROM v JOIN n USING (series_id) WHERE votes >= least(3, k))
         SELECT series_id, round(mre, 6) AS re, round(mim, 6) AS im, votes FROM k a WHERE NOT EXISTS (SELECT 1 FROM k b WHERE b.series_id = a.series_id AND b.id < a.id AND sqrt((a.id.re - b.id.re) ** 2 + (a.id.im - b.id.im) ** 2) < a.size)""",
-    "singular_directions": f"""WITH {_POLES}, z AS (SELECT series_id, atan2(im, re) AS a, sqrt(re * re + im * im) AS r FROM p), g AS (SELECT *, coalesce(a - lag(a) OVER (PARTITION BY series_id ORDER BY a, r) < 0.05, false) AS near FROM z),
-        h AS (SELECT *, sum(CASE WHEN near THEN 0 ELSE 1 END) OVER (PARTITION BY series_id ORDER BY a, r ROWS UNBOUNDED PRECEDING) AS k FROM g), m AS (SELECT series_id, min(r) AS least FROM z GROUP BY ALL)
-        SELECT series_id, round(arg_min(a, (r, a)), 6) AS direction, round(min(r), 6) AS radius, round(any_value(least), 6) AS least, count(*) AS n FROM h JOIN m USING (series_id) GROUP BY series_id, k""",
     "refutation_sweep": """SELECT bound, CAST(row_number() OVER (PARTITION BY bound ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS INTEGER) AS k, l_orderkey, l_linenumber FROM lineitem, (SELECT CAST(r_regionkey * 10000 + 30000 AS BIGINT) AS bound FROM region)
         WHERE NOT coalesce(l_extendedprice < bound OR l_quantity > 45, false) QUALIFY k <= 5""",
 }

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from quirefold.plans import bibliography_queries, lab_queries, log_queries, note_queries, search_queries, source_queries, store_queries, tex_queries
+from quirefold.plans import algebra_queries, bibliography_queries, lab_queries, log_queries, note_queries, search_queries, source_queries, store_queries, tex_queries
 
-QUERIES = {**search_queries.QUERIES, **log_queries.QUERIES, **lab_queries.QUERIES, **note_queries.QUERIES, **bibliography_queries.QUERIES, **tex_queries.QUERIES, **store_queries.QUERIES, **source_queries.QUERIES}
-SQL = {**search_queries.SQL, **log_queries.SQL, **lab_queries.SQL, **note_queries.SQL, **bibliography_queries.SQL, **tex_queries.SQL, **store_queries.SQL, **source_queries.SQL}
+MODULES = (search_queries, log_queries, lab_queries, algebra_queries, note_queries, bibliography_queries, tex_queries, store_queries, source_queries)
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+SQL = {k: v for m in MODULES for k, v in m.SQL.items()}

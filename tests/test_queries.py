@@ -68,29 +68,20 @@ def _times(a, b):
     return [sum(a[i] * b[n - i] for i in range(n + 1)) for n in range(len(a))]
 
 
-def test_inverse_and_root_by_residual(spark, sf):
-    f = _series(spark, sf)
-    inv, root = (_exact(registry.QUERIES[q](spark, sf).collect()) for q in ("series_inverse", "hensel_root"))
-    assert set(inv) == set(root) == set(f)
+def test_inverse_by_residual(spark, sf):
+    f, inv = _series(spark, sf), _exact(registry.QUERIES["series_inverse"](spark, sf).collect())
+    assert set(inv) == set(f)
     for k, c in f.items():
-        assert _times(c, inv[k]) == [1] + [0] * (len(c) - 1) and _times(root[k], root[k]) == c
+        assert _times(c, inv[k]) == [1] + [0] * (len(c) - 1)
 
 
 def test_laplace_against_long_sum(spark, sf):
     t = np.linspace(0, 60, 60001)
-    for r in registry.QUERIES["laplace_sum"](spark, sf).limit(5).collect():
+    for r in registry.QUERIES["laplace_sum"](spark, sf).dropDuplicates(["l_tax"]).collect():
         y = np.exp(-t) / (1 + (r.l_tax + 0.01) * t)
         assert abs(r.value - ((y[1:] + y[:-1]) / 2 * np.diff(t)).sum()) < 1e-6
 
 
-def test_pade_poles_are_near_those_of_a_rational(spark):
-    from quirefold.operators import lab
-
-    rows = [(1, n, 2.0**n + 0.25**n) for n in range(5)]
-    poles = [r.re for r in lab.pade_poles(spark.createDataFrame(rows, "series_id long, n int, c double")).collect()]
-    assert np.allclose(poles, [0.5, 4.0])
-
-
 def test_fragment_index(spark, sf):
     rows = registry.QUERIES["fragment_index"](spark, sf).collect()
     assert rows and len({r.id for r in rows}) == len(rows) and all(r.n_tokens >= 20 for r in rows)
