@@ -6,6 +6,10 @@ by cosine in double precision, in blocks. A pair is counted in the first tree an
 has to be sent: a leaf returns each class's number of links and, for the components, a spanning forest of its links.
 Components are then united over all leaves by rounds of joins.
 
+Where a leaf's vectors lie so close together that any split parts near ones (the spread of a projection is less than the
+distance of a near pair), it isn't split but compared whole, in cells of two blocks of its classes; a leaf whose
+classes all share a leaf of an earlier tree is passed over. Where they lie nearly as close, more of them go to both sides.
+
 Trees are fitted on a bounded sample of SAMPLE classes in all, round by round: a round splits the largest of the leaves
 that are still too large, of which it draws a sample anew. Directions follow from the tree's and node's number; only
 thresholds are sent. Every class goes through every tree.
@@ -30,6 +34,12 @@ COSINE = 0.95
 TREES = 12
 LEAF = 1000
 SPILL = 0.08
+#: Spill where the spread is less than twice the distance of a near pair.
+WIDE = 0.15
+#: Classes of one leaf that a task compares with as many others, at most.
+CELL = 4096
+#: Near pairs for each class of a cell up to which pairs are looked at one by one.
+FEW_PAIRS = 16
 SAMPLE = 24_000
 SEED = 7
 #: Classes of a leaf in the sample, so many at least as a rule, and the least size of leaves that small tables are split to.
@@ -48,18 +58,26 @@ def direction(tree: int, node: int, size: int) -> np.ndarray:
     return np.random.default_rng((SEED, tree, node)).standard_normal(size)
 
 
-def fit_tree(tree: int, node: int, points: np.ndarray, weight: float, spill: float, leaf: int, out: dict[int, tuple[float, float, float]]) -> None:
-    """Thresholds (left end, middle, right start) of node and those below. A point stands for ``weight`` classes."""
+def fit_tree(tree: int, node: int, points: np.ndarray, weight: float, spill: float, leaf: int, gap: float, out: dict[int, tuple[float, float, float]], whole: set) -> None:
+    """Thresholds (left end, middle, right start) of node and those below. A point stands for ``weight`` classes.
+
+    whole gets the nodes (tree, node) that aren't split although they are large. gap: the distance of a near pair.
+    """
     if len(points) * weight <= leaf or len(points) < 16:
         return
     at = points @ direction(tree, node, points.shape[1])
+    if at.std() < gap:
+        whole.add((tree, node))
+        return
+    spill = spill if at.std() >= 2 * gap else max(spill, WIDE)
     low, mid, high = np.quantile(at, [0.5 - spill, 0.5, 0.5 + spill])
     if low == high:
+        whole.add((tree, node))
         return
     out[node] = (float(low), float(mid), float(high))
     # a class between low and high goes to both sides
-    fit_tree(tree, 2 * node, points[at <= high], weight, spill, leaf, out)
-    fit_tree(tree, 2 * node + 1, points[at >= low], weight, spill, leaf, out)
+    fit_tree(tree, 2 * node, points[at <= high], weight, spill, leaf, gap, out, whole)
+    fit_tree(tree, 2 * node + 1, points[at >= low], weight, spill, leaf, gap, out, whole)
 
 
 def descend(tree: int, leaves: list[list[int]], points: np.ndarray, splits: dict[int, tuple[float, float, float]]) -> list[list[int]]:
@@ -87,7 +105,7 @@ def matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, 0))
 
 
-def grown(classes: DataFrame, trees: int, leaf: int, spill: float, sample: int) -> DataFrame:
+def grown(classes: DataFrame, trees: int, leaf: int, spill: float, sample: int, cosine: float = COSINE) -> DataFrame:
     """classes (cls, unit, n) with ``leaves``: for each tree the array of its leaves that hold the class.
 
     A round splits the largest of the leaves that are too large, as many as the sample gives LEAF_SAMPLE of their
@@ -121,9 +139,7 @@ def grown(classes: DataFrame, trees: int, leaf: int, spill: float, sample: int)
                     members.setdefault((t, int(node)), []).append(i)
         for t, node, _ in now:
             own = members.get((t, node), [])
-            fit_tree(t, node, points[own], 1 / share, spill, leaf, splits[t])
-            if node not in splits[t] and len(own) >= 16:
-                whole.add((t, node))  # its classes are of one projection
+            fit_tree(t, node, points[own], 1 / share, spill, leaf, (2 * (1 - cosine)) ** 0.5, splits[t], whole)
         sent = spark.sparkContext.broadcast(splits)
 
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,44 +161,86 @@ def grown(classes: DataFrame, trees: int, leaf: int, spill: float, sample: int)
     raise RuntimeError(f"leaves are too large after {ROUNDS} rounds")
 
 
+def cells(placed: DataFrame) -> DataFrame:
+    """A row for each class of ``grown`` and cell (tree, node, x, y) that it is in, own its block: leaves of more than CELL classes have several blocks.
+
+    Leaves whose classes all share a leaf of an earlier tree have none, and neither have those of one class.
+    """
+    each = placed.select("cls", "unit", "n", "leaves", F.posexplode("leaves").alias("tree", "nodes")).select("cls", "unit", "n", "leaves", "tree", F.explode("nodes").alias("node"))
+    # the first leaves of all trees; one of an earlier tree that is the same for all has every pair
+    firsts = F.transform("leaves", lambda x: F.get(x, F.lit(0)))
+    trees = len(placed.select("leaves").first()["leaves"]) if not placed.isEmpty() else 0
+    ends = [f(F.get(firsts, F.lit(t))).alias(f"{name}{t}") for t in range(trees) for f, name in ((F.min, "lo"), (F.max, "hi"))]
+    sizes = each.groupBy("tree", "node").agg(F.count("*").alias("size"), *ends)
+    again = F.lit(False)
+    for t in range(trees):
+        again = again | (F.col("tree") > t) & (F.col(f"lo{t}") == F.col(f"hi{t}"))
+    sizes = sizes.where((F.col("size") > 1) & ~again).select("tree", "node", F.ceil(F.col("size") / CELL).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("cls", F.lit(5)), F.col("blocks")).cast("int")
+    all_ = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least("own", i).alias("x"), F.greatest("own", i).alias("y")))
+    return each.join(sizes, ["tree", "node"]).withColumn("own", own).select("tree", "node", "cls", "unit", "n", "leaves", "own", F.inline(all_))
+
+
+def merged_labels(labels: np.ndarray, i: int, to: np.ndarray) -> list[int]:
+    """Unites i with the places ``to``; those of them, one for each other label, that this needed."""
+    found = []
+    while True:
+        other = to[labels[to] != labels[i]]
+        if not len(other):
+            return found
+        found.append(int(other[0]))
+        a, b = labels[i], labels[other[0]]
+        labels[labels == max(a, b)] = min(a, b)
+
+
 def compared(trees: int, cosine: float):
-    """Compares the classes of a leaf: rows (cls, links, other), links where other is null, else an edge."""
+    """Compares the classes of a cell: rows (cls, links, other), links where other is null, else an edge of a spanning forest."""
 
     def run(key, part: pd.DataFrame) -> pd.DataFrame:
-        tree, node = int(key[0]), int(key[1])
+        tree, node, x, y = (int(k) for k in key)
         part = part.sort_values("cls").reset_index(drop=True)
-        unit, weight, names = matrix(part["unit"]), part["n"].to_numpy(np.int64), part["cls"].to_numpy(np.int64)
-        n = len(part)
-        links = np.zeros(n, np.int64)
-        parent = np.arange(n)
-        own = [frozenset((t, int(x)) for t, nodes in enumerate(row) for x in nodes if (t, int(x)) < (tree, node)) for row in part["leaves"]]
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        edges = []
-        for a in range(0, n, BLOCK):
-            for b in range(a, n, BLOCK):
-                near = unit[a : a + BLOCK] @ unit[b : b + BLOCK].T >= cosine
-                if a == b:
-                    near = np.triu(near, 1)
-                for i, j in zip(*np.nonzero(near)):
-                    i, j = i + a, j + b
-                    if own[i].isdisjoint(own[j]):  # else counted in an earlier leaf
-                        links[i] += weight[j]
-                        links[j] += weight[i]
-                        if (x := root(i)) != (y := root(j)):
-                            parent[max(x, y)] = min(x, y)
-                            edges.append((names[i], names[j]))
+        unit, weight, names, block = matrix(part["unit"]), part["n"].to_numpy(np.int64), part["cls"].to_numpy(np.int64), part["own"].to_numpy()
+        earlier = [{(t, int(v)) for t, nodes in enumerate(row) for v in nodes if (t, int(v)) < (tree, node)} for row in part["leaves"]]
+        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        links, labels, edges = np.zeros(len(part), np.int64), np.arange(len(part)), []
+        if len(left) and len(right) and not set.intersection(*earlier):
+            for a in range(0, len(left), BLOCK):
+                i = left[a : a + BLOCK]
+                for b in range(0, len(right), BLOCK):
+                    j = right[b : b + BLOCK]
+                    near = unit[i] @ unit[j].T >= cosine
+                    if x == y:
+                        near &= i[:, None] < j[None, :]
+                    if near.sum() <= FEW_PAIRS * len(i):
+                        for r, c in zip(*np.nonzero(near)):
+                            near[r, c] = earlier[i[r]].isdisjoint(earlier[j[c]])
+                    else:
+                        near &= ~shared(earlier, i, j)
+                    links[i] += near @ weight[j]
+                    links[j] += weight[i] @ near
+                    for r in np.flatnonzero(near.any(1)):
+                        edges += [(names[i[r]], names[c]) for c in merged_labels(labels, i[r], j[near[r]])]
         hit = np.flatnonzero(links)
         return pd.DataFrame({"cls": [*names[hit], *(e[0] for e in edges)], "links": [*links[hit], *(0 for _ in edges)], "other": pd.array([*(None for _ in hit), *(int(e[1]) for e in edges)], dtype="Int64")})
 
     return run
 
 
+def shared(earlier: list[set], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of i and j have an earlier leaf in common."""
+    out = np.zeros((len(i), len(j)), bool)
+    mine, theirs = ({v for r in side for v in earlier[r]} for side in (i, j))
+    both = sorted(mine & theirs)
+    for at in range(0, len(both), 512):
+        place = {v: k for k, v in enumerate(both[at : at + 512])}
+        a, b = np.zeros((len(i), len(place)), np.float32), np.zeros((len(j), len(place)), np.float32)
+        for m, side in ((a, i), (b, j)):
+            for r, row in enumerate(side):
+                m[r, [place[v] for v in earlier[row] if v in place]] = 1
+        out |= a @ b.T > 0
+    return out
+
+
 def signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
@@ -282,9 +340,8 @@ def of_length(rows: DataFrame, size: int, cosine: float, trees: int, leaf: int,
     rows = stored(rows.select("vec_id", "unit", "h", F.when(F.col("h").isNotNull(), F.md5(F.to_json(F.struct("unit")).cast("binary"))).alias("h2")), "vectors")
     classes = rows.where("h is not null").groupBy("h", "h2").agg(F.min("vec_id").alias("least"), F.first("unit").alias("unit"), F.count("*").alias("n"))
     classes = stored(classes.withColumn("cls", F.xxhash64("h2", "h")), "classes")
-    placed = grown(classes.select("cls", "unit", "n"), trees, leaf, spill, sample)
-    by_leaf = placed.select("cls", "unit", "n", "leaves", F.posexplode("leaves").alias("tree", "nodes")).select("cls", "unit", "n", "leaves", "tree", F.explode("nodes").alias("node"))
-    found = stored(by_leaf.groupBy("tree", "node").applyInPandas(compared(trees, cosine), "cls long, links long, other long"), "links")
+    placed = grown(classes.select("cls", "unit", "n"), trees, leaf, spill, sample, cosine)
+    found = stored(cells(placed).groupBy("tree", "node", "x", "y").applyInPandas(compared(trees, cosine), "cls long, links long, other long"), "links")
     links = found.where("other is null").groupBy("cls").agg(F.sum("links").alias("links"))
     ids = classes.select("cls", "least")
     edges = found.where("other is not null").join(ids.withColumnRenamed("least", "a"), "cls").join(ids.select(F.col("cls").alias("other"), F.col("least").alias("b")), "other").where("a is not null and b is not null")

@@ -55,6 +55,21 @@ def test_links(spark, leaf):
         assert 0.97 * all_ <= found <= all_ and all(got[d][0] <= want[d][0] for d in got)
 
 
+@pytest.mark.parametrize(("n", "spread", "cell"), [(4000, 0.033, 700), (4000, 0.05, 4096), (2500, 0.02, 900)])
+def test_dense_cluster(spark, monkeypatch, n, spread, cell):
+    """Most vectors near each other: mean cosines around 0.935, 0.86 and 0.975, many more than a leaf holds."""
+    monkeypatch.setattr(forest, "CELL", cell)
+    rng = np.random.default_rng(3)
+    centre = rng.standard_normal(64)
+    v = np.vstack([centre / np.linalg.norm(centre) + spread * rng.standard_normal((n, 64)), rng.standard_normal((500, 64))])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in forest.near_vectors(df, leaf=300, sample=3000).collect()}
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.95).sum(1) - 1
+    found = np.array([got[i] for i in range(len(v))])
+    assert (found <= want).all() and found.sum() >= 0.98 * want.sum(), found.sum() / want.sum()
+
+
 def test_edges(spark):
     v = [1.0, 2.0, 3.0]
     rows = [(1, v), (2, v), (2, v), (3, None), (4, []), (5, [0.0, 0.0, 0.0]), (6, [1.0, None, 2.0]), (7, [1.0, float("nan"), 2.0]), (8, [1.0, float("inf"), 2.0]), (9, [1e-30, 2e-30, 3e-30]), (10, [-1.0, -2.0, -3.0]), (None, v), (11, [1.0, 2.0])]
