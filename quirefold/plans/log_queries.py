@@ -163,15 +163,29 @@ def stream_cost_window(spark: SparkSession, sf: str) -> DataFrame:
     return made.join(F.broadcast(last), F.col("batch") == F.col("b")).select(F.to_date("start").alias("day"), "event_type", "calls", "tokens")
 
 
+def _parts(spark: SparkSession, df: DataFrame, order: str, parts: int) -> DataFrame:
+    """A table as a stream of several batches, in order."""
+    path = logs.in_files(df, order, parts, fresh_path(spark, "files"))
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def stream_cycle(spark: SparkSession, sf: str) -> DataFrame:
-    """The state of each user's current cycle at the log's end, kept by a stream."""
-    marks = logs.table_stream(spark, sf, "events").select(F.col("user_id").alias("stream"), F.col("event_id").alias("seq"), _kinds().alias("kind"))
+    """The state of each user's current cycle when the log has ended, kept by a stream over three batches; expired ones by timers."""
+    marks = _parts(spark, _marks(table(spark, sf, "events")), "seq", 3)
     made = logs.drained(logs.cycles(marks), fresh_path(spark, "stream"), "update")
-    last = made.groupBy("stream").agg(F.max_by(F.struct("cycle", "start_seq", "closed", "paused", "seal1", "attack", "seal3"), "batch").alias("x"))
+    last = made.groupBy("stream").agg(F.max_by(F.struct("cycle", "start_seq", "closed", "paused", "seal1", "attack", "seal3", "expired"), "batch").alias("x"))
     return last.select(F.col("stream").alias("user_id"), "x.*")
 
 
-QUERIES = {f.__name__: f for f in (cycle_phase, cycle_expiry, net_minutes, engine_gate, call_cost, month_cost, cost_rollup, last4_vs_prev4, topic_recurrence, spaced_repetition, progress_first_unread, card_export_split, status_counts, stream_cost_window, stream_cycle, guarded_marks, paused_cycles, cycle_sessions, cycle_metrics, dashboard, transcription_cost)}
+def stream_threads(spark: SparkSession, sf: str) -> DataFrame:
+    """The threads that a store of 40 for each order status and priority holds after three batches of orders, of those in the order of customers."""
+    turns = table(spark, sf, "orders").select(F.concat_ws("/", "o_orderstatus", "o_orderpriority").alias("user"), F.col("o_custkey").alias("thread"), F.unix_date(F.col("o_orderdate").cast("date")).cast("long").alias("at"), "o_orderkey")
+    made = logs.drained(logs.threads(_parts(spark, turns, "at", 3).drop("o_orderkey")), fresh_path(spark, "stream"), "update")
+    last = made.groupBy("user").agg(F.max("batch").alias("b"))
+    return made.join(last, "user").where("batch = b").select("user", "thread", "used")
+
+
+QUERIES = {f.__name__: f for f in (cycle_phase, cycle_expiry, net_minutes, engine_gate, call_cost, month_cost, cost_rollup, last4_vs_prev4, topic_recurrence, spaced_repetition, progress_first_unread, card_export_split, status_counts, stream_cost_window, stream_cycle, stream_threads, guarded_marks, paused_cycles, cycle_sessions, cycle_metrics, dashboard, transcription_cost)}
 
 _MARKS = """m AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'signup' THEN 'start' WHEN 'view' THEN CASE WHEN value < 35 THEN 'seal1' ELSE 'seal3' END WHEN 'click' THEN 'attack'
       WHEN 'error' THEN CASE WHEN value < 35 THEN 'pause' ELSE 'resume' END WHEN 'purchase' THEN 'close' END AS kind FROM events),
@@ -241,5 +255,8 @@ SQL = {
     "status_counts": "SELECT o_orderstatus, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 4) AS share FROM orders GROUP BY o_orderstatus",
     "stream_cost_window": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS calls, CAST(sum(CAST(floor(value * 1000) AS BIGINT)) AS BIGINT) AS tokens FROM events GROUP BY ALL",
     "stream_cycle": f"""WITH {_MARKS}, q AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY cycle DESC) AS r FROM y), s AS (SELECT user_id, cycle, event_id FROM k WHERE kind = 'start')
-        SELECT q.user_id, CAST(q.cycle AS BIGINT) AS cycle, s.event_id AS start_seq, closed, paused, seal1 IS NOT NULL AS seal1, attack IS NOT NULL AS attack, seal3 IS NOT NULL AS seal3 FROM q JOIN s ON s.user_id = q.user_id AND s.cycle = q.cycle WHERE r = 1""",
+        SELECT q.user_id, CAST(q.cycle AS BIGINT) AS cycle, s.event_id AS start_seq, closed, paused, seal1 IS NOT NULL AS seal1, attack IS NOT NULL AS attack, seal3 IS NOT NULL AS seal3,
+        NOT closed AND NOT paused AND epoch_ms(last) + 20 * 3600000 < (SELECT epoch_ms(max(ts)) - 3600000 FROM m) AS expired FROM q JOIN s ON s.user_id = q.user_id AND s.cycle = q.cycle WHERE r = 1""",
+    "stream_threads": """WITH t AS (SELECT concat_ws('/', o_orderstatus, o_orderpriority) AS u, o_custkey AS thread, CAST(max(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE))) AS BIGINT) AS used FROM orders GROUP BY ALL)
+        SELECT u AS "user", thread, used FROM t QUALIFY row_number() OVER (PARTITION BY u ORDER BY used DESC, thread) <= 40""",
 }

@@ -49,17 +49,19 @@ def files_left(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def index_refreshed(spark: SparkSession, sf: str) -> DataFrame:
-    """The index after two streams of documents: first as they are, then labelled ones again, of which toxic ones have another text."""
+    """The index after two streams of documents: first as they are, then labelled ones again, of which toxic ones have another text
+    and those of low quality are gone; the second stream's batch is repeated, which changes nothing."""
     path = fresh_path(spark, "index")
     stream = logs.table_stream(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), X.fingerprint16(F.col("text")).alias("hash"), "source")
-    W.refresh_index(stream, path, ["source"])
-    labels = T.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("id"), "toxic")
-    again = stream.join(labels, "id").select("id", F.when(F.col("toxic") == 1, F.reverse("hash")).otherwise(F.col("hash")).alias("hash"), F.lit("moved").alias("source"))
-    second = fresh_path(spark, "index")
-    W.last_version(spark, path, W.index_schema(again)).withColumn("vector_from", F.lit(-1).cast("long")).write.parquet(f"{second}/v-1")
-    spark.range(1).select(F.lit("-1").alias("value")).write.text(f"{second}/versions")
-    made = W.refresh_index(again, second, ["source"])
-    return made.select(F.col("id").cast("long").alias("doc_id"), "hash", "source", (F.col("vector_from") >= 0).alias("embedded"))
+    first = W.refresh_index(stream, path, ["source"])
+    labels = T.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("id"), "toxic", "quality")
+    again = first.join(labels, "id").select("id", F.when(F.col("toxic") == 1, F.reverse("hash")).otherwise(F.col("hash")).alias("hash"), F.lit("moved").alias("source"), (F.col("quality") == 0).alias("gone"))
+    schema = W.index_schema(again)
+    number = 1 + max(e.number for e in W.entries(spark, path))
+    for _ in range(2):
+        W.apply_changes(again, path, number, ["source"])
+    made = W.last_version(spark, path, schema)
+    return made.select(F.col("id").cast("long").alias("doc_id"), "hash", "source", (F.col("vector_from") == number).alias("embedded"))
 
 
 QUERIES = {f.__name__: f for f in (log_round_trip, units_round_trip, pages_replaced, files_left, index_refreshed)}
@@ -70,5 +72,6 @@ SQL = {
         SELECT source, count(*) AS units, CAST(sum(length(t)) AS BIGINT) AS chars, CAST(max(n) AS INTEGER) AS last FROM u GROUP BY source""",
     "pages_replaced": "SELECT conv_id, turn, md5(CASE WHEN role = 'user' THEN 'new ' || turn ELSE text END) AS hash FROM conversations UNION ALL SELECT conv_id, max(turn) + 1, md5('added') FROM conversations GROUP BY conv_id",
     "files_left": "SELECT doc_id || '.pdf' AS file FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-    "index_refreshed": """SELECT d.doc_id, CASE WHEN toxic = 1 THEN reverse(substr(sha1(text), 1, 16)) ELSE substr(sha1(text), 1, 16) END AS hash, CASE WHEN l.doc_id IS NULL THEN source ELSE 'moved' END AS source, coalesce(toxic = 1, false) AS embedded FROM documents d LEFT JOIN labels l USING (doc_id)""",
+    "index_refreshed": """SELECT d.doc_id, CASE WHEN toxic = 1 THEN reverse(substr(sha1(text), 1, 16)) ELSE substr(sha1(text), 1, 16) END AS hash, CASE WHEN l.doc_id IS NULL THEN source ELSE 'moved' END AS source, coalesce(toxic = 1, false) AS embedded
+        FROM documents d LEFT JOIN labels l USING (doc_id) WHERE coalesce(quality, 1) <> 0""",
 }

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
-from quirefold.operators.index import difference, kept_vectors
+from quirefold.operators.index import kept_vectors
 
 
 def append_log(rows: DataFrame, path: str) -> None:
@@ -31,45 +33,99 @@ def pages_replaced(stored: DataFrame, new: DataFrame) -> DataFrame:
     return stored.join(first, ["name", "page"], "full").select("name", "page", F.coalesce(clean, "text").alias("text"))
 
 
-def last_version(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The index table in its last version, which the versions' own table names; an empty one before the first."""
+#: Hash buckets of an index, and entries of its log after which it is written whole.
+BUCKETS, COMPACT = 64, 16
+VERSION = "number long, path string, base boolean"
+
+
+def index_schema(rows: DataFrame) -> StructType:
+    """Of index rows with ``vector_from``."""
+    return StructType([*(f for f in rows.schema.fields if f.name != "gone"), StructField("vector_from", LongType())])
+
+
+def entries(spark: SparkSession, path: str) -> list[Row]:
+    """The published entries (number, path, base) of an index's log: one for each batch, bases apart; none before the first.
+
+    What the driver holds is a row for each entry. A batch that was repeated has several, which say the same; one is taken.
+    """
     try:
-        n = spark.read.text(f"{path}/versions").agg(F.max(F.col("value").cast("long"))).first()[0]
+        rows = spark.read.schema(VERSION).json(f"{path}/versions").groupBy("number", "base").agg(F.min("path").alias("path"))
+        return rows.orderBy("number", F.desc("base")).collect()
     except Exception as error:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        n = None
-    return spark.createDataFrame([], schema) if n is None else spark.read.schema(schema).parquet(f"{path}/v{n}")
+        return []
 
 
-def index_schema(rows: DataFrame) -> StructType:
-    """Of index rows with ``vector_from``."""
-    return StructType([*rows.schema.fields, StructField("vector_from", LongType())])
+def publish(spark: SparkSession, path: str, number: int, table: str, base: bool) -> None:
+    spark.createDataFrame([(number, table, base)], VERSION).coalesce(1).write.mode("append").json(f"{path}/versions")
 
 
-def refresh_index(stream: DataFrame, path: str, meta: list[str]) -> DataFrame:
-    """The index (id, hash, meta columns, vector_from) after a stream of index rows: each batch makes a version.
+def last_version(spark: SparkSession, path: str, schema: StructType, below: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+    """An index (id, hash, meta columns, vector_from) as its log says: the last base, and what changed since.
 
-    Only rows of new or changed text get a new ``vector_from``, the batch that their vectors are of. A repeated batch
-    writes its version anew.
+    below: only batches of smaller numbers. buckets: only these hash buckets, whose folders alone are read.
     """
+    known = [e for e in entries(spark, path) if below is None or e.number < below]
+    base = max((e.number for e in known if e.base), default=None)
+    used = [e for e in known if (e.base and e.number == base) or (not e.base and (base is None or e.number > base))]
+    full = StructType([*schema.fields, StructField("gone", BooleanType()), StructField("bucket", IntegerType())])
+    if not used:
+        return spark.createDataFrame([], schema)
+    log = None
+    for e in used:
+        one = spark.read.schema(full).parquet(e.path).withColumn("_at", F.lit(e.number))
+        log = one if log is None else log.unionByName(one)
+    if buckets is not None:
+        log = log.where(F.col("bucket").isin(buckets))
+    last = log.groupBy("id").agg(F.max_by(F.struct(*[f.name for f in schema.fields if f.name != "id"], "gone"), "_at").alias("x"))
+    return last.select("id", "x.*").where("not gone").select(*schema.fieldNames())
+
+
+def write_entry(rows: DataFrame, path: str, number: int, base: bool) -> None:
+    """Rows of an index, gone ones among them, as an entry of its log: a new table, and then the line that publishes it."""
+    table = f"{path}/log/{number}-{'base' if base else 'changes'}-{uuid.uuid4().hex}"
+    rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int")).repartition("bucket").write.partitionBy("bucket").parquet(table)
+    publish(rows.sparkSession, path, number, table, base)
+
+
+def apply_changes(rows: DataFrame, path: str, number: int, meta: list[str]) -> None:
+    """A batch of index rows (id, hash, meta columns, and ``gone`` if any are to go), numbered, into the index's log.
+
+    Only rows that differ from what the index had before this number are written, with ``vector_from`` the number where
+    the text is new; rows that are gone leave a line that says so. Of rows of one id in a batch one is taken. A repeated
+    batch compares with the same state as before and writes the same rows to a table of its own, so readers never see a
+    half-written one and the result is the same. Every COMPACT entries the state is written whole.
+    """
+    spark = rows.sparkSession
+    schema = index_schema(rows)
+    names = [f.name for f in schema.fields if f.name != "vector_from"]
+    rows = rows.withColumn("gone", F.coalesce("gone", F.lit(False)) if "gone" in rows.columns else F.lit(False))
+    one = rows.groupBy("id").agg(F.max(F.struct(*[c for c in names if c != "id"], "gone")).alias("x")).select("id", "x.*")
+    buckets = [r[0] for r in one.select(F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int")).distinct().collect()]
+    old = last_version(spark, path, schema, number, buckets)
+    was = old.select("id", F.struct(*[c for c in schema.fieldNames() if c != "id"]).alias("was"))
+    both = one.join(was, "id", "left")
+    same = F.col("hash").eqNullSafe(F.col("was.hash")) & F.col("was").isNotNull()
+    moved = both.withColumn("vector_from", F.when(same, F.col("was.vector_from")).otherwise(F.lit(number)).cast("long"))
+    changed = F.col("was").isNull() | ~same
+    for c in meta:
+        changed = changed | ~F.col(c).eqNullSafe(F.col(f"was.{c}"))
+    made = moved.where(F.when(F.col("gone"), F.col("was").isNotNull()).otherwise(changed))
+    write_entry(made.select(*schema.fieldNames(), "gone"), path, number, False)
+    if sum(not e.base for e in entries(spark, path)) % COMPACT == 0:
+        write_entry(last_version(spark, path, schema, number + 1).withColumn("gone", F.lit(False)), path, number, True)
+
+
+def refresh_index(stream: DataFrame, path: str, meta: list[str]) -> DataFrame:
+    """The index after a stream of index rows, each batch by ``apply_changes``."""
     spark = stream.sparkSession
-    schema = index_schema(stream)
-
-    def batch(rows: DataFrame, number: int) -> None:
-        old = last_version(spark, path, schema).where(F.col("vector_from") < number)
-        status = difference(rows, old, meta)
-        moved = rows.join(status.select("id", "status"), "id").join(old.select("id", F.col("vector_from").alias("_v")), "id", "left")
-        made = moved.withColumn("vector_from", F.when(F.col("status").isin("same", "meta"), F.col("_v")).otherwise(F.lit(number)).cast("long")).select(*old.columns)
-        rest = old.join(rows.select("id"), "id", "left_anti")
-        rest.unionByName(made).write.mode("overwrite").parquet(f"{path}/v{number}")
-        spark.range(1).select(F.lit(str(number)).alias("value")).write.mode("append").text(f"{path}/versions")
-
-    query = stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(batch).start()
+    writer = stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    query = writer.foreachBatch(lambda rows, number: apply_changes(rows, path, number, meta)).start()
     query.awaitTermination()
     if query.exception():
         raise query.exception()
-    return last_version(spark, path, schema)
+    return last_version(spark, path, index_schema(stream))
 
 
 def write_vectors(vectors: DataFrame, status: DataFrame, new: DataFrame, path: str) -> None:

@@ -1,4 +1,4 @@
-"""Growing logs as streams: windowed cost, and cycles kept as state. Late rows beyond the watermark are dropped."""
+"""Growing logs as streams: windowed cost, cycles with timers, and remembered threads kept as state. Late rows beyond the watermark are dropped."""
 
 from __future__ import annotations
 
@@ -12,7 +12,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 WATERMARK = "1 hour"
 HOURS = 20
-CYCLE = "stream long, cycle long, start_seq long, n_marks long, closed boolean, paused boolean, seal1 boolean, attack boolean, seal3 boolean"
+KINDS = ("seal1", "attack", "seal3", "pause", "resume", "close")
+CYCLE = "stream long, cycle long, start_seq long, n_marks long, closed boolean, paused boolean, seal1 boolean, attack boolean, seal3 boolean, expired boolean"
 STATE = "cycle long, start_seq long, n_marks long, closed boolean, paused boolean, seal1 boolean, attack boolean, seal3 boolean, last double"
 
 
@@ -33,32 +34,80 @@ def windowed(df: DataFrame, ts: str, key: str, sums: dict[str, str], width: str
 
 
 def fold_cycles(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A stream's current cycle from its marks so far: one row for each batch that brings some."""
+    """A stream's current cycle from its marks so far: one row for each batch that brings some, and one when it expires.
+
+    An open cycle that isn't paused has a timer HOURS after its last mark; a pause or a close takes it away, a resume sets
+    it again. A cycle whose time is over already when its marks come has expired at once.
+    """
     now = list(state.get) if state.exists else [0, None, 0, False, False, False, False, False, None]
-    rows = pd.concat(list(parts)).sort_values("seq")
-    for seq, kind in zip(rows["seq"], rows["kind"]):
-        if kind == "start":
-            now = [now[0] + 1, int(seq), 1, False, False, False, False, False, None]
-            continue
-        if not now[0]:
-            continue
-        if kind == "close":
-            now[3] = True
-        elif kind in ("pause", "resume"):
-            now[4] = kind == "pause"
-        elif kind in ("seal1", "attack", "seal3"):
-            now[{"seal1": 5, "attack": 6, "seal3": 7}[kind]] = True
-        else:
-            continue
-        now[2] += 1
+    expired = state.hasTimedOut
+    if not expired:
+        rows = pd.concat(list(parts)).sort_values("seq")  # one stream's marks of a batch, whose files are limited
+        for seq, kind, at in zip(rows["seq"], rows["kind"], rows["ts"]):
+            if kind == "start":
+                now = [now[0] + 1, int(seq), 0, False, False, False, False, False, None]
+            elif not now[0] or kind not in KINDS:
+                continue
+            if kind == "close":
+                now[3] = True
+            elif kind in ("pause", "resume"):
+                now[4] = kind == "pause"
+            elif kind != "start":
+                now[{"seal1": 5, "attack": 6, "seal3": 7}[kind]] = True
+            now[2] += 1
+            now[8] = at.timestamp()
+        if now[0] and not now[3] and not now[4]:
+            end = int(now[8] * 1000) + HOURS * 3_600_000
+            expired = end < state.getCurrentWatermarkMs()
+            if not expired:
+                state.update(tuple(now))
+                state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
     state.update(tuple(now))
     if now[0]:
-        yield pd.DataFrame([[key[0], *now[:8]]], columns=[c.split()[0] for c in CYCLE.split(", ")])
+        yield pd.DataFrame([[key[0], *now[:8], expired]], columns=[c.split()[0] for c in CYCLE.split(", ")])
 
 
 def cycles(marks: DataFrame) -> DataFrame:
-    """The state of each stream's current cycle, from a stream of marks (stream, seq, kind) that arrive in order of seq."""
-    return marks.groupBy("stream").applyInPandasWithState(fold_cycles, CYCLE, STATE, "update", GroupStateTimeout.NoTimeout)
+    """The state of each stream's current cycle, from a stream of marks (stream, seq, ts, kind) that arrive in order of seq.
+
+    A cycle expires when the watermark is more than HOURS past its last mark. Marks older than the watermark are dropped;
+    the query's progress counts them.
+    """
+    return marks.withWatermark("ts", WATERMARK).groupBy("stream").applyInPandasWithState(fold_cycles, CYCLE, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+THREADS = 40
+THREAD = "user string, thread long, used long"
+
+
+def fold_threads(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """A user's remembered threads: of all seen so far the THREADS used last, of equally late ones those of least number.
+
+    State is the map of these as two arrays; a thread that was forgotten and comes again is remembered anew. All of them
+    are a batch's rows; a batch whose times are all older forgets nothing.
+    """
+    ids, used = state.get if state.exists else ([], [])
+    kept = dict(zip(ids, used))
+    for part in parts:
+        for thread, at in zip(part["thread"], part["at"]):
+            kept[int(thread)] = max(int(at), kept.get(int(thread), int(at)))
+        kept = dict(sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:THREADS])
+    state.update((list(kept), list(kept.values())))
+    yield pd.DataFrame([(key[0], t, at) for t, at in kept.items()], columns=["user", "thread", "used"])
+
+
+def threads(turns: DataFrame) -> DataFrame:
+    """The threads that each user's store holds after each batch of a stream of turns (user, thread, at), at a whole number."""
+    return turns.groupBy("user").applyInPandasWithState(fold_threads, THREAD, "ids array<long>, used array<long>", "update", GroupStateTimeout.NoTimeout)
+
+
+def in_files(df: DataFrame, order: str, parts: int, path: str) -> str:
+    """df written as ``parts`` tables of files, one after the other by ranges of a column, so that a stream gets as many batches."""
+    bounds = sorted(set(df.stat.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01)))
+    for low, high in zip([None, *bounds], [*bounds, None]):
+        part = df.where((F.lit(True) if low is None else F.col(order) > low) & (F.lit(True) if high is None else F.col(order) <= high))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return path
 
 
 def drained(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
