@@ -164,6 +164,7 @@ def grown(classes: DataFrame, trees: int, leaf: int, spill: float, sample: int,
 def cells(placed: DataFrame) -> DataFrame:
     """A row for each class of ``grown`` and cell (tree, node, x, y) that it is in, own its block: leaves of more than CELL classes have several blocks.
 
+    earlier: the class's leaves before this one, tree after tree, as numbers.
     Leaves whose classes all share a leaf of an earlier tree have none, and neither have those of one class.
     """
     each = placed.select("cls", "unit", "n", "leaves", F.posexplode("leaves").alias("tree", "nodes")).select("cls", "unit", "n", "leaves", "tree", F.explode("nodes").alias("node"))
@@ -178,7 +179,10 @@ def cells(placed: DataFrame) -> DataFrame:
     sizes = sizes.where((F.col("size") > 1) & ~again).select("tree", "node", F.ceil(F.col("size") / CELL).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("cls", F.lit(5)), F.col("blocks")).cast("int")
     all_ = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least("own", i).alias("x"), F.greatest("own", i).alias("y")))
-    return each.join(sizes, ["tree", "node"]).withColumn("own", own).select("tree", "node", "cls", "unit", "n", "leaves", "own", F.inline(all_))
+    number = lambda t, v: t.cast("long") * F.lit(1 << 48) + v
+    codes = F.flatten(F.transform("leaves", lambda nodes, t: F.transform(nodes, lambda v: number(t, v))))
+    earlier = F.filter(codes, lambda c: c < number(F.col("tree"), F.col("node")))
+    return each.join(sizes, ["tree", "node"]).withColumn("own", own).select("tree", "node", "cls", "unit", "n", earlier.alias("earlier"), "own", F.inline(all_))
 
 
 def merged_labels(labels: np.ndarray, i: int, to: np.ndarray) -> list[int]:
@@ -193,17 +197,28 @@ def merged_labels(labels: np.ndarray, i: int, to: np.ndarray) -> list[int]:
         labels[labels == max(a, b)] = min(a, b)
 
 
-def compared(trees: int, cosine: float):
+class Sets(dict):
+    """The rows of a column of arrays as sets, made when they are needed."""
+
+    def __init__(self, column: pd.Series):
+        self.column = column.to_numpy()
+
+    def __missing__(self, i: int) -> set:
+        self[i] = out = set(self.column[i].tolist())
+        return out
+
+
+def compared(cosine: float):
     """Compares the classes of a cell: rows (cls, links, other), links where other is null, else an edge of a spanning forest."""
 
     def run(key, part: pd.DataFrame) -> pd.DataFrame:
-        tree, node, x, y = (int(k) for k in key)
+        x, y = int(key[2]), int(key[3])
         part = part.sort_values("cls").reset_index(drop=True)
         unit, weight, names, block = matrix(part["unit"]), part["n"].to_numpy(np.int64), part["cls"].to_numpy(np.int64), part["own"].to_numpy()
-        earlier = [{(t, int(v)) for t, nodes in enumerate(row) for v in nodes if (t, int(v)) < (tree, node)} for row in part["leaves"]]
+        earlier = Sets(part["earlier"])
         left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
         links, labels, edges = np.zeros(len(part), np.int64), np.arange(len(part)), []
-        if len(left) and len(right) and not set.intersection(*earlier):
+        if len(left) and len(right):
             for a in range(0, len(left), BLOCK):
                 i = left[a : a + BLOCK]
                 for b in range(0, len(right), BLOCK):
@@ -211,6 +226,8 @@ def compared(trees: int, cosine: float):
                     near = unit[i] @ unit[j].T >= cosine
                     if x == y:
                         near &= i[:, None] < j[None, :]
+                    if not near.any():
+                        continue
                     if near.sum() <= FEW_PAIRS * len(i):
                         for r, c in zip(*np.nonzero(near)):
                             near[r, c] = earlier[i[r]].isdisjoint(earlier[j[c]])
@@ -226,7 +243,7 @@ def compared(trees: int, cosine: float):
     return run
 
 
-def shared(earlier: list[set], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def shared(earlier: Sets, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Which pairs of i and j have an earlier leaf in common."""
     out = np.zeros((len(i), len(j)), bool)
     mine, theirs = ({v for r in side for v in earlier[r]} for side in (i, j))
@@ -341,7 +358,7 @@ def of_length(rows: DataFrame, size: int, cosine: float, trees: int, leaf: int,
     classes = rows.where("h is not null").groupBy("h", "h2").agg(F.min("vec_id").alias("least"), F.first("unit").alias("unit"), F.count("*").alias("n"))
     classes = stored(classes.withColumn("cls", F.xxhash64("h2", "h")), "classes")
     placed = grown(classes.select("cls", "unit", "n"), trees, leaf, spill, sample, cosine)
-    found = stored(cells(placed).groupBy("tree", "node", "x", "y").applyInPandas(compared(trees, cosine), "cls long, links long, other long"), "links")
+    found = stored(cells(placed).groupBy("tree", "node", "x", "y").applyInPandas(compared(cosine), "cls long, links long, other long"), "links")
     links = found.where("other is null").groupBy("cls").agg(F.sum("links").alias("links"))
     ids = classes.select("cls", "least")
     edges = found.where("other is not null").join(ids.withColumnRenamed("least", "a"), "cls").join(ids.select(F.col("cls").alias("other"), F.col("least").alias("b")), "other").where("a is not null and b is not null")
