@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from quirefold.functions import text as X
 from quirefold.operators import index as I
 from quirefold.operators import locate as L
+from quirefold.operators import postings as P
 from quirefold.operators import search as S
-from quirefold.plans.common import QUERY, docs
+from quirefold.plans.common import QUERY, docs, search_index
 from quirefold.sources.tables import html_head, table
 
 TERMS = QUERY.split()
@@ -17,8 +18,9 @@ LANG_BOOST = {"de": 1.5, "fr": 1.3, "es": 1.2}
 
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    scored = S.bm25(S.index_terms(docs(spark, sf), "doc_id"), TERMS)
-    return S.top(scored.where("bm25 > 0"), "bm25", 8).select(F.col("id").alias("doc_id"), F.round("bm25", 4).alias("score"), F.col("rank").cast("int").alias("rank"))
+    """The best documents by the stored index."""
+    question = spark.range(1).select(F.lit(0).alias("qid"), F.lit(QUERY).alias("query"))
+    return P.best(search_index(spark, sf), question).select(F.col("id").alias("doc_id"), F.round("bm25", 4).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
 def bm25_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -187,7 +189,7 @@ def used_fragments(spark: SparkSession, sf: str) -> DataFrame:
 
 def control_run(spark: SparkSession, sf: str) -> DataFrame:
     """The best documents for each of the benchmark's items, all at once."""
-    found = S.search_many(S.index_terms(docs(spark, sf), "doc_id"), table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query")))
+    found = P.best(search_index(spark, sf), table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query")))
     return found.select(F.col("qid").alias("item_id"), F.col("id").alias("doc_id"), F.round("bm25", 3).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
