@@ -43,6 +43,16 @@ BACKOFF = math.log(0.4)
 CACHE = 400_000
 UND = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
+#: What that pattern takes for letters, but ``str.isalpha`` doesn't: halves, squares and the like.
+NUMBERS = frozenset(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+
+
+def words_of(text: str) -> list[str]:
+    """A text's runs of letters, in lower case."""
+    text = text.lower()
+    for c in () if text.isascii() else NUMBERS.intersection(text):
+        text = text.replace(c, "_")
+    return LETTERS.findall(text)
 
 
 class Model:
@@ -148,7 +158,7 @@ def counted(df: DataFrame, text: str, lang: str) -> DataFrame:
 
         for b in batches:
             for t, name in zip(b[text], b[lang]):
-                seen.setdefault(name, Counter()).update(LETTERS.findall(t.lower()))
+                seen.setdefault(name, Counter()).update(words_of(t))
             if sum(map(len, seen.values())) > CACHE // 4:
                 yield flush()
         yield flush()
@@ -206,7 +216,7 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for b in batches:
             langs, scores, known = [], [], []
             for t in b[text]:
-                words = LETTERS.findall(t.lower()) if t and names else []
+                words = words_of(t) if t and names else []
                 if not words:
                     langs.append(UND), scores.append(0.0), known.append(0.0)
                     continue

@@ -87,3 +87,10 @@ def test_held_out_accuracy(spark, sf):
     known = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("lang").alias("truth"))
     rows = langid.op2_langid(spark, sf).join(known, "doc_id").where("held_out").collect()
     assert rows and sum(r.lang_pred == r.truth for r in rows) >= 0.95 * len(rows)
+
+
+def test_texts_of_numbers_that_are_no_letters(spark):
+    rows = [(1, "½ ² Ⅷ ①", None), (2, "the old river", "en"), (3, "der alte Fluß", "de"), (4, "the", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.predict(df, langid.fit(df.where("lang is not null").select("text", "lang"))).collect()}
+    assert got[1] == "und" and got[4] != "und"
