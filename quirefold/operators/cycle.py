@@ -144,3 +144,34 @@ def dashboard(counts: dict[str, Column], rows: DataFrame, keys: list[str]) -> Da
     """(keys, name, value): several small aggregates of rows as one list."""
     made = rows.groupBy(*keys).agg(*[c.cast("double").alias(n) for n, c in counts.items()])
     return made.select(*keys, F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in counts])))
+
+
+# The fields of an answer that closes a cycle.
+CLOSE = "struct<diff_estructural: string, coincidencia_propuesta: int, errores: array<struct<cod: string, contexto: string, creia: string, es: string, posicion: string>>, tarjetas: array<struct<pregunta: string, respuesta: string>>, lagunas: array<struct<tema: string, texto: string>>, conjeturas: array<string>>"
+
+
+def closings(spans: DataFrame, answers: DataFrame, breaks: DataFrame, calls: DataFrame, now: Column, known: DataFrame) -> dict[str, DataFrame]:
+    """All that the close of a cycle writes, as tables by name: metrics, errors, cards, gaps, conjectures, and refused.
+
+    spans: cycles as ``cycles`` gives them; only those of phase f4 can be closed, the others are refused. answers:
+    (stream, cycle, day, answer, own), JSON with the fields of CLOSE, and the own valuation, null to take the proposed one;
+    an answer that can't be read is refused. calls: (stream, day), of the questions asked. known: (stream, known), conjectures so far, on from
+    which new ones are numbered.
+    """
+    read = answers.withColumn("a", F.from_json("answer", CLOSE))
+    both = read.join(spans.select("stream", "cycle", "phase"), ["stream", "cycle"])
+    # what isn't JSON is read as an answer without any field
+    good = F.col("a").isNotNull() & F.coalesce(F.get_json_object("answer", "$").isNotNull(), F.lit(False))
+    ready = both.where(good & (F.col("phase") == "f4"))
+    refused = both.where(~(good & (F.col("phase") == "f4"))).select("stream", "cycle", F.when(F.col("phase") != "f4", F.col("phase")).otherwise("unread").alias("why"))
+    each = lambda field, *columns: ready.select("stream", "cycle", "day", F.posexplode(f"a.{field}").alias("n", "x")).select("stream", "cycle", "day", F.col("n").cast("int").alias("n"), *columns)
+    closed = spans.join(ready.select("stream", "cycle"), ["stream", "cycle"], "left_semi")
+    times = net_minutes(closed, breaks, now, "start", "seal1").select("stream", "cycle", F.col("minutes").alias("min_f1"))
+    times = times.join(net_minutes(closed, breaks, now, "attack", "seal3").select("stream", "cycle", F.col("minutes").alias("min_f3")), ["stream", "cycle"])
+    asked = calls.groupBy("stream", "day").agg(F.count("*").alias("calls_f2"))
+    match = F.coalesce(F.when(F.col("own").between(0, 3), F.col("own")), F.col("a.coincidencia_propuesta"), F.lit(0))
+    size = lambda field: F.greatest(F.size(f"a.{field}"), F.lit(0)).cast("long")
+    metrics = ready.select("stream", "cycle", "day", match.cast("long").alias("match"), size("errores").alias("errors"), size("conjeturas").alias("conjectures")).join(times, ["stream", "cycle"]).join(asked, ["stream", "day"], "left").withColumn("calls_f2", F.coalesce("calls_f2", F.lit(0)))
+    w = Window.partitionBy("stream").orderBy("cycle", "n")
+    conjectures = each("conjeturas", F.trim("x").alias("text")).join(known, "stream", "left").withColumn("number", (F.coalesce("known", F.lit(0)) + F.row_number().over(w)).cast("long")).drop("known")
+    return {"metrics": metrics, "errors": each("errores", "x.*"), "cards": each("tarjetas", "x.*"), "gaps": each("lagunas", "x.*"), "conjectures": conjectures, "refused": refused}

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold.functions.text import tokens
+from quirefold.sources.shared import stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 LIST, RRF, VECTOR_WEIGHT = 50, 60, 1.5
@@ -227,6 +228,55 @@ def asked(fragments: DataFrame, terms: list[str], named: list, k: int = 8, vecto
     return with_references(merged(*lists, pos="place"), fragments, 4)
 
 
+def wanted(answer: Column) -> Column:
+    """The words that an answer asks to search for again, or null."""
+    # Fixed value: the line that asks.
+    return F.nullif(F.trim(F.regexp_extract(answer, r"(?m)^BUSCAR:[ \t]*(\S.*)$", 1)), F.lit(""))
+
+
+def second_pass(fragments: DataFrame, places: DataFrame, terms: list[str], named: list, k: int = 10, vectors: DataFrame | None = None) -> DataFrame:
+    """The fragments of a first pass (id, place), behind them new ones for the words of the second, and what these refer to: id, list, place.
+
+    The second search is within each of the named documents, without named ones over all, and without a cap.
+    """
+    lists = [search(fragments, terms, k=k, doc=d, vectors=vectors, per_doc=0) for d in named or [None]]
+    new = stored(merged(*lists, pos="place").join(places.select("id"), "id", "left_anti").select("id", "place"), "new")
+    more = followed(with_texts(new, fragments), fragments, 4)
+    return merged(places, new, more, pos="place")
+
+
+def headings(places: DataFrame, fragments: DataFrame, bibliography: DataFrame) -> DataFrame:
+    """(doc, line): a line for each document of the places: bibliography has doc, status, title, authors, venue, year."""
+    # The lines' form.
+    docs = places.join(fragments.select("id", "doc"), "id").select("doc").distinct().join(bibliography, "doc", "left")
+    parts = F.filter(F.array("title", F.array_join(F.slice("authors", 1, 3), "; "), "venue", F.col("year").cast("string")), lambda x: F.coalesce(x, F.lit("")) != "")
+    line = F.when(F.col("status") == "verificado", F.array_join(parts, " | ")).when(F.col("status").isNotNull(), F.concat(F.lit("metadatos "), "status")).otherwise("nota propia")
+    return docs.select("doc", F.concat(F.lit("  "), "doc", F.lit(": "), line).alias("line"))
+
+
+def context(places: DataFrame, fragments: DataFrame, budget: int | None = None) -> DataFrame:
+    """(id, place, block, size, total): the places' fragments with citation and mark before their text, and words so far, as many as the budget of words holds.
+
+    places: id, place and ``via``: reference, second, pasted, or null. Fragments have what ``citation`` asks for.
+    """
+    # The marks.
+    mark = F.when(F.col("via") == "reference", " (traido por referencia)").when(F.col("via") == "second", " (segunda busqueda)").when(F.col("via") == "pasted", " (contiene lo que pegaste)").otherwise("")
+    cited = citation(*[F.col(c) for c in ("doc", "page", "kind", "number", "label", "layer", "version")])
+    block = F.concat(cited, mark, F.lit("\n"), "text")
+    rows = places.join(fragments, "id").select("id", "place", block.alias("block")).withColumn("size", F.size(F.split(F.trim("block"), r"\s+"))).withColumn("_all", F.lit(0))
+    return within_budget(rows, ["_all"], "place", "size", 2**31 - 1 if budget is None else budget).drop("_all", "_n")
+
+
+def prompt(question: str, blocks: DataFrame, lines: DataFrame, again: str | None = None) -> DataFrame:
+    """One row (prompt, size) of a question, its documents' lines and its blocks, of which there are as many as a search returns."""
+    # The headings.
+    second = "" if again is None else f"SEGUNDA BUSQUEDA HECHA: {again}\nSi lo pedido sigue sin aparecer, ahora si puedes escribir: 'No esta en el corpus (segunda busqueda en <documentos> con: <palabras>)'.\n\n"
+    joined = blocks.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "block"))), lambda x: x["block"]), "\n\n").alias("b"), F.sum("size").alias("size"))
+    heads = lines.agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("h"))
+    text = F.concat(F.lit(f"PREGUNTA: {question}\n\nDOCUMENTOS:\n"), "h", F.lit("\n\n" + second + "FRAGMENTOS:\n\n"), "b")
+    return joined.crossJoin(F.broadcast(heads)).select(text.alias("prompt"), "size")
+
+
 def for_result(fragments: DataFrame, doc, title: str, terms: list[str], k: int, vectors: DataFrame | None = None) -> DataFrame:
     """The fragments for one result of a document: those of its printed number first, then similar ones, then up to 3 references."""
     exact = by_number(fragments, doc, title).select("id", F.col("ord").alias("pos"))

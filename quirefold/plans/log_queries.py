@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quirefold.operators import cycle as C
 from quirefold.operators import registry as R
 from quirefold.plans.common import docs
+from quirefold.sources import sinks as W
 from quirefold.sources.shared import fresh_path
 from quirefold.sources.tables import table
 from quirefold.streaming import logs
@@ -163,6 +164,50 @@ def stream_cost_window(spark: SparkSession, sf: str) -> DataFrame:
     return made.join(F.broadcast(last), F.col("batch") == F.col("b")).select(F.to_date("start").alias("day"), "event_type", "calls", "tokens")
 
 
+def _answers(spark: SparkSession, sf: str) -> DataFrame:
+    """An answer for each cycle, made of its user's events: errors, views as cards, clicks as gaps, purchases as conjectures; one in eleven can't be read."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("stream"), "event_id", "event_type")
+    of = lambda kind, x: F.array_sort(F.collect_list(F.when(F.col("event_type") == kind, F.struct(F.col("event_id").alias("i"), x.alias("x")))))
+    text = F.concat(F.lit("e"), F.col("event_id"))
+    parts = e.groupBy("stream").agg(of("error", F.struct(F.lit("E1").alias("cod"), text.alias("contexto"))).alias("errores"), of("view", F.struct(text.alias("pregunta"), F.lit("r").alias("respuesta"))).alias("tarjetas"), of("click", F.struct(F.lit("t").alias("tema"), text.alias("texto"))).alias("lagunas"), of("purchase", F.concat(F.lit(" c"), F.col("event_id"), F.lit(" "))).alias("conjeturas"), F.count("*").alias("n"))
+    answer = F.to_json(F.struct(F.lit("d").alias("diff_estructural"), (F.col("n") % 4).alias("coincidencia_propuesta"), *[F.col(f"{c}.x").alias(c) for c in ("errores", "tarjetas", "lagunas", "conjeturas")]))
+    cycles = _cycles(spark, sf).select("stream", "cycle", F.to_date("start").alias("day"))
+    return cycles.join(parts.select("stream", answer.alias("answer"), "n"), "stream").select("stream", "cycle", "day", F.when(F.col("cycle") % 11 == 7, "no answer").otherwise(F.col("answer")).alias("answer"), F.when(F.col("cycle") % 3 == 0, 5).when(F.col("cycle") % 3 == 1, 2).alias("own"))
+
+
+def _closed(spark: SparkSession, sf: str) -> tuple[str, dict[str, DataFrame]]:
+    """Closings of all cycles, committed in two batches, of which the second is repeated."""
+    now = F.lit(NOW).cast("timestamp")
+    marks = _marks(table(spark, sf, "events"))
+    spans, breaks = C.cycles(marks, now), C.pauses(C.numbered(marks))
+    calls = table(spark, sf, "events").where("event_type = 'click'").select(F.col("user_id").alias("stream"), F.to_date("ts").alias("day"))
+    known = calls.select("stream").distinct().select("stream", (F.col("stream") % 5).alias("known"))
+    path, answers = fresh_path(spark, "closed"), _answers(spark, sf)
+    for batch, part in (("even", 0), ("odd", 1), ("odd", 1)):
+        made = C.closings(spans, answers.where(F.pmod("stream", F.lit(2)) == part), breaks, calls, now, known)
+        W.commit_batch(made, path, batch)
+    return path, made
+
+
+def closed_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics of the closed cycles in one report, after a repeated batch."""
+    path, made = _closed(spark, sf)
+    m = W.committed(spark, path, "metrics", made["metrics"].schema)
+    return m.select(F.col("stream").alias("user_id"), F.col("cycle").cast("long").alias("cycle"), "match", "errors", "conjectures", "min_f1", "min_f3", "calls_f2")
+
+
+def closed_registers(spark: SparkSession, sf: str) -> DataFrame:
+    """What closing wrote into the registers, by user, and how many closings were refused."""
+    path, made = _closed(spark, sf)
+    out = None
+    for name in ("errors", "cards", "gaps", "conjectures", "refused"):
+        t = W.committed(spark, path, name, made[name].schema)
+        last = F.max("number") if name == "conjectures" else F.lit(None).cast("long")
+        one = t.groupBy("stream").agg(F.count("*").alias("rows"), last.alias("last")).select(F.col("stream").alias("user_id"), F.lit(name).alias("register"), "rows", "last")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _parts(spark: SparkSession, df: DataFrame, order: str, parts: int) -> DataFrame:
     """A table as a stream of several batches, in order."""
     path = logs.in_files(df, order, parts, fresh_path(spark, "files"))
@@ -185,7 +230,7 @@ def stream_threads(spark: SparkSession, sf: str) -> DataFrame:
     return made.join(last, "user").where("batch = b").select("user", "thread", "used")
 
 
-QUERIES = {f.__name__: f for f in (cycle_phase, cycle_expiry, net_minutes, engine_gate, call_cost, month_cost, cost_rollup, last4_vs_prev4, topic_recurrence, spaced_repetition, progress_first_unread, card_export_split, status_counts, stream_cost_window, stream_cycle, stream_threads, guarded_marks, paused_cycles, cycle_sessions, cycle_metrics, dashboard, transcription_cost)}
+QUERIES = {f.__name__: f for f in (cycle_phase, cycle_expiry, net_minutes, engine_gate, call_cost, month_cost, cost_rollup, last4_vs_prev4, topic_recurrence, spaced_repetition, progress_first_unread, card_export_split, status_counts, stream_cost_window, closed_metrics, closed_registers, stream_cycle, stream_threads, guarded_marks, paused_cycles, cycle_sessions, cycle_metrics, dashboard, transcription_cost)}
 
 _MARKS = """m AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'signup' THEN 'start' WHEN 'view' THEN CASE WHEN value < 35 THEN 'seal1' ELSE 'seal3' END WHEN 'click' THEN 'attack'
       WHEN 'error' THEN CASE WHEN value < 35 THEN 'pause' ELSE 'resume' END WHEN 'purchase' THEN 'close' END AS kind FROM events),
@@ -195,6 +240,11 @@ _MARKS = """m AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'signup' TH
       arg_min(ts, event_id) FILTER (kind = 'seal3') AS seal3, bool_or(kind = 'close') AS closed, arg_max(ts, event_id) AS last, coalesce(arg_max(kind, event_id) FILTER (kind IN ('pause', 'resume')) = 'pause', false) AS paused FROM k GROUP BY ALL),
     x AS (SELECT *, epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(last) AS idle, NOT closed AND NOT paused AND epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(last) > 20 * 3600 * 1000000::BIGINT AS expired FROM c),
     y AS (SELECT *, CASE WHEN closed OR expired THEN 'libre' WHEN seal1 IS NULL THEN 'f1' WHEN attack IS NOT NULL AND seal3 IS NULL THEN 'f3' WHEN seal3 IS NOT NULL THEN 'f4' ELSE 'f2' END AS phase FROM x)"""
+_CLOSED = f"""{_MARKS}, ready AS (SELECT * FROM y WHERE phase = 'f4' AND cycle % 11 <> 7),
+    a AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'view') AS cards, count(*) FILTER (event_type = 'click') AS gaps, count(*) FILTER (event_type = 'purchase') AS conjectures FROM events GROUP BY ALL),
+    t AS (SELECT *, lag(kind) OVER (PARTITION BY user_id, cycle ORDER BY event_id) AS was FROM k WHERE kind IN ('pause', 'resume')),
+    u AS (SELECT * FROM t WHERE kind = 'pause' AND coalesce(was, 'resume') = 'resume' OR kind = 'resume' AND was = 'pause'),
+    bk AS (SELECT * FROM (SELECT user_id, cycle, ts AS p, kind, lead(ts) OVER (PARTITION BY user_id, cycle ORDER BY event_id) AS r FROM u) WHERE kind = 'pause')"""
 _COST = """p(model, p_in, p_cache, p_out) AS (VALUES ('m0', 2.5::DOUBLE, 1.25::DOUBLE, 10.0::DOUBLE), ('m1', 0.15, NULL, 0.6), ('m2', 1.1, 0.55, 4.4)),
     l AS (SELECT event_id, strftime(ts, '%Y-%m') AS month, event_type AS command, 'm' || (user_id % 4) AS model, CAST(floor(value * 1000) AS BIGINT) AS tokens_in, CAST(floor(value * 100) AS BIGINT) AS tokens_out,
       CAST(json_extract_string(props, '$.k') AS BIGINT) * 500 AS tokens_cache FROM events),
@@ -257,6 +307,16 @@ SQL = {
     "stream_cycle": f"""WITH {_MARKS}, q AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY cycle DESC) AS r FROM y), s AS (SELECT user_id, cycle, event_id FROM k WHERE kind = 'start')
         SELECT q.user_id, CAST(q.cycle AS BIGINT) AS cycle, s.event_id AS start_seq, closed, paused, seal1 IS NOT NULL AS seal1, attack IS NOT NULL AS attack, seal3 IS NOT NULL AS seal3,
         NOT closed AND NOT paused AND epoch_ms(last) + 20 * 3600000 < (SELECT epoch_ms(max(ts)) - 3600000 FROM m) AS expired FROM q JOIN s ON s.user_id = q.user_id AND s.cycle = q.cycle WHERE r = 1""",
+    "closed_metrics": f"""WITH {_CLOSED}, ca AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS calls FROM events WHERE event_type = 'click' GROUP BY ALL)
+        SELECT q.user_id, CAST(q.cycle AS BIGINT) AS cycle, CASE WHEN q.cycle % 3 = 1 THEN 2 ELSE a.n % 4 END AS match, a.errors, a.conjectures,
+          CASE WHEN q.seal1 IS NOT NULL THEN round((epoch_us(q.seal1) - epoch_us(q.start) - coalesce((SELECT sum(greatest(0, epoch_us(least(coalesce(b.r, TIMESTAMP '2024-01-31 00:00:00'), q.seal1)) - epoch_us(greatest(b.p, q.start)))) FROM bk b WHERE b.user_id = q.user_id AND b.cycle = q.cycle), 0)) / 1e6 / 60, 1) END AS min_f1,
+          CASE WHEN q.seal3 IS NOT NULL AND q.attack IS NOT NULL THEN round((epoch_us(q.seal3) - epoch_us(q.attack) - coalesce((SELECT sum(greatest(0, epoch_us(least(coalesce(b.r, TIMESTAMP '2024-01-31 00:00:00'), q.seal3)) - epoch_us(greatest(b.p, q.attack)))) FROM bk b WHERE b.user_id = q.user_id AND b.cycle = q.cycle), 0)) / 1e6 / 60, 1) END AS min_f3,
+          coalesce(ca.calls, 0) AS calls_f2
+        FROM ready q JOIN a ON a.user_id = q.user_id LEFT JOIN ca ON ca.user_id = q.user_id AND ca.day = CAST(q.start AS DATE)""",
+    "closed_registers": f"""WITH {_CLOSED}, z AS (SELECT user_id, count(*) AS c FROM ready GROUP BY ALL)
+        SELECT user_id, 'errors' AS register, c * errors AS rows, CAST(NULL AS BIGINT) AS last FROM z JOIN a USING (user_id) WHERE errors > 0 UNION ALL SELECT user_id, 'cards', c * cards, NULL FROM z JOIN a USING (user_id) WHERE cards > 0
+        UNION ALL SELECT user_id, 'gaps', c * gaps, NULL FROM z JOIN a USING (user_id) WHERE gaps > 0 UNION ALL SELECT user_id, 'conjectures', c * conjectures, CASE WHEN gaps > 0 THEN user_id % 5 ELSE 0 END + c * conjectures FROM z JOIN a USING (user_id) WHERE conjectures > 0
+        UNION ALL SELECT user_id, 'refused', count(*), NULL FROM y WHERE phase <> 'f4' OR cycle % 11 = 7 GROUP BY ALL""",
     "stream_threads": """WITH t AS (SELECT concat_ws('/', o_orderstatus, o_orderpriority) AS u, o_custkey AS thread, CAST(max(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE))) AS BIGINT) AS used FROM orders GROUP BY ALL)
         SELECT u AS "user", thread, used FROM t QUALIFY row_number() OVER (PARTITION BY u ORDER BY used DESC, thread) <= 40""",
 }

@@ -11,6 +11,7 @@ from quirefold.operators import locate as L
 from quirefold.operators import postings as P
 from quirefold.operators import search as S
 from quirefold.plans.common import QUERY, docs, search_index
+from quirefold.sources.shared import stored
 from quirefold.sources.tables import html_head, table
 
 TERMS = QUERY.split()
@@ -151,6 +152,42 @@ def asked(spark: SparkSession, sf: str) -> DataFrame:
     return S.asked(frags, TERMS, named).select(F.col("id").alias("doc_id"), F.col("list").cast("int").alias("list"), F.col("place").cast("int").alias("place"))
 
 
+SECOND = ["ingti", "stea", "reinan", "re"]
+
+
+def _second(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    frags = _library(spark, sf)
+    named = [r.doc for r in frags.select("doc").distinct().orderBy("doc").limit(2).collect()]
+    first = stored(S.asked(frags, TERMS, named).select("id", "place"), "first")
+    return frags, stored(S.second_pass(frags, first, SECOND, named), "second")
+
+
+def asked_again(spark: SparkSession, sf: str) -> DataFrame:
+    """The fragments for the question that names two documents, after its second pass."""
+    return _second(spark, sf)[1].select(F.col("id").alias("doc_id"), F.col("list").cast("int").alias("list"), F.col("place").cast("int").alias("place"))
+
+
+def ask_context(spark: SparkSession, sf: str) -> DataFrame:
+    """The blocks that go with that question, 9,000 words at most: what they say, their sizes and their sums."""
+    frags, places = _second(spark, sf)
+    full = frags.withColumns({"layer": F.lit(None).cast("string"), "version": F.lit(None).cast("string")})
+    via = F.when(F.col("list") == 1, "second").when(F.col("list") == 2, "reference")
+    blocks = S.context(places.withColumn("via", via), full, 9000)
+    return blocks.select(F.col("id").alias("doc_id"), F.col("place").cast("int").alias("place"), F.md5("block").alias("hash"), F.col("size").cast("long").alias("size"), F.col("total").cast("long").alias("total"))
+
+
+def ask_prompt(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole of what is asked, with a line for each document."""
+    frags, places = _second(spark, sf)
+    full = frags.withColumns({"layer": F.lit(None).cast("string"), "version": F.lit(None).cast("string")})
+    d = F.col("doc")
+    known = frags.select("doc").distinct().where(F.length(d) % 3 != 1)
+    bib = known.select("doc", F.when(F.length(d) % 3 == 0, "verificado").otherwise("pendiente").alias("status"), F.upper(d).alias("title"), F.array(F.lit("A"), F.lit("B"), F.lit("C"), F.lit("D")).alias("authors"), F.lit(None).cast("string").alias("venue"), F.lit(2001).alias("year"))
+    blocks = S.context(places.withColumn("via", F.lit(None).cast("string")), full, 9000)
+    made = S.prompt(QUERY, blocks, S.headings(blocks, frags, bib), " ".join(SECOND))
+    return made.select(F.md5("prompt").alias("hash"), F.col("size").cast("long").alias("size"))
+
+
 def for_result(spark: SparkSession, sf: str) -> DataFrame:
     """The fragments for a result with a printed number: those first, then similar ones, then what they refer to."""
     frags = _library(spark, sf)
@@ -331,7 +368,7 @@ def title_containment(spark: SparkSession, sf: str) -> DataFrame:
     return head.select("page_id", F.round(share, 4).alias("share"), (share >= 0.6).alias("contained"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_scores, bm25_filtered_stats, bm25_capped, cosine_topk, hybrid_rrf, hybrid_boosted, glossary_expand, ordered_merge, token_budget, last_user_turn, locate_passage, locate_with_neighbours, review_gate, paragraph_units, section_carry, fragment_groups, fragment_index, index_diff, html_meta, title_jaccard, title_containment, search_lexical, search_hybrid, search_in_doc, followed_refs, recovered, asked, for_result, by_page, citations, used_fragments, control_run, embedding_text, located_numbered, unglued_words, vectors_kept, sources_joined, template_left_out)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_scores, bm25_filtered_stats, bm25_capped, cosine_topk, hybrid_rrf, hybrid_boosted, glossary_expand, ordered_merge, token_budget, last_user_turn, locate_passage, locate_with_neighbours, review_gate, paragraph_units, section_carry, fragment_groups, fragment_index, index_diff, html_meta, title_jaccard, title_containment, search_lexical, search_hybrid, search_in_doc, followed_refs, recovered, asked, asked_again, ask_context, ask_prompt, for_result, by_page, citations, used_fragments, control_run, embedding_text, located_numbered, unglued_words, vectors_kept, sources_joined, template_left_out)}
 
 _HYBRID_TERMS = [*TERMS, "of", "sia", "the", "onthe", "asia"]
 _HYBRID = ", ".join(f"('{t}', {_HYBRID_TERMS.count(t)})" for t in dict.fromkeys(_HYBRID_TERMS))
@@ -444,6 +481,20 @@ def _spanning(best: str, least: str) -> str:
 
 _ENOUGH = "CASE WHEN size < 25 THEN 0.7 ELSE 0.6 END"
 
+_SECOND = ", ".join(f"('{t}', 1)" for t in SECOND)
+_ASK = f"""{_LIB}, d AS (SELECT DISTINCT doc FROM lib WHERE doc IS NOT NULL ORDER BY doc LIMIT 2), a1 AS {_search("doc = (SELECT min(doc) FROM d)", 6, 0)}, a2 AS {_search("doc = (SELECT max(doc) FROM d)", 6, 0)}, a3 AS {_search()},
+    m AS {_merged('a1', 'a2', 'a3')}, f AS {_followed('m', 4)}, n AS {_merged('m', 'f')},
+    b1 AS {_search("doc = (SELECT min(doc) FROM d)", 10, 0, terms=_SECOND)}, b2 AS {_search("doc = (SELECT max(doc) FROM d)", 10, 0, terms=_SECOND)}, bm AS {_merged('b1', 'b2')},
+    nb AS (SELECT id, place FROM bm WHERE id NOT IN (SELECT id FROM n)), f2 AS {_followed('nb', 4)}, z AS {_merged('n', 'nb', 'f2')}"""
+
+
+def _context(mark: str) -> str:
+    """Blocks of z within 9,000 words: id, doc, place, block, size, total."""
+    block = f"'[' || doc || ':p' || page || CASE WHEN kind <> 'parrafo' THEN ', ' || upper(kind[1]) || kind[2:] || ' ' || number ELSE '' END || ']' || {mark} || chr(10) || text"
+    return f"""c0 AS (SELECT z.id, doc, place, {block} AS block FROM z JOIN lib l ON l.id = z.id), c1 AS (SELECT *, len(string_split_regex(trim(block, ' '), '\\s+')) AS size FROM c0),
+        c AS (SELECT *, CAST(sum(size) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM c1 QUALIFY total <= 9000 OR row_number() OVER (ORDER BY place) = 1)"""
+
+
 SQL = {
     "bm25_topk": f"WITH {_ALL} {_TOP}",
     "bm25_scores": f"WITH {_ALL} SELECT id AS doc_id, round(bm25, 4) AS score, CAST(dl AS BIGINT) AS dl FROM scored",
@@ -491,6 +542,12 @@ SQL = {
         SELECT id AS doc_id, CAST(place AS INTEGER) AS place, CAST(total AS BIGINT) AS total FROM c WHERE total <= 600 OR place = 0""",
     "asked": f"""WITH {_LIB}, d AS (SELECT DISTINCT doc FROM lib WHERE doc IS NOT NULL ORDER BY doc LIMIT 2), a1 AS {_search("doc = (SELECT min(doc) FROM d)", 6, 0)}, a2 AS {_search("doc = (SELECT max(doc) FROM d)", 6, 0)}, a3 AS {_search()},
         m AS {_merged('a1', 'a2', 'a3')}, f AS {_followed('m', 4)}, n AS {_merged('m', 'f')} SELECT id AS doc_id, CAST(list AS INTEGER) AS list, CAST(place AS INTEGER) AS place FROM n""",
+    "asked_again": f"WITH {_ASK} SELECT id AS doc_id, CAST(list AS INTEGER) AS list, CAST(place AS INTEGER) AS place FROM z",
+    "ask_context": f"""WITH {_ASK}, {_context("CASE list WHEN 1 THEN ' (segunda busqueda)' WHEN 2 THEN ' (traido por referencia)' ELSE '' END")} SELECT id AS doc_id, CAST(place AS INTEGER) AS place, md5(block) AS hash, size, total FROM c""",
+    "ask_prompt": f"""WITH {_ASK}, {_context("''")}, h AS (SELECT DISTINCT '  ' || doc || ': ' || CASE length(doc) % 3 WHEN 0 THEN upper(doc) || ' | A; B; C | 2001' WHEN 2 THEN 'metadatos pendiente' ELSE 'nota propia' END AS line FROM c)
+        SELECT md5('PREGUNTA: {QUERY}' || chr(10) || chr(10) || 'DOCUMENTOS:' || chr(10) || (SELECT string_agg(line, chr(10) ORDER BY line) FROM h) || chr(10) || chr(10) || 'SEGUNDA BUSQUEDA HECHA: {" ".join(SECOND)}' || chr(10)
+          || 'Si lo pedido sigue sin aparecer, ahora si puedes escribir: ''No esta en el corpus (segunda busqueda en <documentos> con: <palabras>)''.' || chr(10) || chr(10) || 'FRAGMENTOS:' || chr(10) || chr(10)
+          || string_agg(block, chr(10) || chr(10) ORDER BY place)) AS hash, CAST(sum(size) AS BIGINT) AS size FROM c""",
     "for_result": f"""WITH {_LIB}, s AS {_search(_FIRST, 4, 0)}, o AS (SELECT id, id AS place FROM lib WHERE {_FIRST} AND number = '7'), m AS {_merged('o', 's')}, f AS {_followed('m', 3)}, n AS {_merged('m', 'f')} SELECT id AS doc_id, CAST(list AS INTEGER) AS list, CAST(place AS INTEGER) AS place FROM n""",
     "by_page": f"WITH {_LIB} SELECT id AS doc_id, page FROM lib WHERE {_FIRST} AND page = 5",
     "citations": """WITH x AS (SELECT *, ['teorema', 'demostracion', 'parrafo', 'lema', 'resumen'][p_partkey % 5 + 1] AS kind, CASE WHEN p_size % 3 = 0 THEN p_size || '.1' END AS num, CASE WHEN p_size % 2 = 0 THEN ', etiqueta LaTeX: eq:' || p_partkey ELSE '' END AS lab FROM part)

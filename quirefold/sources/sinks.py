@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
+from quirefold.functions.text import fingerprint16
 from quirefold.operators.index import kept_vectors
 
 
@@ -131,3 +132,79 @@ def refresh_index(stream: DataFrame, path: str, meta: list[str]) -> DataFrame:
 def write_vectors(vectors: DataFrame, status: DataFrame, new: DataFrame, path: str) -> None:
     """The vectors of an index after a change, as a table."""
     kept_vectors(vectors, status, new).write.mode("overwrite").parquet(path)
+
+
+MANIFEST = "batch string, name string, path string"
+
+
+def commit_batch(tables: dict[str, DataFrame], path: str, batch: str) -> None:
+    """Several tables as one batch: each is written to a place of its own, and then one line of the manifest names them all.
+
+    Readers follow the manifest, so they see all of a batch or nothing, and a repeated batch once.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    lines = []
+    for name, df in tables.items():
+        at = f"{path}/{name}/{batch}-{uuid.uuid4().hex}"
+        df.write.parquet(at)
+        lines.append((batch, name, at))
+    # one file, which appears whole or not at all
+    spark.createDataFrame(lines, MANIFEST).coalesce(1).write.mode("append").json(f"{path}/manifest")
+
+
+def committed(spark: SparkSession, path: str, name: str, schema: StructType | str) -> DataFrame:
+    """A table of all committed batches, with its ``batch``; of a repeated batch the tables of one of its commits."""
+    try:
+        # a row for each batch and table; a batch's tables are of one commit, as its file names tell
+        rows = spark.read.schema(MANIFEST).json(f"{path}/manifest").select("*", F.input_file_name().alias("file"))
+        chosen = rows.groupBy("batch").agg(F.min("file").alias("file"))
+        found = rows.join(chosen, ["batch", "file"]).where(F.col("name") == name).select("batch", "path").collect()
+    except Exception as error:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        found = []
+    out = spark.createDataFrame([], schema).withColumn("batch", F.lit(""))
+    for r in found:
+        out = out.unionByName(spark.read.schema(out.drop("batch").schema).parquet(r.path).withColumn("batch", F.lit(r.batch)))
+    return out
+
+
+def marked(text: Column, comment: str = "% ") -> Column:
+    """A text with a first line that has the fingerprint of all the others."""
+    return F.concat(F.lit(comment), fingerprint16(text), F.lit("\n"), text)
+
+
+def untouched(written: Column, comment: str = "% ") -> Column:
+    """Whether a marked text is as it was written: its first line has the fingerprint of the rest. False for any other text."""
+    first, rest = F.substring_index(written, "\n", 1), F.regexp_replace(written, r"\A[^\n]*\n?", "")
+    return F.coalesce(F.contains(written, F.lit("\n")) & (first == F.concat(F.lit(comment), fingerprint16(rest))), F.lit(False))
+
+
+def exported(stored: DataFrame, new: DataFrame, force: bool = False) -> DataFrame:
+    """Exports (name, text) after new ones: texts that someone has edited stay, unless forced; ``outcome`` is written, yours, or kept.
+
+    stored: name, text as they are now. new: name, text without a mark. A text that is the same anew is written all the same.
+    """
+    both = stored.withColumnRenamed("text", "_old").join(new.withColumnRenamed("text", "_new"), "name", "full")
+    mine = F.lit(force) | F.col("_old").isNull() | untouched(F.col("_old"))
+    outcome = F.when(F.col("_new").isNull(), "kept").when(mine, "written").otherwise("yours")
+    return both.select("name", F.when(outcome == "written", marked(F.col("_new"))).otherwise(F.col("_old")).alias("text"), outcome.alias("outcome"))
+
+
+def write_bibliography(entries: DataFrame, path: str) -> None:
+    """Entries (doc and fields, null ones left out) as lines of JSON with sorted keys, ordered by doc."""
+    fields = F.struct(*sorted(c for c in entries.columns if c != "doc"))
+    line = F.to_json(F.struct(F.col("doc").alias("doc"), fields.alias("fields")), {"ignoreNullFields": "true"})
+    entries.select("doc", line.alias("value")).repartitionByRange("doc").sortWithinPartitions("doc").select("value").write.mode("overwrite").text(path)
+
+
+def read_bibliography(spark: SparkSession, path: str, fields: str) -> DataFrame:
+    """(doc and fields) of a bibliography; nothing where there is none, or of lines that aren't entries."""
+    schema = f"doc string, fields struct<{fields}>"
+    try:
+        rows = spark.read.schema("value string").text(path).select(F.from_json("value", schema).alias("x"))
+    except Exception as error:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        rows = spark.createDataFrame([], f"x struct<doc: string, fields: struct<{fields}>>")
+    return rows.where("x.doc is not null").select("x.doc", "x.fields.*")
