@@ -114,6 +114,16 @@ def header_fields(text: Column) -> Column:
     return F.map_from_entries(F.filter(pairs, lambda p: p["k"] != ""))
 
 
+def raw_head(text: Column) -> Column:
+    """A leading block between two lines of three hyphens as it stands where it can't be read as fields, else null.
+
+    Lines that can be read are ``key: value``, items and continuations that begin with white space or a hyphen, comments, and blank ones.
+    """
+    head = F.regexp_extract(text, r"(?s)\A---\r?\n(.*?)\r?\n---", 1)
+    odd = F.exists(F.split(head, r"\r?\n"), lambda x: ~x.rlike(r"^([^:]+:(\s.*)?|[\s-].*|#.*|)$"))
+    return F.when(odd, head)
+
+
 def body(text: Column) -> Column:
     """A text without its leading header block."""
     return F.regexp_replace(text, r"(?s)\A---\r?\n.*?\r?\n---[ \t]*\r?\n?", "")

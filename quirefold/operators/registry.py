@@ -93,7 +93,9 @@ def next_number(used: DataFrame, number: str = "number") -> DataFrame:
 
 
 def renamed(rows: DataFrame, names: DataFrame, key: str = "doc") -> DataFrame:
-    """rows with keys by the rename log (old, new); fails if a new name is taken."""
+    """rows with keys by the rename log (old, new); fails if a new name is taken or an old one isn't there."""
+    if not names.join(rows.select(F.col(key).alias("old")), "old", "left_anti").isEmpty():
+        raise ValueError("an old name isn't there")
     taken = rows.join(names.select(F.col("new").alias(key)), key, "left_semi").join(names.select(F.col("old").alias(key)), key, "left_anti").limit(1)
     if taken.count():
         raise ValueError("a new name is in use")

@@ -148,7 +148,8 @@ def item_label(style: Column, k: Column) -> Column:
     part = lambda i: F.regexp_extract(F.trim(style), pattern, i)
     digit = lambda values, n: F.get(F.array(*map(F.lit, values)), n.cast("int"))
     ones, tens = ["", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix"], ["", "x", "xx", "xxx", "xl", "l", "lx", "lxx", "lxxx", "xc"]
-    roman = F.concat(F.repeat(F.lit("c"), F.floor(k / 100).cast("int")), digit(tens, F.floor(k / 10) % 10), digit(ones, k % 10))
+    hundreds = ["", "c", "cc", "ccc", "cd", "d", "dc", "dcc", "dccc", "cm"]
+    roman = F.concat(F.repeat(F.lit("m"), F.floor(k / 1000).cast("int")), digit(hundreds, F.floor(k / 100) % 10), digit(tens, F.floor(k / 10) % 10), digit(ones, k % 10))
     letter = F.when(k <= 26, F.char(k + 96)).otherwise(k.cast("string"))
     kind = part(2)
     made = F.when(kind == "A", F.upper(letter)).when(kind == "a", letter).when(kind == "I", F.upper(roman)).when(kind == "i", roman).otherwise(k.cast("string"))
