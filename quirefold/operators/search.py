@@ -97,16 +97,27 @@ def capped(df: DataFrame, score: str, doc: str, per_doc: int, k: int, digits: in
     return df.orderBy(*order).limit(k)
 
 
-def expanded(queries: DataFrame, glossary: DataFrame, query: str = "query", most: int = 100_000) -> DataFrame:
+def expanded(queries: DataFrame, glossary: DataFrame, query: str = "query", lengths: int = 1000) -> DataFrame:
     """queries with ``expanded``: the translations of all glossary keys in it, those of longer keys first.
 
-    queries: without accents, lower case. glossary: key, value; one row a term, ``most`` at most, sent to all tasks.
+    queries: without accents, lower case. glossary: key, value; one row a term. The stretches of a query that have the
+    length of any key are looked up; keys have few lengths, and beyond ``lengths`` of them it fails.
     """
-    if glossary.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} terms")
-    hits = queries.join(F.broadcast(glossary), F.contains(F.col(query), F.col("key")), "left")
-    found = F.array_sort(F.collect_list(F.when(F.col("key").isNotNull(), F.struct((-F.length("key")).alias("l"), "key", "value"))))
-    return hits.groupBy(*queries.columns).agg(F.array_join(F.transform(found, lambda x: x["value"]), " ").alias("_more")).select(*queries.columns, F.trim(F.concat_ws(" ", query, "_more")).alias("expanded"))
+    sizes = [r[0] for r in glossary.where("length(key) > 0").select(F.length("key")).distinct().limit(lengths + 1).collect()]
+    if len(sizes) > lengths:
+        raise ValueError(f"keys of more than {lengths} lengths")
+    text = F.col(query)
+    of = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    every = F.array_distinct(F.concat(*[of(n) for n in sorted(sizes)])) if sizes else F.array().cast("array<string>")
+    distinct = queries.distinct()
+    looked = distinct.select(*queries.columns, F.explode(every).alias("_key")).join(glossary.select(F.col("key").alias("_key"), F.col("value").alias("_value")), "_key")
+    found = F.array_sort(F.collect_list(F.struct((-F.length("_key")).alias("l"), F.col("_key").alias("key"), F.col("_value").alias("value"))))
+    more = looked.groupBy(*queries.columns).agg(F.array_join(F.transform(found, lambda x: x["value"]), " ").alias("_more"))
+    same = F.lit(True)
+    for c in queries.columns:
+        same = same & F.col(f"q.{c}").eqNullSafe(F.col(f"m.{c}"))
+    both = distinct.alias("q").join(more.alias("m"), same, "left")
+    return both.select(*[F.col(f"q.{c}").alias(c) for c in queries.columns], F.trim(F.concat_ws(" ", f"q.{query}", "_more")).alias("expanded"))
 
 
 def merged(*lists: DataFrame, id_: str = "id", pos: str = "pos") -> DataFrame:

@@ -201,7 +201,7 @@ def statement_labels(units: DataFrame) -> DataFrame:
 
 
 def inlined(files: DataFrame, depth: int = 5) -> DataFrame:
-    """(doc, tex): each project's main file (doc, name, text) with the files that it takes in, ``depth`` levels deep; what is missing stays as it is.
+    """(doc, tex): each project's main file (doc, name, text) with the files that it takes in, ``depth`` levels deep; of what is missing nothing stays.
 
     The main file is the first by name that begins a document.
     """
@@ -210,7 +210,7 @@ def inlined(files: DataFrame, depth: int = 5) -> DataFrame:
     main = files.where(F.contains("text", F.lit(r"\begin{document}"))).groupBy("doc").agg(F.min_by("text", "name").alias("tex"))
     store = files.select("doc", key(F.col("name")).alias("_key"), F.col("text").alias("_text"))
     for _ in range(depth):
-        parts = main.select("doc", "tex", F.posexplode(F.split("tex", command)).alias("_i", "_part")).withColumn("_name", F.get(F.regexp_extract_all("tex", F.lit(command), F.lit(1)), F.col("_i") - 1)).withColumn("_call", F.get(F.regexp_extract_all("tex", F.lit(f"({command})"), F.lit(1)), F.col("_i") - 1))
-        got = parts.join(store, (parts["doc"] == store["doc"]) & (key(F.col("_name")) == F.col("_key")), "left").select(parts["doc"], "_i", F.concat(F.coalesce("_text", "_call", F.lit("")), "_part").alias("_piece"))
+        parts = main.select("doc", "tex", F.posexplode(F.split("tex", command)).alias("_i", "_part")).withColumn("_name", F.get(F.regexp_extract_all("tex", F.lit(command), F.lit(1)), F.col("_i") - 1))
+        got = parts.join(store, (parts["doc"] == store["doc"]) & (key(F.col("_name")) == F.col("_key")), "left").select(parts["doc"], "_i", F.concat(F.coalesce("_text", F.lit("")), "_part").alias("_piece"))
         main = got.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_piece"))), lambda x: x["_piece"]), "").alias("tex"))
     return main

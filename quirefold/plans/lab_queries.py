@@ -36,7 +36,7 @@ def _long_ratios(spark: SparkSession, sf: str) -> DataFrame:
 
 def _long_series(spark: SparkSession, sf: str) -> DataFrame:
     """Series whose n-th coefficient grows like (n / 3)^n, without its exponential part: ln |c_n| would be beyond a double's range."""
-    return _long_ratios(spark, sf).where("p < 60").select(F.col("seq_id").alias("series_id"), F.col("p").alias("n"), F.exp("log_m").alias("c"))
+    return _long_ratios(spark, sf).select(F.col("seq_id").alias("series_id"), F.col("p").alias("n"), F.exp("log_m").alias("c"))
 
 
 def weight_sums(spark, sf):
@@ -98,13 +98,13 @@ def growth_ratio_fit(spark, sf):
 
 def growth_tail_fit(spark, sf):
     fit = L.tail_fit(_long_series(spark, sf))
-    return fit.select("series_id", *[F.round(c, 4).alias(c) for c in ("alpha", "log_a", "offset", "residual", "low", "high")], F.col("points").cast("long").alias("points"))
+    return fit.select("series_id", *[(F.round(c, 4) + 0.0).alias(c) for c in ("alpha", "log_a", "offset", "residual", "low", "high")], F.col("points").cast("long").alias("points"))
 
 
 def growth_report(spark, sf):
     """Tail fit and fit of ratios side by side."""
     out = L.growth_report(_long_series(spark, sf))
-    return out.select("series_id", F.col("n").cast("int").alias("n"), F.round("alpha", 4).alias("alpha"), F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), F.round("slope", 4).alias("slope"))
+    return out.select("series_id", F.col("n").cast("int").alias("n"), *[(F.round(c, 4) + 0.0).alias(c) for c in ("alpha", "low", "high", "slope")])
 
 
 def roumieu_beurling(spark, sf):
@@ -264,7 +264,7 @@ _OM = "om AS (SELECT seq_id, min(log_m / ln(p)) AS omega FROM (SELECT *, max(p)
 _G1 = "gt AS (SELECT seq_id, p, log_m, sum(exp(-log_m) / (p + 1)) OVER (PARTITION BY seq_id ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS t, max(p) OVER (PARTITION BY seq_id) - 39 AS n FROM r), gr AS (SELECT seq_id, coalesce(max(t) FILTER (p = n), 0) < max(t) FILTER (p = 0) / 1000 AS reliable FROM gt WHERE n >= 10 GROUP BY seq_id), g1 AS (SELECT seq_id, t * exp(log_m) AS g1, p, reliable FROM gt JOIN gr USING (seq_id) WHERE p < n QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY t * exp(log_m) DESC, p) = 1)"
 _LINE = "l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_discount, l_tax"
 _LONG = f"z AS (SELECT l_suppkey AS seq_id, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY {_LINE}) - 1 AS INTEGER) AS p, l_tax FROM lineitem), r AS (SELECT seq_id, p, ln(p + 1) + l_tax AS log_m FROM z)"
-_TAIL = f"{_LONG}, y AS (SELECT seq_id AS series_id, p AS n, log_m AS y FROM r WHERE p < 60), k AS (SELECT *, max(n) OVER (PARTITION BY series_id) AS e FROM y), t AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY n) AS i, count(*) OVER (PARTITION BY series_id) AS m FROM k WHERE n >= greatest(4, e // 2)), u AS (SELECT series_id, i, m, n * ln(n) AS u, n::DOUBLE AS v, y FROM t WHERE m >= 6)"
+_TAIL = f"{_LONG}, y AS (SELECT seq_id AS series_id, p AS n, log_m AS y FROM r), k AS (SELECT *, max(n) OVER (PARTITION BY series_id) AS e FROM y), t AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY n) AS i, count(*) OVER (PARTITION BY series_id) AS m FROM k WHERE n >= greatest(4, e // 2)), u AS (SELECT series_id, i, m, n * ln(n) AS u, n::DOUBLE AS v, y FROM t WHERE m >= 6)"
 
 
 def _fit(where: str, name: str) -> str:
@@ -300,9 +300,9 @@ SQL = {
         SELECT d.seq_id.id AS id, d.seq_id.n AS n, round(exp(dc), 6) AS dc, round(mg, 6) AS mg, round(omega, 6) AS omega, round(g1, 6) AS g1, reliable, concave_at FROM d LEFT JOIN mg USING (seq_id) LEFT JOIN om USING (seq_id) LEFT JOIN g1 USING (seq_id) LEFT JOIN lc USING (seq_id)""",
     "growth_ratio_fit": f"""WITH {_R}, x AS (SELECT seq_id, ln(p) AS x, ln(lead(c) OVER (PARTITION BY seq_id ORDER BY p) / c) AS y FROM r WHERE p >= 1)
         SELECT seq_id AS series_id, round(regr_slope(y, x), 5) AS slope, round(regr_intercept(y, x), 5) AS offset FROM x WHERE y IS NOT NULL GROUP BY seq_id""",
-    "growth_tail_fit": f"WITH {_FITS} SELECT series_id, round(alpha, 4) AS alpha, round(la, 4) AS log_a, round(c, 4) AS offset, round(res, 4) AS residual, round(least(a1, a2), 4) AS low, round(greatest(a1, a2), 4) AS high, n AS points FROM fit",
+    "growth_tail_fit": f"WITH {_FITS} SELECT series_id, round(alpha, 4) + 0.0 AS alpha, round(la, 4) + 0.0 AS log_a, round(c, 4) + 0.0 AS offset, round(res, 4) + 0.0 AS residual, round(least(a1, a2), 4) + 0.0 AS low, round(greatest(a1, a2), 4) + 0.0 AS high, n AS points FROM fit",
     "growth_report": f"""WITH {_FITS}, q AS (SELECT series_id, ln(n) AS x, lead(y) OVER (PARTITION BY series_id ORDER BY n) - y AS d FROM y WHERE n >= 1), s AS (SELECT series_id, regr_slope(d, x) AS slope FROM q WHERE d IS NOT NULL GROUP BY series_id)
-        SELECT y.series_id, CAST(max(y.n) AS INTEGER) AS n, round(any_value(alpha), 4) AS alpha, round(any_value(least(a1, a2)), 4) AS low, round(any_value(greatest(a1, a2)), 4) AS high, round(any_value(slope), 4) AS slope FROM y LEFT JOIN fit USING (series_id) LEFT JOIN s USING (series_id) GROUP BY y.series_id""",
+        SELECT y.series_id, CAST(max(y.n) AS INTEGER) AS n, round(any_value(alpha), 4) + 0.0 AS alpha, round(any_value(least(a1, a2)), 4) + 0.0 AS low, round(any_value(greatest(a1, a2)), 4) + 0.0 AS high, round(any_value(slope), 4) + 0.0 AS slope FROM y LEFT JOIN fit USING (series_id) LEFT JOIN s USING (series_id) GROUP BY y.series_id""",
     "roumieu_beurling": f"""WITH {_W}, x AS (SELECT seq_id, p, (ln(c) - log_w) / p AS l, max(p) OVER (PARTITION BY seq_id) AS n FROM r JOIN w USING (seq_id, p) WHERE p >= 1)
         SELECT seq_id AS series_id, round(max(exp(l)) FILTER (p * 2 >= n), 6) AS sup, round(regr_slope(l, ln(p)), 5) AS slope FROM x GROUP BY seq_id""",
     "cauchy_product": f"""WITH {_S} SELECT a.series_id, a.n + b.n AS n, round(sum(a.l_quantity * b.l_discount), 4) AS c FROM s a JOIN s b USING (series_id)

@@ -95,5 +95,5 @@ SQL = {
         SELECT custkey, 'l' || i AS label, 'by Lemmas~' || CASE k WHEN 0 THEN 'Theorem ' || i || '.1' WHEN 1 THEN i || '.1' ELSE '\\ref{{l' || i || '}}' END || ', (ii), (7) and ' || CASE pk WHEN 0 THEN 'Theorem ' || (i - 1) || '.1' WHEN 1 THEN 'Lemma ' || (i - 1) || '.1' ELSE '\\cref{{l' || (i - 1) || '}}' END AS tail FROM p""",
     "item_labels": f"""WITH x AS (SELECT DISTINCT l_orderkey, CAST(l_partkey % 60 + 1 AS INTEGER) AS k FROM lineitem), y AS (SELECT *, CASE WHEN k <= 26 THEN chr(k + 96) ELSE CAST(k AS VARCHAR) END AS a, {_ROMAN}[k + 1] AS r FROM x)
         SELECT l_orderkey, k, CASE l_orderkey % 5 WHEN 0 THEN '(' || upper(a) || ')' WHEN 1 THEN a || ')' WHEN 2 THEN '[' || upper(r) || ']' WHEN 3 THEN r || '.' ELSE CAST(k AS VARCHAR) END AS printed FROM y""",
-    "tex_inlined": f"WITH {_O} SELECT custkey, md5('\\begin{{document}}' || string_agg('<' || i || '*>', '' ORDER BY i) || '\\include{{lost}}') AS hash FROM o GROUP BY custkey",
+    "tex_inlined": f"WITH {_O} SELECT custkey, md5('\\begin{{document}}' || string_agg('<' || i || '*>', '' ORDER BY i)) AS hash FROM o GROUP BY custkey",
 }
