@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirefold.functions import text as X
@@ -12,6 +12,7 @@ from quirefold.operators import registry as R
 from quirefold.operators import tex as TX
 from quirefold.plans.common import docs
 from quirefold.sources import sinks as W
+from quirefold.sources import tables as T
 from quirefold.sources.shared import fresh_path
 from quirefold.sources.tables import table
 
@@ -83,7 +84,18 @@ def roman_labels(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", TX.item_label(F.lit("(i)"), k).alias("label"))
 
 
-QUERIES = {f.__name__: f for f in (bibliography_round_trip, exports_spared, page_ranges, next_numbers, json_objects, template_hints, pade_orders, raw_heads, roman_labels)}
+def typed_markdown(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders of customers as converted markdown: a page each, with titles, statements, proofs, paragraphs and short blocks."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("doc"), F.row_number().over(w).alias("i"), "o_orderkey")
+    names = F.array(*map(F.lit, ("**Theorem", "lemma", "Proof", "A plain paragraph")))
+    block = F.concat(F.element_at(names, (F.col("o_orderkey") % 4 + 1).cast("int")), F.lit(" 2."), "i", F.lit(".** and forty letters more, which make it long, for order "), "o_orderkey")
+    one = F.concat(F.lit("\n{"), F.col("i"), F.lit("}------\n\n"), F.when(F.col("i") % 3 == 1, F.concat(F.lit("## Part "), "i", F.lit("\n \n"))).otherwise(""), block, F.lit("\n\nshort\n"))
+    made = o.select("doc", "i", one.alias("t")).groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "t"))), lambda x: x["t"]), "").alias("text"))
+    return T.typed_markdown_units(made).select(F.col("doc").alias("o_custkey"), F.col("n").cast("long").alias("n"), F.col("page").cast("long").alias("page"), "section", "kind", "number", F.length("text").cast("long").alias("chars"))
+
+
+QUERIES = {f.__name__: f for f in (bibliography_round_trip, exports_spared, page_ranges, next_numbers, json_objects, template_hints, pade_orders, raw_heads, roman_labels, typed_markdown)}
 
 _MARKED = "'% ' || substr(sha1({0}), 1, 16) || chr(10) || {0}"
 _DIGITS = [["", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix"], ["", "x", "xx", "xxx", "xl", "l", "lx", "lxx", "lxxx", "xc"], ["", "c", "cc", "ccc", "cd", "d", "dc", "dcc", "dccc", "cm"]]
@@ -102,4 +114,8 @@ SQL = {
     "pade_orders": "SELECT o_custkey, CAST(m AS INTEGER) AS m FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY ALL), (VALUES (2), (3), (4), (5), (6), (8), (10), (12)) AS t(m) WHERE 2 * m + 1 <= n",
     "raw_heads": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'id: ' || doc_id || chr(10) || 'no field here' END AS raw FROM documents",
     "roman_labels": f"SELECT p_partkey, '(' || repeat('m', CAST(k // 1000 AS INTEGER)) || ({_DIGITS[2]})[CAST(k // 100 % 10 AS INTEGER) + 1] || ({_DIGITS[1]})[CAST(k // 10 % 10 AS INTEGER) + 1] || ({_DIGITS[0]})[CAST(k % 10 AS INTEGER) + 1] || ')' AS label FROM (SELECT p_partkey, p_partkey % 3999 + 1 AS k FROM part)",
+    "typed_markdown": """WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+        u AS (SELECT o_custkey, i, 0 AS j, 'titulo' AS kind, NULL AS number, 'Part ' || i AS t FROM o WHERE i % 3 = 1 UNION ALL
+          SELECT o_custkey, i, 1, ['teorema', 'lema', 'demostracion', 'parrafo'][o_orderkey % 4 + 1], CASE WHEN o_orderkey % 4 < 3 THEN '2.' || i END, ['**Theorem', 'lemma', 'Proof', 'A plain paragraph'][o_orderkey % 4 + 1] || ' 2.' || i || '.** and forty letters more, which make it long, for order ' || o_orderkey FROM o)
+        SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY i, j) AS n, i + 1 AS page, 'Part ' || (i - (i - 1) % 3) AS section, kind, number, CAST(length(t) AS BIGINT) AS chars FROM u""",
 }

@@ -73,6 +73,35 @@ def markdown_units(docs: DataFrame, text: str = "text", least: int = 40) -> Data
     return kept.select("doc", F.row_number().over(w).alias("n"), "page", "section", stripped(F.col("text")).alias("text"))
 
 
+# Names of statements in converted papers, and their kinds; a proof is of the last.
+STATEMENTS = {"theorem": "teorema", "lemma": "lema", "proposition": "proposicion", "corollary": "corolario", "definition": "definicion", "remark": "observacion", "example": "ejemplo", "notation": "notacion", "conjecture": "conjetura", "proof": "demostracion"}
+
+
+def typed_markdown_units(docs: DataFrame, text: str = "text", least: int = 40) -> DataFrame:
+    """(doc, n, page, section, kind, number, text) of converted markdown, by blocks between blank lines.
+
+    {n} rules on lines of their own begin page n + 1; what stands before the first has none. A block that begins with a
+    hash is a title, which sets the section; others that are too short go. A statement begins with its name, which may be bold, and the
+    number that follows it; all else is a paragraph.
+    """
+    from pyspark.sql import Window
+
+    marker = r"\n\{(\d+)\}-{5,}[ \t]*(?=\n)"
+    whole = F.concat(F.lit("\n"), F.coalesce(text, F.lit("")))
+    numbers = F.concat(F.array(F.lit(None).cast("string")), F.regexp_extract_all(whole, F.lit(marker), F.lit(1)))
+    paged = docs.select("doc", F.posexplode(F.arrays_zip(numbers.alias("page"), F.split(whole, marker, -1).alias("text"))).alias("i", "x"))
+    blocks = paged.select("doc", "i", (F.col("x.page").cast("int") + 1).alias("page"), F.posexplode(F.split("x.text", r"\n\s*\n")).alias("j", "text")).withColumn("text", stripped(F.col("text"))).where("text <> ''")
+    w = Window.partitionBy("doc").orderBy("i", "j")
+    title = F.startswith("text", F.lit("#"))
+    name = stripped(F.regexp_replace("text", r"\A[# ]+", ""))
+    blocks = blocks.withColumn("section", F.last(F.when(title, name), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    first = rf"(?i)\A\*{{0,2}}({'|'.join(STATEMENTS)})\b[ \t]*(\d+(?:\.\d+)*)?"
+    kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in STATEMENTS.items() for x in kv]), F.lower(F.regexp_extract("text", first, 1))), F.lit("parrafo"))
+    kept = blocks.where(title | (F.length(F.trim(F.regexp_replace(F.lower("text"), r"[^a-z0-9]+", " "))) >= least))
+    number = F.when(~title, F.nullif(F.regexp_extract("text", first, 2), F.lit("")))
+    return kept.select("doc", F.row_number().over(w).alias("n"), "page", "section", F.when(title, "titulo").otherwise(kind).alias("kind"), number.alias("number"), F.when(title, name).otherwise(F.col("text")).alias("text"))
+
+
 def html_head(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages with ``title``, ``lang``, ``charset`` and ``metas`` (map of meta names to their first value)."""
     tags = F.regexp_extract_all(html, F.lit(r"(?i)(<meta\s[^>]*>)"), F.lit(1))
