@@ -95,7 +95,17 @@ def typed_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return T.typed_markdown_units(made).select(F.col("doc").alias("o_custkey"), F.col("n").cast("long").alias("n"), F.col("page").cast("long").alias("page"), "section", "kind", "number", F.length("text").cast("long").alias("chars"))
 
 
-QUERIES = {f.__name__: f for f in (bibliography_round_trip, exports_spared, page_ranges, next_numbers, json_objects, template_hints, pade_orders, raw_heads, roman_labels, typed_markdown)}
+def transcription_units(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as transcriptions: a title and a notice before the first page, a page for each turn with marks, figures and titles."""
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc"), "turn", F.length("text").alias("n"))
+    t = F.col("turn")
+    page = F.concat(F.lit("<!-- pagina "), t + 1, F.lit(" -->\n"), F.when(t % 3 == 0, F.concat(F.lit("## Part "), t, F.lit("\nwords behind it\n\n"))).otherwise(""), F.lit("<!-- teorema -->\nletters "), F.col("n"), F.lit(" ![figura](figuras/a.png)\n<!-- fin -->\n\n![figura](figuras/b.png \"x\")\n\n<!-- nota -->\n"))
+    made = c.select("doc", "turn", page.alias("p")).groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "p"))), lambda x: x["p"]), "").alias("p"))
+    whole = made.select("doc", F.concat(F.lit("# Title\n\n> Transcripcion automatica SIN REVISAR. More.\n\n"), "p").alias("text"))
+    return T.transcription_units(whole, ["teorema", "lema", "demostracion"]).select(F.col("doc").alias("conv_id"), F.col("n").cast("long").alias("n"), F.col("page").cast("long").alias("page"), "section", "kind", "cut", "text")
+
+
+QUERIES = {f.__name__: f for f in (bibliography_round_trip, exports_spared, page_ranges, next_numbers, json_objects, template_hints, pade_orders, raw_heads, roman_labels, transcription_units, typed_markdown)}
 
 _MARKED = "'% ' || substr(sha1({0}), 1, 16) || chr(10) || {0}"
 _DIGITS = [["", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix"], ["", "x", "xx", "xxx", "xl", "l", "lx", "lxx", "lxxx", "xc"], ["", "c", "cc", "ccc", "cd", "d", "dc", "dcc", "dccc", "cm"]]
@@ -118,4 +128,8 @@ SQL = {
         u AS (SELECT o_custkey, i, 0 AS j, 'titulo' AS kind, NULL AS number, 'Part ' || i AS t FROM o WHERE i % 3 = 1 UNION ALL
           SELECT o_custkey, i, 1, ['teorema', 'lema', 'demostracion', 'parrafo'][o_orderkey % 4 + 1], CASE WHEN o_orderkey % 4 < 3 THEN '2.' || i END, ['**Theorem', 'lemma', 'Proof', 'A plain paragraph'][o_orderkey % 4 + 1] || ' 2.' || i || '.** and forty letters more, which make it long, for order ' || o_orderkey FROM o)
         SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY i, j) AS n, i + 1 AS page, 'Part ' || (i - (i - 1) % 3) AS section, kind, number, CAST(length(t) AS BIGINT) AS chars FROM u""",
+    "transcription_units": """WITH c AS (SELECT conv_id, turn, length(text) AS l, max(turn - turn % 3) OVER (PARTITION BY conv_id ORDER BY turn) AS p, min(turn) OVER (PARTITION BY conv_id) AS first FROM conversations),
+        u AS (SELECT DISTINCT conv_id, -1 AS turn, 0 AS j, first + 1 AS page, 'Title' AS section, 'titulo' AS kind, 'Title' AS text FROM c UNION ALL SELECT conv_id, turn, 0, turn + 1, 'Part ' || p, 'titulo', 'Part ' || turn FROM c WHERE turn % 3 = 0
+          UNION ALL SELECT conv_id, turn, 1, turn + 1, 'Part ' || p, 'parrafo', 'words behind it' FROM c WHERE turn % 3 = 0 UNION ALL SELECT conv_id, turn, 2, turn + 1, 'Part ' || p, 'parrafo', 'letters ' || l FROM c)
+        SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, j) AS n, page, section, kind, kind = 'parrafo' AS cut, text FROM u""",
 }

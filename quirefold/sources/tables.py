@@ -102,6 +102,39 @@ def typed_markdown_units(docs: DataFrame, text: str = "text", least: int = 40) -
     return kept.select("doc", F.row_number().over(w).alias("n"), "page", "section", F.when(title, "titulo").otherwise(kind).alias("kind"), number.alias("number"), F.when(title, name).otherwise(F.col("text")).alias("text"))
 
 
+# What isn't text in a transcription (figures, marks of blocks) and the notice that it wasn't reviewed.
+FIGURE = r'!\[figura\]\(figuras/[^)\s]+(?: "[^"]*")?\)'
+NOTICE = "> Transcripcion automatica SIN REVISAR."
+
+
+def transcription_units(docs: DataFrame, kinds: list[str], text: str = "text") -> DataFrame:
+    """(doc, n, page, section, kind, cut, text) of transcriptions: titles and paragraphs with the page that a mark on a line of its own began.
+
+    What stands before the first mark goes with the first page. Figures, marks of blocks (of ``kinds``, and their ends),
+    the notice and other comments are no text. A block that begins with a hash is a title to the end of its line, which sets
+    the section, and what follows is a paragraph. ``cut`` says that a paragraph isn't joined with those of other pages.
+    """
+    from pyspark.sql import Window
+
+    mark = r"(?m)^<!-- pagina (\d+) -->[ \t]*$"
+    body = F.coalesce(text, F.lit(""))
+    found = F.regexp_extract_all(body, F.lit(mark), F.lit(1))
+    numbers = F.concat(F.array(F.get(found, F.lit(0))), found)
+    paged = docs.select("doc", F.posexplode(F.arrays_zip(numbers.alias("page"), F.split(body, mark, -1).alias("text"))).alias("i", "x"))
+    blocks = paged.select("doc", "i", F.col("x.page").cast("int").alias("page"), F.posexplode(F.split("x.text", r"\n\s*\n")).alias("j", "text"))
+    block_mark = rf"(?m)^<!-- (?:{'|'.join(kinds)}|fin) -->[ \t]*$"
+    blocks = blocks.withColumn("text", stripped(F.regexp_replace(F.regexp_replace(stripped(F.col("text")), FIGURE, ""), block_mark, "")))
+    blocks = blocks.where((F.col("text") != "") & ~F.startswith("text", F.lit(NOTICE)) & ~F.startswith("text", F.lit("<!--")))
+    title = F.startswith("text", F.lit("#"))
+    name = stripped(F.regexp_replace(F.substring_index("text", "\n", 1), r"\A[# ]+", ""))
+    rest = F.when(title, stripped(F.regexp_replace("text", r"\A[^\n]*\n?", ""))).otherwise(F.col("text"))
+    parts = F.filter(F.array(F.when(title, F.struct(F.lit("titulo").alias("kind"), name.alias("text"))), F.when(rest != "", F.struct(F.lit("parrafo").alias("kind"), rest.alias("text")))), lambda x: x.isNotNull())
+    w = Window.partitionBy("doc").orderBy("i", "j")
+    made = blocks.withColumn("section", F.last(F.when(title, name), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).select("doc", "i", "j", "page", "section", F.posexplode(parts).alias("k", "x"))
+    order = Window.partitionBy("doc").orderBy("i", "j", "k")
+    return made.select("doc", F.row_number().over(order).alias("n"), "page", "section", "x.kind", (F.col("x.kind") == "parrafo").alias("cut"), "x.text")
+
+
 def html_head(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages with ``title``, ``lang``, ``charset`` and ``metas`` (map of meta names to their first value)."""
     tags = F.regexp_extract_all(html, F.lit(r"(?i)(<meta\s[^>]*>)"), F.lit(1))
