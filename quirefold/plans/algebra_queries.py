@@ -228,5 +228,9 @@ SQL = {
     "laplace_directions": f"""WITH {_X}, ys AS (SELECT DISTINCT x / 10.0 AS y FROM x), {_EULER}, v AS (SELECT series_id, sum(w * v) AS v FROM x JOIN e ON e.y = x.x / 10.0 GROUP BY ALL)
         SELECT series_id, d AS direction, CASE WHEN d < 1 THEN round(v, 6) END AS re, CASE WHEN d < 1 THEN CAST(0 AS DOUBLE) END AS im, CASE WHEN d < 1 THEN false END AS on_ray FROM v, (VALUES (0::DOUBLE), (0.4), (3.141592653589793)) AS t(d)""",
     "euler_sums": f"WITH ys AS (SELECT DISTINCT l_tax + 0.01 AS y FROM lineitem), {_EULER} SELECT round(y, 6) AS z, round(v, 7) AS value, round(v, 7) AS by_nodes FROM e",
+    "laplace_sum": f"WITH ys AS (SELECT DISTINCT l_tax + 0.01 AS y FROM lineitem), {_EULER} SELECT l_orderkey, l_linenumber, l_tax, round(v, 7) AS value FROM lineitem JOIN e ON e.y = l_tax + 0.01",
+    "series_inverse": f"""WITH RECURSIVE {_F}, c AS (SELECT id, size, list(CAST(CASE WHEN n = 0 THEN 1 ELSE f END AS HUGEINT) ORDER BY n) AS c FROM f GROUP BY ALL),
+        i(id, size, c, o) AS (SELECT id, size, c, [CAST(1 AS HUGEINT)] FROM c UNION ALL SELECT id, size, c, list_append(o, CAST(-list_sum(list_transform(range(1, len(o) + 1), lambda k: c[k + 1] * o[len(o) - k + 1])) AS HUGEINT)) FROM i WHERE len(o) < size)
+        SELECT id AS series_id, CAST(n AS INTEGER) AS n, CAST(o[n + 1] AS VARCHAR) AS num, '1' AS den FROM (SELECT *, unnest(range(size)) AS n FROM i WHERE len(o) = size)""",
     "borel_order_two": "SELECT series_id, n, 1 AS sign, round(ln(c) - lgamma(1 + n / 2.0), 6) AS log_b FROM (SELECT l_orderkey AS series_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax) - 1 AS INTEGER) AS n, l_extendedprice AS c FROM lineitem)",
 }

@@ -557,6 +557,18 @@ SQL = {
     "control_run": f"""WITH {_bm25("SELECT doc_id AS id, text FROM documents")}, k AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(regexp_replace(lower(text), '\\\\([a-z]+)', ' \\1 ', 'g'), '[a-z0-9]{{2,}}')) AS term FROM benchmark) GROUP BY ALL),
         z AS (SELECT item_id, tf.id, sum(qtf * CASE WHEN idf0 >= 0 THEN idf0 ELSE 0.25 * mean END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(tok.toks) / avgdl))) AS s FROM k JOIN tf USING (term) JOIN idf USING (term) JOIN tok ON tok.id = tf.id, sizes GROUP BY item_id, tf.id)
         SELECT item_id, id AS doc_id, round(s, 3) AS score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(s, 9) DESC, id) - 1 AS INTEGER) AS rank FROM z WHERE s > 0 QUALIFY rank < 8""",
+    "unglued_words": f"""WITH RECURSIVE b AS (SELECT doc_id, {_BAG} AS ws FROM documents), v AS (SELECT DISTINCT doc_id, unnest(ws) AS word FROM b),
+        g AS (SELECT * FROM (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], '') AS word FROM b, unnest(range(1, greatest(len(ws) - 2, 1) + 1, 7)) AS t(i)) WHERE length(word) BETWEEN 7 AND 60),
+        h AS (SELECT g.* FROM g ANTI JOIN v ON v.doc_id = g.doc_id AND v.word = g.word),
+        x AS (SELECT doc_id, word, e, unnest(range(3, least(18, e) + 1)) AS s FROM (SELECT doc_id, word, unnest(range(3, length(word) + 1)) AS e FROM h)),
+        p AS (SELECT x.doc_id, x.word, e, list(s) AS s FROM x JOIN v ON v.doc_id = x.doc_id AND v.word = substr(x.word, e - s + 1, s) GROUP BY ALL),
+        q AS (SELECT h.doc_id, h.word, list(coalesce(p.s, []) ORDER BY k.e) AS ps FROM (SELECT doc_id, word, unnest(range(1, length(word) + 1)) AS e FROM h) k JOIN h ON h.doc_id = k.doc_id AND h.word = k.word LEFT JOIN p ON p.doc_id = k.doc_id AND p.word = k.word AND p.e = k.e GROUP BY ALL),
+        d(doc_id, word, ps, letters, taken) AS (SELECT doc_id, word, ps, [CAST(0 AS BIGINT)], [CAST(0 AS BIGINT)] FROM q WHERE len(list_filter(ps, lambda y: len(y) > 0)) > 0 UNION ALL
+          SELECT doc_id, word, ps, list_append(letters, CASE WHEN m.v > letters[-1] THEN m.v ELSE letters[-1] END), list_append(taken, CASE WHEN m.v > letters[-1] THEN -m.s ELSE 0 END)
+          FROM (SELECT *, list_max(list_transform(ps[len(letters)], lambda y: {{'v': letters[len(letters) - y + 1] + y, 's': -y}})) AS m FROM d WHERE len(letters) <= length(word))),
+        r(doc_id, word, taken, place, parts) AS (SELECT doc_id, word, taken, length(word), CAST([] AS VARCHAR[]) FROM d WHERE len(letters) = length(word) + 1 UNION ALL
+          SELECT doc_id, word, taken, place - greatest(taken[place + 1], 1), CASE WHEN taken[place + 1] > 0 THEN list_prepend(substr(word, CAST(place - taken[place + 1] + 1 AS BIGINT), taken[place + 1]), parts) ELSE parts END FROM r WHERE place > 0)
+        SELECT doc_id, word, array_to_string(parts, ' ') AS parts FROM r WHERE place = 0""",
     "embedding_text": f"""WITH {_LIB} SELECT id AS doc_id, md5(array_to_string(list_filter([doc, CASE WHEN page % 3 > 0 THEN CAST(page AS VARCHAR) END, kind, CASE WHEN id % 2 = 0 THEN label END], lambda x: x IS NOT NULL AND x <> ''), ' \u00b7 ') || chr(10) || text) AS hash FROM lib""",
     "vectors_kept": """WITH s AS (SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'new' WHEN toxic = 1 THEN 'changed' ELSE 'same' END AS status FROM documents d LEFT JOIN labels l USING (doc_id))
         SELECT vec_id, round(CAST(CASE WHEN status = 'new' THEN -embedding[1] ELSE embedding[1] END AS DOUBLE), 5) AS first FROM embeddings JOIN s ON s.doc_id = vec_id WHERE status = 'same' OR status = 'new' AND vec_id % 2 = 0""",
