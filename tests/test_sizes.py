@@ -23,3 +23,12 @@ def test_headings_end_before_letters_beyond_ascii(spark, tmp_path):
     docs = pd.DataFrame({"doc_id": [1, 2], "text": ["EINSSACHÖ!! DER\nsee\nAN ENDx\nAN END_\nAN END.", "A B\nLADOESÓGA!! LAS"], "lang": "de", "source": "s"})
     got = same(spark, tmp_path, "section_carry", documents=docs)
     assert {"EINSSACH", "LADOES", "AN END"} <= set(got.section.dropna())
+
+
+def test_expressions_of_sources_are_taken_once(spark):
+    """Comments are dropped once a source, not for each element of the map of environments."""
+    from quirefold.operators import tex
+
+    docs = spark.createDataFrame([("a", "\\begin{document}\\section{One}" + "words " * 30 + "\\end{document}")], "doc string, tex string")
+    plan = tex.tex_units(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?<!\\\\)%") == 1
