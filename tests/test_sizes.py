@@ -32,3 +32,16 @@ def test_expressions_of_sources_are_taken_once(spark):
     docs = spark.createDataFrame([("a", "\\begin{document}\\section{One}" + "words " * 30 + "\\end{document}")], "doc string, tex string")
     plan = tex.tex_units(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("(?<!\\\\)%") == 1
+
+
+def test_branches_take_polynomials_once_and_whole_numbers(spark, sf):
+    """No join of polynomials with their own starts or edges, and no fractions where numbers are whole."""
+    from quirefold.operators import branches
+
+    for name in ("lifted_roots", "refused_roots", "characteristic_roots", "puiseux_branches"):
+        plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and plan.count("parquet") == 1, name
+    y = branches.lifted([[0, 5, 7], [-1, 0, 0], [1, 0, 0]], 0, 2)
+    assert y == [0, 5, 32] and all(isinstance(x, int) for x in y)
+    third = branches.lifted([[0, -1, -4], [3, 0, 0], [3, 0, 0], [1, 0, 0]], 0, 2)  # (1 + y)^3 = 1 + z + 4 z^2
+    assert [str(x) for x in third] == ["0", "1/3", "11/9"]
