@@ -1,6 +1,7 @@
 """Rational approximants of series, their poles, directions and Laplace sums.
 
-Exact series are long tables (series_id, n, num, den), whole numbers in text, all n from 0 to the last one. An approximant
+Exact series are long tables (series_id, n, num, den), whole numbers in text, all n from 0 to the last one, or gathered, rows
+(series_id, c) with all coefficients as text. Equal series come often, so a worker remembers what it made of one. An approximant
 is a row (series_id, m, p, q): coefficients of numerator and denominator, lowest power first, q_0 = 1. Poles are rows
 (series_id, re, im), of several approximants with ``ord``. A series has few coefficients and an approximant few roots,
 which is what one row's arithmetic is about; what grows are the series, the poles and the points.
@@ -10,13 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirefold.functions.groups import by_group
+from quirefold.functions.groups import by_group, each_row
 from quirefold.operators.branches import quotient, times
 from quirefold.operators.lab import log_gamma
 from quirefold.sources.shared import stored
@@ -54,11 +56,20 @@ def recurrence(c: list[Fraction]) -> list[Fraction]:
     return (q + [Fraction(0)] * (size + 1))[: size + 1]
 
 
-def exact(rows: list) -> list[Fraction]:
-    c = [Fraction(0)] * (int(rows[-1]["n"]) + 1)
+def told(rows: list) -> tuple[str, ...]:
+    c = ["0"] * (int(rows[-1]["n"]) + 1)
     for x in rows:
-        c[int(x["n"])] = Fraction(int(x["num"]), int(x["den"]))
-    return c
+        c[int(x["n"])] = f"{x['num']}/{x['den']}"
+    return tuple(c)
+
+
+@lru_cache(1 << 14)
+def least(told: tuple[str, ...], most: int) -> tuple[int, list[str], list[str]] | None:
+    """(m, p, q) of the least approximant of a series that has all its coefficients."""
+    c = [Fraction(x) for x in told]
+    q = recurrence(c[1:])  # the numerator may be of the denominator's order
+    m = len(q) - 1
+    return (m, *([str(x) for x in s] for s in (times(c, q, m + 1), q))) if 1 <= m <= min(most, (len(c) - 1) // 2) else None
 
 
 def minimal(series: DataFrame, most: int = MINIMAL) -> DataFrame:
@@ -67,24 +78,25 @@ def minimal(series: DataFrame, most: int = MINIMAL) -> DataFrame:
     No row where none up to ``most``, or half the order, has them: the series then isn't rational as far as it is known.
     """
 
-    def work(_, rows):
-        c = exact(rows)
-        q = recurrence(c[1:])  # the numerator may be of the denominator's order
-        m = len(q) - 1
-        if not 1 <= m <= min(most, (len(c) - 1) // 2):
-            return []
-        return [(m, *([str(x) for x in s] for s in (times(c, q, m + 1), q)))]
-
-    return by_group(series, "series_id", ["n", "num", "den"], "m int, p array<string>, q array<string>", work)
+    schema = "m int, p array<string>, q array<string>"
+    listed = lambda found: [] if found is None else [found]
+    if "c" in series.columns:
+        rows = series.select("series_id", "c")
+        return each_row(rows, f"series_id {dict(rows.dtypes)['series_id']}, {schema}", lambda r: [(r["series_id"], *x) for x in listed(least(tuple(r["c"]), most))])
+    return by_group(series, "series_id", ["n", "num", "den"], schema, lambda _, rows: listed(least(told(rows), most)))
 
 
 def expanded(approximants: DataFrame, order: Column | int) -> DataFrame:
     """(series_id, n, c): coefficients 0 to ``order`` of exact approximants, as text."""
     rows = approximants.select("series_id", "p", "q", (F.lit(order) if isinstance(order, int) else order).alias("order"))
 
+    def coefs(p: tuple[str, ...], q: tuple[str, ...], size: int) -> list[str]:
+        return [str(x) for x in quotient([Fraction(x) for x in p], [Fraction(x) for x in q], size)]
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = lru_cache(1 << 14)(coefs)
         for part in parts:
-            made = [(r[0], [str(x) for x in quotient([Fraction(x) for x in r[1]], [Fraction(x) for x in r[2]], r[3] + 1)]) for r in part.itertuples(index=False)]
+            made = [(r[0], known(tuple(r[1]), tuple(r[2]), r[3] + 1)) for r in part.itertuples(index=False)]
             yield pd.DataFrame(made, columns=["series_id", "c"])
 
     return rows.mapInPandas(run, f"series_id {dict(rows.dtypes)['series_id']}, c array<string>").select("series_id", F.posexplode("c").alias("n", "c"))
@@ -117,13 +129,15 @@ def approximants(series: DataFrame, orders: list[int] | None = None) -> DataFram
 def roots(polys: DataFrame, coefs: str, keep: list[str]) -> DataFrame:
     """(keep, re, im): the finite roots of the polynomials in the array ``coefs``, lowest power first, of numbers or their text."""
 
+    def of(told: tuple) -> list[tuple[float, float]]:
+        c = np.array([float(Fraction(x)) if isinstance(x, str) else x for x in told])
+        c = np.trim_zeros(np.where(np.abs(c) < 1e-14 * max(1.0, np.abs(c).max()), 0.0, c), "b")
+        return [(float(z.real), float(z.imag)) for z in np.roots(c[::-1]) if np.isfinite(z)]
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = lru_cache(1 << 14)(of)
         for part in parts:
-            out = []
-            for *own, c in part.itertuples(index=False):
-                c = np.array([float(Fraction(x)) if isinstance(x, str) else x for x in c])
-                c = np.trim_zeros(np.where(np.abs(c) < 1e-14 * max(1.0, np.abs(c).max()), 0.0, c), "b")
-                out += [(*own, float(z.real), float(z.imag)) for z in np.roots(c[::-1]) if np.isfinite(z)]
+            out = [(*own, *z) for *own, c in part.itertuples(index=False) for z in known(tuple(c))]
             yield pd.DataFrame(out, columns=[*keep, "re", "im"])
 
     kinds = dict(polys.dtypes)
@@ -238,24 +252,25 @@ def laplace(points: DataFrame, k: float = 1.0, near: float = 0.02) -> DataFrame:
     def number(c) -> np.ndarray:
         return np.array([float(Fraction(v)) if isinstance(v, str) else v for v in c])
 
+    def along(p: tuple, q: tuple, zr: float, zi: float, d: float) -> tuple:
+        z = complex(zr, zi)
+        turn = np.exp(1j * k * (d - np.angle(z))) if z else 0
+        if not z or turn.real <= 1e-3:
+            return None, None, None
+        end = (FAR / turn.real) ** (1 / k)
+        # by the square, so that the stretches near 0 are short
+        t, dt = end * s**2, 2 * end * s * weight
+        u = np.exp(1j * d) * abs(z) * t
+        b = np.polyval(number(p)[::-1], u) / np.polyval(number(q)[::-1], u)
+        f = np.sum(b * np.exp(-turn * t**k) * turn * k * t ** (k - 1) * dt)
+        at = np.roots(np.trim_zeros(number(q), "b")[::-1])
+        close = bool(np.any(np.abs(np.angle(at * np.exp(-1j * d))) < near)) if len(at) else False
+        return float(f.real), float(f.imag), close
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = lru_cache(1 << 14)(along)
         for part in parts:
-            out = []
-            for p, q, zr, zi, d in zip(part["p"], part["q"], part["z_re"], part["z_im"], part["direction"]):
-                z = complex(zr, zi)
-                turn = np.exp(1j * k * (d - np.angle(z))) if z else 0
-                if not z or turn.real <= 1e-3:
-                    out.append((None, None, None))
-                    continue
-                end = (FAR / turn.real) ** (1 / k)
-                # by the square, so that the stretches near 0 are short
-                t, dt = end * s**2, 2 * end * s * weight
-                u = np.exp(1j * d) * abs(z) * t
-                b = np.polyval(number(p)[::-1], u) / np.polyval(number(q)[::-1], u)
-                f = np.sum(b * np.exp(-turn * t**k) * turn * k * t ** (k - 1) * dt)
-                at = np.roots(np.trim_zeros(number(q), "b")[::-1])
-                close = bool(np.any(np.abs(np.angle(at * np.exp(-1j * d))) < near)) if len(at) else False
-                out.append((float(f.real), float(f.imag), close))
+            out = [known(tuple(p), tuple(q), *at) for p, q, *at in zip(part["p"], part["q"], part["z_re"], part["z_im"], part["direction"])]
             yield part.drop(columns=["p", "q"]).assign(**{c: [o[i] for o in out] for i, c in enumerate(("re", "im", "on_ray"))}).astype(object)
 
     rest = points.drop("p", "q")
@@ -271,9 +286,13 @@ def report(series: DataFrame) -> DataFrame:
     """
     from quirefold.operators.lab import pade_orders, stable_poles
 
-    exact_ = minimal(series)
+    exact_ = stored(minimal(series), "approximants")
     own = roots(exact_, "q", ["series_id"]).withColumn("votes", F.lit(None).cast("long"))
-    other = series.join(exact_.select("series_id"), "series_id", "left_anti").select("series_id", "n", (F.col("num").cast("double") / F.col("den").cast("double")).alias("c"))
+    other = series.join(exact_.select("series_id"), "series_id", "left_anti")
+    if "c" in series.columns:
+        parts = F.split("c", "/")
+        other = other.select("series_id", F.posexplode("c").alias("n", "c")).select("series_id", "n", F.get(parts, F.lit(0)).alias("num"), F.coalesce(F.get(parts, F.lit(1)), F.lit("1")).alias("den"))
+    other = other.select("series_id", "n", (F.col("num").cast("double") / F.col("den").cast("double")).alias("c"))
     voted = stable_poles(clean_poles(other, pade_orders(10**6)), STABLE, VOTES).select("series_id", "re", "im", F.col("votes").cast("long").alias("votes"))
     both = stored(own.unionByName(voted), "poles")
     return both.select("*", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("modulus"), F.atan2("im", "re").alias("direction")).join(radius(both), "series_id")

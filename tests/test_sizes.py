@@ -45,3 +45,17 @@ def test_branches_take_polynomials_once_and_whole_numbers(spark, sf):
     assert y == [0, 5, 32] and all(isinstance(x, int) for x in y)
     third = branches.lifted([[0, -1, -4], [3, 0, 0], [3, 0, 0], [1, 0, 0]], 0, 2)  # (1 + y)^3 = 1 + z + 4 z^2
     assert [str(x) for x in third] == ["0", "1/3", "11/9"]
+
+
+def test_equal_series_are_worked_on_once(spark, sf):
+    """Gathered series have the approximants that long ones have, and an order's lines are read once for them."""
+    from quirefold.operators import borel
+    from quirefold.plans import algebra_queries
+
+    made = {1: [1, 1, 2, 3, 5, 8, 13, 21], 2: [1, 1, 2, 3, 5, 8, 13, 21], 3: [1, 1, 2, 6, 24, 120, 720]}
+    long = spark.createDataFrame([(k, n, str(x), "1") for k, c in made.items() for n, x in enumerate(c)], "series_id long, n int, num string, den string")
+    rows = spark.createDataFrame([(k, [str(x) for x in c]) for k, c in made.items()], "series_id long, c array<string>")
+    assert sorted(borel.minimal(rows).collect()) == sorted(borel.minimal(long).collect()) != []
+    before = borel.least.cache_info().hits
+    assert borel.least(("1", "1", "1"), 12) == borel.least(("1", "1", "1"), 12) and borel.least.cache_info().hits == before + 1
+    assert algebra_queries._rational(spark, sf)._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
