@@ -7,6 +7,7 @@ JVM, so that a note is parsed where it is read.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,7 +25,12 @@ OWN_LEAST, WRITTEN_LEAST = 200, 40
 
 def found(text: Column, pattern: str, group: int = 1) -> Column:
     """The group of a pattern's first match; null where there is none."""
-    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
+    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(0))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), for which value is taken once, however often use has it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def sections(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -78,8 +84,8 @@ def kind_and_number(text: Column) -> Column:
 def attempts(body: Column) -> Column:
     """(date, level, minutes, session) of the attempts that a block's reconstruction lists; levels within 0..3."""
     listed = F.coalesce(found(subsection(body, "Reconstruccion", flexible=True), r"(?ms)^Intentos:\s*$(.*)"), F.lit(""))
-    part = lambda i: F.regexp_extract_all(listed, F.lit(ATTEMPT), F.lit(i))
-    rows = F.arrays_zip(part(1).alias("date"), part(2).alias("level"), part(3).alias("minutes"), part(4).alias("session"))
+    part = lambda text, i: F.regexp_extract_all(text, F.lit(ATTEMPT), F.lit(i))
+    rows = once(listed, lambda t: F.arrays_zip(part(t, 1).alias("date"), part(t, 2).alias("level"), part(t, 3).alias("minutes"), part(t, 4).alias("session")))
     return F.transform(rows, lambda x: F.struct(x["date"].cast("date").alias("date"), F.greatest(F.lit(0), F.least(F.lit(3), x["level"].cast("int"))).alias("level"), x["minutes"].cast("double").alias("minutes"), F.trim(x["session"]).alias("session")))
 
 
@@ -97,14 +103,17 @@ def template_hints(template: DataFrame, text: str = "text") -> DataFrame:
 def own_text(field: Column, hints: Column) -> Column:
     """What was written in a field: without attempts and without the hint that it begins with. hints: array of hints."""
     rest = stripped(F.regexp_replace(F.regexp_replace(field, r"(?m)^Intentos:\s*$", ""), ATTEMPT, ""))
-    first = hint(F.regexp_extract(rest, r"(?s)\A(\([^)]*\))", 1))
-    is_hint = (first != "") & F.exists(hints, lambda h: (h == first) | (F.substring(h, 1, 40) == F.substring(first, 1, 40)))
-    return F.when(is_hint, stripped(F.regexp_replace(rest, r"(?s)\A\([^)]*\)", ""))).otherwise(rest)
+
+    def without(rest: Column, first: Column) -> Column:
+        is_hint = (first != "") & F.exists(hints, lambda h: (h == first) | (F.substring(h, 1, 40) == F.substring(first, 1, 40)))
+        return F.when(is_hint, stripped(F.regexp_replace(rest, r"(?s)\A\([^)]*\)", ""))).otherwise(rest)
+
+    return once(rest, lambda t: once(hint(F.regexp_extract(t, r"(?s)\A(\([^)]*\))", 1)), lambda first: without(t, first)))
 
 
 def valid_explanation(own: Column) -> Column:
     """Whether own text is an explanation: long enough and not as the template begins."""
-    return (F.length(own) >= OWN_LEAST) & ~F.startswith(own, F.lit("Tu reconstruccion"))
+    return once(own, lambda t: (F.length(t) >= OWN_LEAST) & ~F.startswith(t, F.lit("Tu reconstruccion")))
 
 
 def note_state(blocks_: DataFrame, hints: Column, checks: DataFrame | None = None) -> DataFrame:

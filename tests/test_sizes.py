@@ -59,3 +59,14 @@ def test_equal_series_are_worked_on_once(spark, sf):
     before = borel.least.cache_info().hits
     assert borel.least(("1", "1", "1"), 12) == borel.least(("1", "1", "1"), 12) and borel.least.cache_info().hits == before + 1
     assert algebra_queries._rational(spark, sf)._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+
+
+def test_own_text_takes_its_field_once(spark):
+    from pyspark.sql import functions as F
+    from quirefold.operators import notes
+
+    rows = spark.createDataFrame([("### Lema clave\n(pista) algo propio\nIntentos:\n- 2026-01-02 | nivel 2 | 3.5 min | s1\n",)], "body string")
+    own = notes.own_text(notes.subsection(F.col("body"), "Lema clave"), F.array(F.lit("(pista)")))
+    made = rows.select(own.alias("own"), notes.attempts(F.concat(F.lit("### Reconstruccion\n"), "body")).alias("tries"))
+    assert [(r.own, r.tries[0] if r.tries else None) for r in made.collect()] == [("algo propio", None)]
+    assert rows.select(own.alias("own"))._jdf.queryExecution().optimizedPlan().toString().count("Lema") == 1
