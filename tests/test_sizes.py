@@ -70,3 +70,13 @@ def test_own_text_takes_its_field_once(spark):
     made = rows.select(own.alias("own"), notes.attempts(F.concat(F.lit("### Reconstruccion\n"), "body")).alias("tries"))
     assert [(r.own, r.tries[0] if r.tries else None) for r in made.collect()] == [("algo propio", None)]
     assert rows.select(own.alias("own"))._jdf.queryExecution().optimizedPlan().toString().count("Lema") == 1
+
+
+def test_equal_titles_are_compared_once(spark, tmp_path):
+    """Titles of equal words are paired without a row for each of their common words."""
+    lines = ["Alpha beta gamma delta epsilon zeta eta"] * 30 + ["eta zeta epsilon delta gamma beta alpha!"] * 3 + ["alpha beta gamma delta epsilon zeta theta"] * 2 + ["alpha beta gamma delta epsilon zeta eta iota", "kappa lambda", "a b"]
+    docs = pd.DataFrame({"doc_id": range(len(lines)), "text": [x + "\nbody" for x in lines], "lang": "en", "source": "s"})
+    got = same(spark, tmp_path, "title_jaccard", documents=docs)
+    assert len(got) == 33 * 32 // 2 + 33 + 1
+    plan = registry.QUERIES["title_jaccard"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and "documents" not in plan
